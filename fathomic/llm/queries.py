@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, simhash, tokens, warc
-from .common import table
+from . import ann, langid, simhash, tokens, warc
+from .common import crc_bucket, table
 
 
 def op1_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,11 +29,19 @@ def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = crc_bucket("doc_id", 4) == 2
+    model = langid.fit(docs, ~held_out)
+    return langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model, ["doc_id", "held_out"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_neardup": op1_simhash_neardup,
     "op2_warc_archive": op2_warc_archive,
     "op3_posting_ann": op3_posting_ann,
     "op5_token_records": op5_token_records,
+    "op8_language_id": op8_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
