@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, simhash, tokens, warc
+from . import ann, decontam, langid, quality, simhash, tokens, warc
 from .common import crc_bucket, table
 
 
@@ -23,12 +23,26 @@ def op3_posting_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op4_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_bucket("doc_id", 5) == 0
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    scored = quality.score(docs.select("doc_id", held_out.alias("held_out"), "text"), model, ["doc_id", "held_out"])
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return tokens.encode_corpus(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "matched_words")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = crc_bucket("doc_id", 4) == 2
@@ -40,7 +54,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_neardup": op1_simhash_neardup,
     "op2_warc_archive": op2_warc_archive,
     "op3_posting_ann": op3_posting_ann,
+    "op4_quality_gam": op4_quality_gam,
     "op5_token_records": op5_token_records,
+    "op7_decontamination": op7_decontamination,
     "op8_language_id": op8_language_id,
 }
 
