@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, langid, quality, simhash, tokens, warc
+from . import ann, decontam, langid, lines, mixing, quality, simhash, tokens, warc
 from .common import crc_bucket, table
 
 
@@ -37,6 +37,10 @@ def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_decisions(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
@@ -50,14 +54,21 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model, ["doc_id", "held_out"])
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = mixing.decisions(table(spark, sf_dir, "documents"))
+    return taken.select(F.col("id").cast("long").alias("doc_id"), "domain", "lang", "source", "tokens", "copies")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_neardup": op1_simhash_neardup,
     "op2_warc_archive": op2_warc_archive,
     "op3_posting_ann": op3_posting_ann,
     "op4_quality_gam": op4_quality_gam,
     "op5_token_records": op5_token_records,
+    "op6_line_dedup": op6_line_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_language_id": op8_language_id,
+    "op9_mixing": op9_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
