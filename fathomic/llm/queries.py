@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, langid, lines, mixing, quality, simhash, tokens, warc
+from . import ann, chat, decontam, langid, lines, mixing, quality, simhash, tokens, warc
 from .common import crc_bucket, table
 
 
@@ -59,6 +59,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select(F.col("id").cast("long").alias("doc_id"), "domain", "lang", "source", "tokens", "copies")
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.ordered(chat.format_chats(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_neardup": op1_simhash_neardup,
     "op2_warc_archive": op2_warc_archive,
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontamination": op7_decontamination,
     "op8_language_id": op8_language_id,
     "op9_mixing": op9_mixing,
+    "op10_chat_format": op10_chat_format,
 }
 
 ORACLE_SQL: dict[str, str] = {}
