@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,9 +70,15 @@ class WordEncoder:
 
     The models this serves never merge across white space (``splits_at_blanks``), so
     a text's ids are its words' ids in order; words already met come from a table.
+    The table is kept small by two folds that change no id: the model lower-cases,
+    so ASCII capitals are lowered first, and a run of common marks after a letter or
+    digit is a token run of its own.  Words with a special token's opening are not
+    folded.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    MARKS = ".,!?;:%&*$#"
+
+    def __init__(self, path: str, most: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -97,18 +104,42 @@ class WordEncoder:
     def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, offsets)``: text i has ``ids[offsets[i]:offsets[i+1]]``, its last one ``end_id``."""
         codes, vocabulary, offsets = split_words(texts)
-        words = vocabulary.to_pylist()
+        if not len(codes):
+            return np.full(len(texts), end_id, np.int32), np.arange(len(texts) + 1)
+        plain = pc.invert(pc.match_substring(vocabulary, "<|"))
+        lowered = pc.if_else(plain, pc.ascii_lower(vocabulary), vocabulary)
+        stems = pc.utf8_rtrim(lowered, characters=self.MARKS)
+        cut = pc.and_(plain, pc.match_substring_regex(stems, r"[\p{L}\p{N}]$"))
+        stems = pc.if_else(cut, stems, lowered)
+        # what the stem leaves of the word: marks are single bytes
+        left = pc.subtract(pc.binary_length(lowered), pc.binary_length(stems)).to_numpy(zero_copy_only=False)
+        ends = np.frombuffer(lowered.buffers()[1], np.int64)[lowered.offset : lowered.offset + len(lowered) + 1][1:]
+        data = np.frombuffer(lowered.buffers()[2], np.uint8)
+        bounds = np.concatenate([[0], np.cumsum(left)])
+        bytes_ = data[np.repeat(ends - left - bounds[:-1], left) + np.arange(bounds[-1])]
+        tails = pa.Array.from_buffers(pa.large_string(), len(left), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(bytes_.tobytes())])
+        both = pa.concat_arrays([stems, tails]).dictionary_encode()
+        words = both.dictionary.to_pylist()
         if len(self.known) + len(words) > self.most:
             self._reset()
         if fresh := [w for w in words if w not in self.known]:
             self._learn(fresh)
-        place = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        start = self.ends[:-1][place][codes] if len(words) else np.empty(0, np.int64)
-        size = (self.ends[1:] - self.ends[:-1])[place][codes] if len(words) else np.empty(0, np.int64)
+        place = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[both.indices.to_numpy(zero_copy_only=False)]
+        # a word's ids: its stem's and then its mark run's, put together once per distinct word
+        begin, length = self.ends[:-1][place], (self.ends[1:] - self.ends[:-1])[place]
+        n = len(stems)
+        head, tail = length[:n], length[n:]
+        done = np.concatenate([[0], np.cumsum(head + tail)])
+        table = np.empty(done[-1], np.int32)
+        for first, count, shift in ((begin[:n], head, 0), (begin[n:], tail, head)):
+            ahead = np.cumsum(count) - count
+            step = np.arange(count.sum())
+            table[np.repeat(done[:-1] + shift - ahead, count) + step] = self.ids[np.repeat(first - ahead, count) + step]
+        start, size = done[:-1][codes], (head + tail)[codes]
         total = np.concatenate([[0], np.cumsum(size)])
         bounds = total[offsets]
         source = np.repeat(start - total[:-1], size) + np.arange(total[-1])
-        flat, n = self.ids[source], len(offsets) - 1
+        flat, n = table[source], len(offsets) - 1
         out = np.full(len(flat) + n, end_id, np.int32)
         keep = np.ones(len(out), bool)
         keep[bounds[1:] + np.arange(n)] = False
@@ -170,7 +201,7 @@ def write_records(docs: DataFrame, out: str, tokenizer: str, end_id: int = 1, vo
         data = index = stream = None
         at = records = tokens = 0
         rows = []
-        for piece in slices(batches, "text"):
+        for piece in slices(batches, "text", 6_000_000):
             if stream is None:
                 encoder = encoder_for(tokenizer, by_word)
                 fs.create_dir(base, recursive=True)
