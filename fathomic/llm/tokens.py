@@ -77,6 +77,8 @@ class WordEncoder:
     """
 
     MARKS = ".,!?;:%&*$#"
+    #: Latin letters and digits that stay one letter when composed and lowered (U+0130 does not).
+    LETTER_END = "[0-9a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]$"
 
     def __init__(self, path: str, most: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -109,7 +111,7 @@ class WordEncoder:
         plain = pc.invert(pc.match_substring(vocabulary, "<|"))
         lowered = pc.if_else(plain, pc.ascii_lower(vocabulary), vocabulary)
         stems = pc.utf8_rtrim(lowered, characters=self.MARKS)
-        cut = pc.and_(plain, pc.match_substring_regex(stems, r"[\p{L}\p{N}]$"))
+        cut = pc.and_(plain, pc.match_substring_regex(stems, self.LETTER_END))
         stems = pc.if_else(cut, stems, lowered)
         # what the stem leaves of the word: marks are single bytes
         left = pc.subtract(pc.binary_length(lowered), pc.binary_length(stems)).to_numpy(zero_copy_only=False)
