@@ -39,13 +39,18 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return held.select("doc_id", "line_no", "line", F.unhex(F.md5(F.col("line").cast("binary"))).alias("id"))
 
 
-def segment_keys(line: Column, max_edits: int, min_chars: int) -> Column:
-    """Array of ``(key, less)``: hashes of the segments of the line's own length (less = 0) and of
-    the substrings it may share with lines ``less`` characters shorter."""
-    n, parts, out = F.char_length(line), max_edits + 1, []
+def segment_keys(lines: DataFrame, max_edits: int, min_chars: int) -> tuple[DataFrame, list[tuple[str, int]]]:
+    """``lines`` with one hash column per segment, and the columns' names with ``less``: hashes of the
+    segments of the line's own length (less = 0) and of the substrings it may share with lines
+    ``less`` characters shorter (null where there is none)."""
+    parts, names = max_edits + 1, []
+    held = lines.withColumn("__n", F.char_length("line"))
     for less in range(parts):
-        length = n - less
-        base, longer = F.floor(length / parts), F.pmod(length, F.lit(parts))
+        length = F.col("__n") - less
+        held = held.withColumns({f"__base{less}": F.floor(length / parts).cast("int"), f"__more{less}": F.pmod(length, F.lit(parts))})
+    keys = {}
+    for less in range(parts):
+        length, base, longer = F.col("__n") - less, F.col(f"__base{less}"), F.col(f"__more{less}")
         for i in range(1, parts + 1):
             # the last ``longer`` segments have one character more
             extra = F.greatest(F.lit(0), i - 1 - (parts - longer))
@@ -54,11 +59,11 @@ def segment_keys(line: Column, max_edits: int, min_chars: int) -> Column:
             low = max(-(i - 1), less - (parts - i))
             high = min(i - 1, less + parts - i)
             for shift in range(low, high + 1):
-                piece = F.substring(line, (start + shift).cast("int"), size.cast("int"))
-                key = F.xxhash64(F.lit(i), length, piece)
-                inside = (length >= min_chars) & (start + shift >= 1) & (start + shift + size - 1 <= n)
-                out.append(F.when(inside, F.struct(key.alias("key"), F.lit(less).alias("less"))))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+                inside = (length >= min_chars) & (start + shift >= 1) & (start + shift + size - 1 <= F.col("__n"))
+                key = F.xxhash64(F.lit(i), length, F.substring(F.col("line"), start + shift, size))
+                names.append((f"k{len(names)}", less))
+                keys[names[-1][0]] = F.when(inside, key)
+    return held.withColumns(keys), names
 
 
 def met(rows: DataFrame) -> DataFrame:
@@ -76,7 +81,8 @@ def outside(level: int, line: Column, length: Column, start: Column, end: Column
 
 
 def narrowed(texts: DataFrame, windows: int, stretch: int) -> DataFrame:
-    """Rows ``(key, id, less)`` of one-edit candidates, equal but for a stretch of characters."""
+    """Rows ``(key, id, less, head, tail)`` of one-edit candidates, equal in the first ``head`` and the
+    last ``tail`` characters."""
     n = F.char_length("line")
     wide = texts.select("id", "line", F.explode(F.array(F.lit(0), F.lit(1))).alias("less")).where(n - F.col("less") > 0)
     wide = wide.select("id", "line", "less", (n - F.col("less")).alias("length"), F.explode(F.sequence(F.lit(0), F.lit(windows - 1))).alias("w"))
@@ -86,8 +92,7 @@ def narrowed(texts: DataFrame, windows: int, stretch: int) -> DataFrame:
     near = met(wide).select("id", "less", "length", "start", "end")
     fine = near.join(texts, "id").select("id", "line", "less", "length", "end", F.explode(F.sequence("start", F.col("end") - 1, F.lit(stretch).cast("long"))).alias("start"))
     fine = fine.withColumn("end", F.least("end", F.col("start") + stretch))
-    fine = fine.select(outside(3, F.col("line"), F.col("length"), F.col("start"), F.col("end")).alias("key"), "id", "less")
-    return met(fine)
+    return met(fine.select(outside(3, F.col("line"), F.col("length"), F.col("start"), F.col("end")).alias("key"), "id", "less", F.col("start").alias("head"), (F.col("length") - F.col("end")).alias("tail")))
 
 
 def banded_distance(a: Column, b: Column, max_edits: int) -> Column:
@@ -127,7 +132,7 @@ def banded_distance(a: Column, b: Column, max_edits: int) -> Column:
 
         return let(equal, after)
 
-    began = F.struct(F.lit(full & ~((1 << k) - 1)).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), F.lit(k).cast("long").alias("dist"))
+    began = F.struct(F.lit(full & ~((1 << k) - 1)).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), F.least(F.lit(k), m).cast("long").alias("dist"))
     n = F.char_length(b)
     walked = F.aggregate(F.sequence(F.lit(1), n), began, step)["dist"]
     return F.when(n == 0, m.cast("long")).when(F.abs(m - n) > k, F.lit(k + 1).cast("long")).otherwise(walked)
@@ -138,18 +143,26 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     copy (first: smallest (doc_id, line_no) of the class), and the verified links ``(a, b)``."""
     lines = lines_of(docs, id_col, text_col)
     place = F.struct("doc_id", "line_no")
-    keyed = lines.select("id", place.alias("at"), F.when(F.char_length("line") >= min_chars, segment_keys(F.col("line"), max_edits, min_chars)).alias("keys"))
-    kinds = cut(keyed.groupBy("id").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys")))
-    probes = kinds.select("id", F.explode("keys").alias("k")).select("k.key", "id", "k.less")
+    keyed, keys = segment_keys(lines, max_edits, min_chars)
+    kinds = cut(keyed.groupBy("id").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), *(F.first(k).alias(k) for k, _ in keys)))
+    probes = kinds.select("id", F.explode(F.array(*(F.struct(F.col(k).alias("key"), F.lit(less).alias("less")) for k, less in keys))).alias("k"))
+    probes = probes.select("k.key", "id", "k.less").where("key is not null")
     candidates = met(probes)
     busy = candidates.select("id").distinct().join(kinds.select("id", "first.*"), "id")
     texts = cut(lines.join(busy, ["id", "doc_id", "line_no"]).select("id", "line").dropDuplicates(["id"]))
-    rows = narrowed(texts, windows, stretch) if max_edits == 1 else candidates
-    own = rows.where("less = 0").select("key", F.col("id").alias("a"))
+    whole = candidates.select("key", "id", "less", F.lit(0).alias("head"), F.lit(0).alias("tail"))
+    rows = narrowed(texts, windows, stretch) if max_edits == 1 else whole
+    own = rows.where("less = 0").select("key", F.col("id").alias("a"), "head", "tail")
     other = rows.select("key", F.col("id").alias("b"), "less")
-    pairs = own.join(other, "key").where("(less = 0 and a < b) or (less > 0 and a <> b)").select("a", "b").distinct()
+    pairs = own.join(other, "key").where("(less = 0 and a < b) or (less > 0 and a <> b)").select("a", "b", "head", "tail").distinct()
     told = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
-    links = cut(told.where(banded_distance(F.col("la"), F.col("lb"), max_edits) <= max_edits).select("a", "b"))
+    # equal ends do not change an edit distance; they are compared as text, as hashes can collide
+    head, tail = F.col("head").cast("int"), F.col("tail").cast("int")
+    middle = lambda x: F.substring(x, head + 1, F.char_length(x) - head - tail)
+    end = lambda x: F.substring(x, F.char_length(x) - tail + 1, tail)
+    la, lb = F.col("la"), F.col("lb")
+    told = told.where((F.substring(la, F.lit(1), head) == F.substring(lb, F.lit(1), head)) & (end(la) == end(lb)))
+    links = cut(told.select("a", "b", middle(la).alias("ma"), middle(lb).alias("mb")).where(banded_distance(F.col("ma"), F.col("mb"), max_edits) <= max_edits).select("a", "b").distinct())
     roots = components(links)
     named = kinds.select("id", "first", "copies").join(roots.withColumnRenamed("node", "id"), "id", "left").where("copies > 1 or root is not null")
     named = named.withColumn("root", F.coalesce("root", "id"))
