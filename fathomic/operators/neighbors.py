@@ -154,12 +154,12 @@ class KNeighborsClassifier(NearestNeighbors):
         made.targets = df.select(F.col(id_col).alias("neighbor"), F.col(label).alias("label"))
         return made
 
-    def predict_proba(self, queries: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    def predict_proba(self, queries: DataFrame | None, id_col: str, vec_col: str) -> DataFrame:
         """``(query, label, probability)`` of the labels among the neighbours."""
         votes = _weighted(self.kneighbors(queries, id_col, vec_col), self.weights).join(self.targets, "neighbor").groupBy("query", "label").agg(F.sum("w").alias("w"))
         return votes.select("query", "label", (F.col("w") / F.sum("w").over(Window.partitionBy("query"))).alias("probability"))
 
-    def predict(self, queries: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    def predict(self, queries: DataFrame | None, id_col: str, vec_col: str) -> DataFrame:
         votes = _weighted(self.kneighbors(queries, id_col, vec_col), self.weights).join(self.targets, "neighbor").groupBy("query", "label").agg(F.sum("w").alias("w"))
         best = Window.partitionBy("query").orderBy(F.desc("w"), "label")
         return votes.withColumn("n", F.row_number().over(best)).where("n = 1").select("query", F.col("label").alias("prediction"))
@@ -176,7 +176,7 @@ class KNeighborsRegressor(NearestNeighbors):
         made.targets = df.select(F.col(id_col).alias("neighbor"), *made.names)
         return made
 
-    def predict(self, queries: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    def predict(self, queries: DataFrame | None, id_col: str, vec_col: str) -> DataFrame:
         near = _weighted(self.kneighbors(queries, id_col, vec_col), self.weights).join(self.targets, "neighbor")
         means = [(F.sum(F.col("w") * F.col(c)) / F.sum("w")).alias("prediction" if len(self.names) == 1 else f"prediction_{c}") for c in self.names]
         return near.groupBy("query").agg(*means)
