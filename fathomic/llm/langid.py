@@ -86,9 +86,12 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     """Fit on a sample of at most ``sample_total`` labelled rows for which ``learn`` holds."""
     rows = docs.where(learn).where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    # ids first (no text is shuffled); the windows keep at most sample_total rows, limited map-side
-    order = F.xxhash64(F.col("id").cast("string"), F.lit(8))
-    spread = rows.select("id", "lang", order.alias("h")).withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("place") <= sample_total)
+    # ids first (no text is shuffled).  Salts of the hash thin a language's rows before its own
+    # window sees them: its smallest hashes lie evenly over the salts.
+    order, salts = F.xxhash64(F.col("id").cast("string"), F.lit(8)), 64
+    hashed = rows.select("id", "lang", order.alias("h")).withColumn("salt", F.pmod("h", F.lit(salts)))
+    thin = hashed.withColumn("place", F.row_number().over(Window.partitionBy("lang", "salt").orderBy("h", "id"))).where(F.col("place") <= 4 * sample_total // salts + 32)
+    spread = thin.select("id", "lang", "h").withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("place") <= sample_total)
     ids = spread.orderBy("place", "h", "lang").limit(sample_total).select("id", "lang").distinct()
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
