@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, lean
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -171,9 +171,9 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
 
     copies = Window.partitionBy("v").orderBy("id")
     kept = held.select("id", "v").withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1)
-    filed = kept.select("id", "v").mapInArrow(file_rows, "list int, id long, v array<double>")
+    filed = kept.select("id", "v").mapInArrow(lean(file_rows), "list int, id long, v array<double>")
     sizes = cut(filed.groupBy("list").agg(F.count(F.lit(1)).alias("n")))
-    asked = held.where("q").select("id", "v").mapInArrow(ask, "list int, id long, v array<double>")
+    asked = held.where("q").select("id", "v").mapInArrow(lean(ask), "list int, id long, v array<double>")
     asked_sizes = asked.groupBy("list").agg(F.count(F.lit(1)).alias("m"))
     # at most max_lists rows: the number of pieces of each list and of its queries
     pieces = F.broadcast(cut(sizes.join(asked_sizes, "list").select("list", F.ceil(F.col("n") / list_rows).cast("int").alias("pieces"), F.ceil(F.col("m") / query_rows).cast("int").alias("asks"))))

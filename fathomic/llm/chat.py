@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import bound_batches, cut, lean, slices
 
 BLOCK = re.compile(r"<(tools|tool_call|tool_response)>(.*?)</\1>", re.S)
 TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
@@ -132,6 +132,7 @@ ITEM = "conv_id long, turn long, place int, role string, kind string, id string,
 
 
 def items_of(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    bound_batches(messages.sparkSession)
     held = messages.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("unknown")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     names = [x.split()[0] for x in ITEM.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.string()] * 5, pa.list_(pa.string()), pa.list_(pa.string())]
@@ -144,7 +145,7 @@ def items_of(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
                     rows.append((c, t, k, r, i["kind"], i.get("id"), i.get("name"), i.get("body", i.get("content")), i.get("waits", []), i.get("problems", [])))
             yield pa.RecordBatch.from_arrays([pa.array(col, kind) for col, kind in zip(zip(*rows), kinds)], names)
 
-    return held.mapInArrow(run, ITEM)
+    return held.mapInArrow(lean(run), ITEM)
 
 
 def call_depths(calls: DataFrame, most: int = 1000) -> DataFrame:
@@ -215,7 +216,7 @@ def format_chats(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
             yield pa.RecordBatch.from_arrays([pa.array(col, kind) for col, kind in zip(zip(*out), kinds)], names)
 
     schema = "conv_id long, anchor long, depth int, anchor_place int, kind string, turn long, place int, role string, id string, linked_turn long, problems array<string>, json string"
-    return linked.select(*columns).mapInArrow(run, schema)
+    return linked.select(*columns).mapInArrow(lean(run), schema)
 
 
 def ordered(items: DataFrame) -> DataFrame:

@@ -3,10 +3,12 @@ batch slicing, vectorised word splitting and distributed connected components.""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A ``mapInArrow`` function that gives its memory back when its partition is done: Python
+    workers live on between tasks, and what they hold is lost to the executor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from f(batches)
+        finally:
+            with contextlib.suppress(OSError, AttributeError):  # glibc only
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
+def bound_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Cap the bytes of an Arrow batch, unless the session names a cap itself: the default counts
+    rows only, and rows of long texts make batches of any size."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext.getConf().get(key) is None:
+        spark.conf.set(key, size)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

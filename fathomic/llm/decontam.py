@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, split_words
+from .common import bound_batches, lean, slices, split_words
 
 #: Kept positions (1) and ignored ones (0): fixed values.
 MASKS = ("11111011", "1101110111", "111010110101", "11111")
@@ -118,6 +118,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int)
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: float = 0.8, least: int = 5, keep: list[str] | None = None, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = 500_000) -> DataFrame:
     """``docs`` columns named in ``keep`` plus ``item_ids`` (sorted ids of the items found in the
     text, empty for a clean one) and ``matched_words`` (most agreeing words of one alignment)."""
+    bound_batches(docs.sparkSession)
     keep = docs.columns if keep is None else keep
     context = docs.sparkSession.sparkContext
     schema = docs.select(*keep).schema.add("item_ids", T.ArrayType(T.LongType())).add("matched_words", T.IntegerType())
@@ -138,4 +139,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, share:
                 most.append(best)
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(items, pa.list_(pa.int64())), pa.array(most, pa.int32())], names=[f.name for f in schema.fields])
 
-    return docs.select(*keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(lean(run), schema)

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import bound_batches, lean, slices
 
 BITS = 20
 #: Odd multipliers of the three n-gram orders (a multiply-shift hash into BITS bits).
@@ -84,6 +84,7 @@ class LanguageModel:
 
 def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_total: int = 1600, landmarks: int = 96, ridge: float = 0.02) -> LanguageModel | None:
     """Fit on a sample of at most ``sample_total`` labelled rows for which ``learn`` holds."""
+    bound_batches(docs.sparkSession)
     rows = docs.where(learn).where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     # ids first (no text is shuffled).  Salts of the hash thin a language's rows before its own
@@ -99,7 +100,7 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
             sets = [gram_set(x).tobytes() for x in _lower(part.column(2)).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets, pa.binary())], ["id", "lang", "grams"])
 
-    sample = rows.join(F.broadcast(ids), ["id", "lang"]).select("id", "lang", "text").mapInArrow(grams, rows.select("id", "lang").schema.add("grams", "binary"))
+    sample = rows.join(F.broadcast(ids), ["id", "lang"]).select("id", "lang", "text").mapInArrow(lean(grams), rows.select("id", "lang").schema.add("grams", "binary"))
     got = sorted(sample.limit(2 * sample_total).collect(), key=lambda r: (str(r.lang), str(r.id)))
     if not got:
         return None
@@ -137,6 +138,7 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
 def predict(docs: DataFrame, model: LanguageModel | None, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
     """``docs`` columns named in ``keep`` plus ``lang_pred`` and ``score``."""
     keep = docs.columns if keep is None else keep
+    bound_batches(docs.sparkSession)
     held = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -154,4 +156,4 @@ def predict(docs: DataFrame, model: LanguageModel | None, keep: list[str] | None
                 score[letters] = np.clip((1 + s[np.arange(len(s)), best].astype(float)) / 2, 0, 1)
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(score)], names=[f.name for f in schema.fields])
 
-    return held.mapInArrow(run, schema)
+    return held.mapInArrow(lean(run), schema)

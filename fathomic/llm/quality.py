@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, split_words
+from .common import bound_batches, lean, slices, split_words
 
 FEATURES = [
     "chars", "words", "lines", "word_bytes", "upper", "digit", "blank", "stop", "comma", "mark", "symbol", "pipe", "multibyte",
@@ -196,6 +196,7 @@ class AdditiveModel:
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 16_000) -> AdditiveModel:
     """Learn from the labelled documents for which ``learn`` (over ``id_col``) holds."""
+    bound_batches(docs.sparkSession)
     marked = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("y"))
     marked = marked.where(F.col("id").isNotNull()).groupBy("id").agg(F.max("y").alias("y"))
     texts = docs.where(learn).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -207,13 +208,14 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(list(x), pa.list_(pa.float64()))], ["id", "y", "x"])
 
     held = texts.join(F.broadcast(chosen), "id").select("id", "text", "y")  # at most sample_rows ids
-    got = held.mapInArrow(run, held.select("id", "y").schema.add("x", T.ArrayType(T.DoubleType()))).toPandas().sort_values("id", kind="stable")
+    got = held.mapInArrow(lean(run), held.select("id", "y").schema.add("x", T.ArrayType(T.DoubleType()))).toPandas().sort_values("id", kind="stable")
     x = np.array(got["x"].tolist()).reshape(len(got), len(FEATURES))
     return AdditiveModel().fit(x, got["y"].to_numpy(float))
 
 
 def score(docs: DataFrame, model: AdditiveModel, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
     """``docs`` columns named in ``keep`` plus ``score``."""
+    bound_batches(docs.sparkSession)
     keep = docs.columns if keep is None else keep
     schema = docs.select(*keep).schema.add("score", "double")
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -223,4 +225,4 @@ def score(docs: DataFrame, model: AdditiveModel, keep: list[str] | None = None,
             found = shared.value.predict(features(part.column(part.num_columns - 1)))
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found)], names=[f.name for f in schema.fields])
 
-    return docs.select(*keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(lean(run), schema)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, slices
+from .common import bound_batches, components, cut, lean, slices
 
 SEED = 42
 BITS_OF = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -61,8 +61,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([fingerprint(x.as_buffer().to_pybytes() if x.is_valid else None) for x in part.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
 
+    bound_batches(docs.sparkSession)
     held = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return held.mapInArrow(run, "id long, fp long")
+    return held.mapInArrow(lean(run), "id long, fp long")
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -202,7 +203,7 @@ def links(distinct: DataFrame, max_bits: int = 2, crowd: int = 4096) -> DataFram
     rows = first.where(F.col("n") <= crowd).select("mask", "key", "fp").unionAll(crowded)
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "mask", "key").sortWithinPartitions("mask", "key")
-    return rows.mapInArrow(lambda batches: bucket_links(batches, max_bits), "a long, b long")
+    return rows.mapInArrow(lean(lambda batches: bucket_links(batches, max_bits)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 2) -> DataFrame:

@@ -37,7 +37,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, scratch, slices, split_words, worker_tag
+from .common import bound_batches, cut, lean, scratch, slices, split_words, worker_tag
 
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("length", "<u8"), ("before", "<u8")])
 MASK = 0xA282EAD8
@@ -80,7 +80,7 @@ class WordEncoder:
     #: Latin letters and digits that stay one letter when composed and lowered (U+0130 does not).
     LETTER_END = "[0-9a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]$"
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -203,7 +203,7 @@ def write_records(docs: DataFrame, out: str, tokenizer: str, end_id: int = 1, vo
         data = index = stream = None
         at = records = tokens = 0
         rows = []
-        for piece in slices(batches, "text", 6_000_000):
+        for piece in slices(batches, "text"):
             if stream is None:
                 encoder = encoder_for(tokenizer, by_word)
                 fs.create_dir(base, recursive=True)
@@ -229,8 +229,9 @@ def write_records(docs: DataFrame, out: str, tokenizer: str, end_id: int = 1, vo
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     held = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    bound_batches(spark)
     ordered = held.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.crc32(F.col("text").cast("binary")))
-    return cut(ordered.mapInArrow(run, "part int, data string, index string, records long, tokens long"))
+    return cut(ordered.mapInArrow(lean(run), "part int, data string, index string, records long, tokens long"))
 
 
 def read_records(manifest: DataFrame, out: str, vocab_size: int = 49_408) -> DataFrame:
@@ -268,7 +269,7 @@ def read_records(manifest: DataFrame, out: str, vocab_size: int = 49_408) -> Dat
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.withColumn("before", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)))
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return files.repartition(n, "part").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return files.repartition(n, "part").mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def encode_corpus(docs: DataFrame, tokenizer: str, end_id: int = 1, vocab_size: int = 49_408, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

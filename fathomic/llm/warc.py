@@ -31,7 +31,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, scratch, slices, worker_tag
+from .common import bound_batches, cut, lean, scratch, slices, worker_tag
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1\r\n"
@@ -167,7 +167,8 @@ def write_archives(pages: DataFrame, out: str, min_revisit_bytes: int = 0, id_co
             stream.close()
             yield pa.RecordBatch.from_pydict({"file": [name], "bytes": [size], "records": [records]})
 
-    return cut(marked.mapInArrow(run, "file string, bytes long, records long"))
+    bound_batches(pages.sparkSession)
+    return cut(marked.mapInArrow(lean(run), "file string, bytes long, records long"))
 
 
 def read_archives(spark: SparkSession, manifest: DataFrame, folder: str, split_bytes: int = 8 << 20) -> DataFrame:
@@ -201,7 +202,7 @@ def read_archives(spark: SparkSession, manifest: DataFrame, folder: str, split_b
     cuts = manifest.where("bytes > 0").select("file", "bytes", F.explode(starts).alias("start"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = "file string, offset long, warc_type string, target_uri string, record_id string, refers_to_id string, payload_digest string, http_length long, payload binary"
-    return cuts.repartition(n, "file", "start").mapInArrow(run, schema)
+    return cuts.repartition(n, "file", "start").mapInArrow(lean(run), schema)
 
 
 def archive_round_trip(pages: DataFrame, min_revisit_bytes: int = 0, id_col: str = "page_id") -> DataFrame:
@@ -223,5 +224,5 @@ def archive_round_trip(pages: DataFrame, min_revisit_bytes: int = 0, id_col: str
                 raise ValueError(f"payload digest differs from its header in {len(bad)} records")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(found), batch.column(1), batch.column(5)], ["page", "n", "digest", "kind", "refers"])
 
-    got = back.select("record_id", "warc_type", "payload_digest", "http_length", "payload", "refers_to_id").mapInArrow(check, "page string, n long, digest string, kind string, refers string")
+    got = back.select("record_id", "warc_type", "payload_digest", "http_length", "payload", "refers_to_id").mapInArrow(lean(check), "page string, n long, digest string, kind string, refers string")
     return got.select(F.expr("try_cast(page as long)").alias(id_col), F.col("n").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), F.expr("try_cast(refers as long)").alias("refers_to"))
