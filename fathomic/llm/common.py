@@ -50,10 +50,10 @@ def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> C
     workers live on between tasks, and what they hold is lost to the executor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pa.set_memory_pool(pa.system_memory_pool())
         try:
             yield from f(batches)
         finally:
+            pa.default_memory_pool().release_unused()
             with contextlib.suppress(OSError, AttributeError):  # glibc only
                 ctypes.CDLL("libc.so.6").malloc_trim(0)
 

@@ -80,7 +80,7 @@ class WordEncoder:
     #: Latin letters and digits that stay one letter when composed and lowered (U+0130 does not).
     LETTER_END = "[0-9a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]$"
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 450_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
