@@ -386,7 +386,7 @@ def ridge_regression(spark, d):
     return spark.createDataFrame([(float(m.coef_[0]), m.intercept_)], "slope double, intercept double").select(r("slope").alias("slope"), r("intercept").alias("intercept"))
 
 
-@query(f"WITH s AS (SELECT covar_pop(l_extendedprice, l_quantity) AS c, var_pop(l_quantity) AS v, avg(l_extendedprice) AS y, avg(l_quantity) AS x FROM lineitem), k AS (SELECT (c - 500.0) / v AS k, x, y FROM s) SELECT {sql_r('k', 'slope')}, {sql_r('y - k * x', 'intercept')} FROM k")
+@query(f"WITH s AS (SELECT covar_pop(l_extendedprice, l_quantity) AS c, var_pop(l_quantity) AS v, avg(l_extendedprice) AS y, avg(l_quantity) AS x FROM lineitem), k AS (SELECT sign(c) * greatest(abs(c) - 500.0, 0) / v AS k, x, y FROM s) SELECT {sql_r('k', 'slope')}, {sql_r('y - k * x', 'intercept')} FROM k")
 def lasso_regression(spark, d):
     m = linear.Lasso(500.0).fit(t(spark, d, "lineitem"), ["l_quantity"], "l_extendedprice")
     return spark.createDataFrame([(float(m.coef_[0]), m.intercept_)], "slope double, intercept double").select(r("slope").alias("slope"), r("intercept").alias("intercept"))

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow.fs as pafs
 
 FORMAT, VERSION = "fathomic-model", 1
-MODULES = ("preprocessing", "decomposition", "covariance", "linear", "naive_bayes", "cluster", "mixture", "trees", "feature_selection", "density", "kernel_ridge", "random_projection", "timeseries")
+MODULES = ("preprocessing", "decomposition", "linear", "naive_bayes", "cluster", "mixture", "trees", "feature_selection", "density", "timeseries")
 
 
 def _pack(value, arrays: dict[str, np.ndarray]):
@@ -25,7 +25,7 @@ def _pack(value, arrays: dict[str, np.ndarray]):
     if isinstance(value, np.generic):
         return value.item()
     if dataclasses.is_dataclass(value):
-        return {"__class": [type(value).__module__.rpartition(".")[2], type(value).__name__], "fields": {f.name: _pack(getattr(value, f.name), arrays) for f in dataclasses.fields(value)}}
+        return {"__class": [type(value).__module__.rpartition(".")[2], type(value).__name__], "fields": {k: _pack(v, arrays) for k, v in vars(value).items()}}
     if isinstance(value, dict):
         return {"__items": [[_pack(k, arrays), _pack(v, arrays)] for k, v in value.items()]}
     if isinstance(value, tuple):
