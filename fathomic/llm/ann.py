@@ -190,7 +190,8 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
             q, own = np.array(queries["v"].iloc[at : at + 128].tolist()), queries["id"].to_numpy()[at : at + 128]
             s = np.where(own[:, None] == ids[None, :], -np.inf, q @ v.T)
             edge = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(q), -np.inf)
-            a, b = np.nonzero((s >= edge[:, None] - 1e-9 * (1 + np.abs(edge[:, None]) * np.isfinite(edge[:, None]))) & np.isfinite(s))
+            slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(edge), edge, 0)))
+            a, b = np.nonzero((s >= (edge - slack)[:, None]) & np.isfinite(s))
             out.append(pd.DataFrame({"query_id": own[a], "id": ids[b], "score": np.einsum("nd,nd->n", q[a], v[b])}))
         return pd.concat(out)
 
