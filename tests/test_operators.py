@@ -132,6 +132,13 @@ def test_clusters(spark):
     assert s[:30].nunique() == s[30:].nunique() == 1
 
 
+def test_dbscan_follows_a_chain_of_shuffled_ids(spark):
+    ids = np.random.default_rng(4).permutation(400)
+    rows = [(int(i), [float(k)]) for k, i in enumerate(ids)] + [(1000, [-50.0])]
+    got = cluster.DBSCAN(3.5, 4).fit_predict(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v").toPandas()
+    assert set(got[got.id < 400].label) == {0} and got[got.id == 1000].label.tolist() == [-1]
+
+
 def test_trees_and_shap(data):
     df, pdf = data
     m = trees.HistGradientBoostingRegressor(10, max_depth=3, min_samples_leaf=5).fit(df, COLS, "y")
