@@ -1,5 +1,5 @@
 """Shared pieces of the training-data operators: shared-folder handling, Arrow
-batch slicing, vectorised word splitting and distributed connected components."""
+batch slicing, vectorised word splitting and connected components."""
 
 from __future__ import annotations
 
@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans import graph
+
 
 def shared_dir(spark: SparkSession) -> str:
     """URI of the folder that driver and executors share (``spark.checkpoint.dir``).
@@ -96,39 +98,9 @@ def crc_bucket(id_col: str, mod: int):
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """Connected components of an edge list as rows ``(node, root)``.
-
-    ``root`` is the smallest node of the component; nodes without an edge to a
-    different node do not appear.  Alternating large-star and small-star rounds
-    keep the edge count from growing; a hub's edges meet only in partial
-    aggregates and in joins whose skewed side Spark can split, never in one group.
-    """
-    lo, hi = F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")
-    now = cut(edges.select(lo, hi).where("lo <> hi").distinct())
-
-    def mark(e: DataFrame):
-        return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
-
-    seen = mark(now)
-    for _ in range(max_rounds):
-        if not seen[0]:
-            break
-        both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = now.select(F.col("lo").alias("u"), F.col("hi").alias("v")).join(least, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi"))
-        # an upper end also keeps its own smallest neighbour, so no link is lost
-        large = large.unionAll(least.where("m < u").select(F.col("m").alias("lo"), F.col("u").alias("hi"))).distinct()
-        first = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(first, "hi").select(F.col("m").alias("lo"), F.when(F.col("lo") == F.col("m"), F.col("hi")).otherwise(F.col("lo")).alias("hi"))
-        # (hi, m) is the row with lo = m; every other lower neighbour is tied to m instead
-        after = cut(small.where("lo <> hi").distinct())
-        found = mark(after)
-        now, done, seen = after, found == seen, found
-        if done:
-            break
-    else:
-        raise RuntimeError("connected components did not settle")
-    return now.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionAll(now.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
+    """Connected components ``(node, root)`` of an edge list, with lineage cut in the shared folder."""
+    shared_dir(edges.sparkSession)
+    return graph.components(edges, a, b, max_rounds)
 
 
 def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array, np.ndarray]:

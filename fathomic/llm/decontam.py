@@ -8,8 +8,14 @@ diagonal), and the alignment is verified word by word: a document is contaminate
 by an item when ``window`` consecutive aligned words (or the whole item, when it is
 shorter) agree in at least ``share`` of the places.
 
-Benchmark windows are broadcast in blocks of at most ``block_words`` words; a larger
-benchmark takes more passes over the documents, each of bounded memory.
+Items of fewer than ``window`` words are also looked up under short masks.  With the
+default window and share the masks together meet every place that substitutions
+can take, so no such overlap is missed, whatever the item's length.
+
+Benchmark windows are broadcast in blocks of at most ``block_words`` words.  A larger
+benchmark takes one pass over the documents for each block: a pass keeps the digests
+and hits of contaminated texts only, in the shared folder, and frees its block before
+the next begins, so a worker never holds more than one.
 
 Defined results: null and empty texts and items match nothing; items of fewer than
 ``least`` words match nothing (they are common phrases); repeated items count once
@@ -23,21 +29,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, lean, slices, split_words
+from .common import bound_batches, cut, lean, slices, split_words
 
 #: Kept positions (1) and ignored ones (0): fixed values.
 MASKS = ("11111011", "1101110111", "111010110101", "11111")
+#: More masks for items shorter than the window: fixed values.
+SHORT_MASKS = ("1111", "11011", "10111", "11101")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _MIX = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F)]
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """``(hashes, offsets)``: normalised words of text i are ``hashes[offsets[i]:offsets[i+1]]``."""
+    if pc.any(pc.match_substring_regex(texts, r"[\t\v\f\r]")).as_py():
+        texts = pc.replace_substring_regex(texts, r"[\t\v\f\r]", " ")
     codes, vocabulary, offsets = split_words(texts, lower=True)
     table = np.zeros(len(vocabulary), np.uint64)
     for k, word in enumerate(vocabulary.to_pylist()):
@@ -62,17 +73,19 @@ def window_hashes(words: np.ndarray, mask: str) -> np.ndarray:
 class Block:
     """Benchmark items with their windows' hashes, sorted, and a bitmap in front of them."""
 
-    def __init__(self, ids: list, texts: list[str | None], least: int):
+    def __init__(self, ids: list, texts: list[str | None], least: int, window: int):
         words, offsets = word_hashes(pa.array(texts, pa.string()))
         self.items = [(i, words[s:e]) for i, s, e in zip(ids, offsets[:-1], offsets[1:]) if e - s >= least]
         self.masks = []
-        for mask in MASKS:
-            found = [window_hashes(w, mask) for _, w in self.items]
+        for mask in (*MASKS, *SHORT_MASKS):
+            found = [window_hashes(w if mask in MASKS or len(w) < window else w[:0], mask) for _, w in self.items]
             h = np.concatenate([*found, np.empty(0, np.uint64)])
             item = np.repeat(np.arange(len(found)), [len(x) for x in found])
             place = np.concatenate([*(np.arange(len(x)) for x in found), np.empty(0, np.int64)]).astype(np.int64)
             order = np.argsort(h, kind="stable")
-            bits = max(16, int(np.ceil(np.log2(max(len(h), 1) * 16))))
+            if not len(h):
+                continue
+            bits = max(16, int(np.ceil(np.log2(len(h) * 16))))
             seen = np.zeros(1 << bits, bool)
             seen[h >> np.uint64(64 - bits)] = True
             self.masks.append((mask, np.uint64(64 - bits), seen, h[order], item[order], place[order]))
@@ -118,25 +131,40 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int)
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: float = 0.8, least: int = 5, keep: list[str] | None = None, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = 500_000) -> DataFrame:
     """``docs`` columns named in ``keep`` plus ``item_ids`` (sorted ids of the items found in the
     text, empty for a clean one) and ``matched_words`` (most agreeing words of one alignment)."""
-    bound_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bound_batches(spark)
     keep = docs.columns if keep is None else keep
-    context = docs.sparkSession.sparkContext
-    schema = docs.select(*keep).schema.add("item_ids", T.ArrayType(T.LongType())).add("matched_words", T.IntegerType())
-    # one pass a block; nearly every benchmark is one block
-    shared = [context.broadcast(Block(i, t, least)) for i, t in _blocks(benchmark, item_id, item_text, block_words)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "__text"):
-            words, offsets = word_hashes(part.column(part.num_columns - 1))
-            items, most = [], []
-            for s, e in zip(offsets[:-1], offsets[1:]):
-                ids, best = set(), 0
-                for block in shared:
-                    for k, n in block.value.matches(words[s:e], window, share).items():
-                        ids.add(block.value.items[k][0])
-                        best = max(best, n)
-                items.append(sorted(ids, key=lambda i: (i is not None, i)))
-                most.append(best)
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(items, pa.list_(pa.int64())), pa.array(most, pa.int32())], names=[f.name for f in schema.fields])
-
-    return docs.select(*keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(lean(run), schema)
+    hits = T.StructType().add("item_ids", T.ArrayType(T.LongType())).add("matched_words", T.IntegerType())
+
+    def scan(held: DataFrame, shared) -> DataFrame:
+        """``held`` with its last column, the text, replaced by the hits in one broadcast block."""
+        schema = T.StructType([*held.schema.fields[:-1], *hits.fields])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in slices(batches, "__text"):
+                words, offsets = word_hashes(part.column(part.num_columns - 1))
+                block, items, most = shared.value, [], []
+                for s, e in zip(offsets[:-1], offsets[1:]):
+                    found = block.matches(words[s:e], window, share)
+                    items.append(sorted({block.items[k][0] for k in found}, key=lambda i: (i is not None, i)))
+                    most.append(max(found.values(), default=0))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(items, pa.list_(pa.int64())), pa.array(most, pa.int32())], names=[f.name for f in schema.fields])
+
+        return held.mapInArrow(lean(run), schema)
+
+    text = F.col(text_col).cast("string")
+    digest = F.md5(text.cast("binary")).alias("__key")
+    blocks = _blocks(benchmark, item_id, item_text, block_words)
+    block, after = next(blocks, ([], [])), next(blocks, None)
+    if after is None:  # nearly every benchmark is one block
+        return scan(docs.select(*keep, text.alias("__text")), spark.sparkContext.broadcast(Block(*block, least, window)))
+    found = None
+    while block is not None:
+        shared = spark.sparkContext.broadcast(Block(*block, least, window))
+        told = cut(scan(docs.select(digest, text.alias("__text")), shared).where(F.size("item_ids") > 0).dropDuplicates(["__key"]))
+        shared.unpersist()
+        found = told if found is None else found.unionAll(told)
+        block, after = after, next(blocks, None)
+    whole = found.groupBy("__key").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.max("matched_words").alias("matched_words"))
+    out = docs.select(*keep, digest).join(whole, "__key", "left")
+    return out.select(*keep, F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"), F.coalesce("matched_words", F.lit(0)).alias("matched_words"))

@@ -1,7 +1,9 @@
 """Training-data operators against brute force, with null, empty, long, tied and repeated rows."""
 
 import hashlib
+import itertools
 import json
+import math
 import random
 import re
 import zlib
@@ -231,6 +233,21 @@ def test_decontamination_tolerates_substitutions(spark):
     assert decontam.contaminated(df, bench.limit(0), keep=["doc_id"]).where("size(item_ids) > 0").count() == 0
 
 
+def test_decontamination_finds_every_tolerated_overlap():
+    for n in range(5, 16):
+        item = [f"w{k}" for k in range(n)]
+        block = decontam.Block([7], [" ".join(item)], 5, 13)
+        w = min(n, 13)
+        subs = w - math.ceil(0.8 * w - 1e-9)
+        for places in itertools.combinations(range(w), subs):
+            doc = [f"x{k}" if k in places else word for k, word in enumerate(item)]
+            words, _ = decontam.word_hashes(pa.array(["before\tit\r\n" + "\t".join(doc)]))
+            assert 0 in block.matches(words, 13, 0.8), (n, places)
+        lost = [word if k > subs else "x" for k, word in enumerate(item)]
+        if n <= 13:
+            assert not block.matches(decontam.word_hashes(pa.array([" ".join(lost)]))[0], 13, 0.8)
+
+
 def test_language_identification(spark):
     rng = random.Random(4)
     stems = {"en": ["the", "and", "wh", "ing", "th", "ou"], "de": ["der", "sch", "ung", "ich", "ver", "ß"], "fr": ["é", "que", "eau", "ai", "le", "ç"]}
