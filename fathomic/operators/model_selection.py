@@ -20,15 +20,17 @@ from pyspark.sql import functions as F
 MOST_SHUFFLED = 5_000_000
 
 
-def numbered(df: DataFrame, id_col: str, name: str = "__at") -> DataFrame:
-    """Row places from 0 in id order: places inside range partitions plus the partitions' offsets."""
+def numbered(df: DataFrame, id_col: str, name: str = "__at", within: str | None = None) -> DataFrame:
+    """Row places from 0 in id order, of all rows or of the rows of each value of ``within`` (few
+    values): places inside range partitions plus the partitions' offsets."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [] if within is None else [within]
     held = df.repartitionByRange(n, id_col).withColumn("__part", F.spark_partition_id())
-    inside = held.withColumn("__in", F.row_number().over(Window.partitionBy("__part").orderBy(id_col)) - 1)
-    sizes = held.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))
-    ahead = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-    base = sizes.select("__part", F.coalesce(F.sum("__size").over(ahead), F.lit(0)).alias("__base"))
-    return inside.join(F.broadcast(base), "__part").withColumn(name, F.col("__in") + F.col("__base")).drop("__part", "__in", "__base")
+    inside = held.withColumn("__in", F.row_number().over(Window.partitionBy("__part", *keys).orderBy(id_col)) - 1)
+    sizes = held.groupBy("__part", *keys).agg(F.count(F.lit(1)).alias("__size"))
+    ahead = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    base = sizes.select("__part", *keys, F.coalesce(F.sum("__size").over(ahead), F.lit(0)).alias("__base"))
+    return inside.join(F.broadcast(base), ["__part", *keys]).withColumn(name, F.col("__in") + F.col("__base")).drop("__part", "__in", "__base")
 
 
 class Splitter:
@@ -89,28 +91,29 @@ class StratifiedKFold(Splitter):
     random_state: int | None = None
 
     def folds(self, df, id_col, y=None, groups=None) -> DataFrame:
-        held = numbered(df.select(id_col, y), id_col)
-        rows = held.groupBy(y).agg(F.count(F.lit(1)).alias("n"), F.min("__at").alias("first")).orderBy("first").collect()
+        rows = df.groupBy(y).agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("first")).orderBy("first").collect()
         if all(r.n < self.n_splits for r in rows):
             raise ValueError("every class has fewer rows than folds")
-        dealt = np.repeat(np.arange(len(rows)), [r.n for r in rows])
-        rng = np.random.RandomState(self.random_state)
-        table = []
-        for k, r in enumerate(rows):
-            share = [int((dealt[f :: self.n_splits] == k).sum()) for f in range(self.n_splits)]
-            own = np.repeat(np.arange(self.n_splits), share)
-            if self.shuffle:
-                rng.shuffle(own)
-            table.append((r[y], own))
-        place = F.row_number().over(Window.partitionBy(y).orderBy("__at")) - 1
-        held = held.withColumn("__in", place)
+        k = self.n_splits
+        table, start = [], 0
+        for r in rows:  # of places [start, start + n), those that leave f modulo k
+            upto = lambda m, f: (m - f + k - 1) // k
+            table.append((r[y], [upto(start + r.n, f) - upto(start, f) for f in range(k)]))
+            start += r.n
+        held = numbered(df.select(id_col, y), id_col, "__place", y)
         if self.shuffle:
-            flat = pd.DataFrame([(c, i, int(f)) for c, own in table for i, f in enumerate(own)], columns=[y, "__in", "fold"])
-            return held.join(df.sparkSession.createDataFrame(flat), [y, "__in"]).select(id_col, F.col("fold").cast("int").alias("fold"))
+            if start > MOST_SHUFFLED:
+                raise ValueError(f"an exact shuffle is limited to {MOST_SHUFFLED} rows")
+            rng, flat = np.random.RandomState(self.random_state), []
+            for c, share in table:
+                own = np.repeat(np.arange(k), share)
+                rng.shuffle(own)
+                flat.append(pd.DataFrame({y: c, "__place": np.arange(len(own)), "fold": own}))
+            return held.join(df.sparkSession.createDataFrame(pd.concat(flat)), [y, "__place"]).select(id_col, F.col("fold").cast("int").alias("fold"))
         cases = []
-        for c, own in table:
-            ends = np.cumsum(np.bincount(own, minlength=self.n_splits))
-            cases.append(F.when(F.col(y) == F.lit(c), F.coalesce(*[F.when(F.col("__in") < int(e), f) for f, e in enumerate(ends)])))
+        for c, share in table:
+            ends = itertools.accumulate(share)
+            cases.append(F.when(F.col(y) == F.lit(c), F.coalesce(*[F.when(F.col("__place") < e, f) for f, e in enumerate(ends)])))
         return held.select(id_col, F.coalesce(*cases).cast("int").alias("fold"))
 
 

@@ -734,7 +734,12 @@ def cross_val_predict(spark, d):
     return model_selection.cross_val_predict(linear.Ridge(), df, cols, "label", "id", 3).select("id", "prediction")
 
 
-@query()
+@query("""WITH c AS (SELECT label, min(vec_id) AS f FROM embeddings GROUP BY label),
+    dealt AS (SELECT label, (row_number() OVER (ORDER BY c.f, vec_id) - 1) % 5 AS fold FROM embeddings JOIN c USING (label)),
+    share AS (SELECT label, fold, count(*) AS n FROM dealt GROUP BY label, fold),
+    ends AS (SELECT label, fold, sum(n) OVER (PARTITION BY label ORDER BY fold) AS upto FROM share),
+    placed AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS place FROM embeddings)
+    SELECT vec_id, CAST(min(fold) AS INTEGER) AS fold FROM placed JOIN ends USING (label) WHERE place <= upto GROUP BY vec_id""")
 def stratified_kfold(spark, d):
     return model_selection.StratifiedKFold(5).folds(t(spark, d, "embeddings"), "vec_id", "label")
 

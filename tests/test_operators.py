@@ -201,9 +201,10 @@ def test_splits(data):
     np.random.RandomState(4).shuffle(order)
     got = model_selection.KFold(4, True, 4).folds(df, "id").toPandas()
     assert set(got[got.fold == 0]["id"]) == set(order[:30])
-    strata = model_selection.StratifiedKFold(4).folds(df, "id", "c").toPandas().merge(pdf[["id", "c"]], on="id")
-    spread = strata.groupby(["c", "fold"]).size().unstack()
-    assert (spread.max(1) - spread.min(1) <= 1).all()
+    for shuffle in (False, True):
+        strata = model_selection.StratifiedKFold(4, shuffle, 4 if shuffle else None).folds(df, "id", "c").toPandas().merge(pdf[["id", "c"]], on="id")
+        spread = strata.groupby(["c", "fold"]).size().unstack(fill_value=0)
+        assert len(strata) == len(pdf) and (spread.max(1) - spread.min(1) <= 1).all()
     groups = model_selection.GroupKFold(3).folds(df, "id", None, "g").toPandas().merge(pdf[["id", "g"]], on="id")
     assert (groups.groupby("g").fold.nunique() == 1).all()
     assert [(a.count(), b.count()) for a, b in model_selection.TimeSeriesSplit(3, gap=2).split(df, "id")] == [(28, 30), (58, 30), (88, 30)]
