@@ -6,7 +6,10 @@ those of largest inner product.  Centroids are fitted on a bounded sample; every
 row is filed under its nearest centroid and, near a boundary, under up to
 ``replicas`` centroids within ``(1 + closure)`` of the nearest distance.  A query
 finds its centroids by beam search in a neighbour graph over them and keeps the
-lists whose distance is within ``(1 + ratio)`` of the best.  Lists longer than
+lists whose distance is within ``(1 + ratio)`` of the best.  The beam and the ratio
+follow the data: a few queries are answered by brute force over all rows, the beam
+is doubled (up to all lists) and the ratio widened until their lists hold the share
+``recall`` of those answers (``probing``).  Lists longer than
 ``list_rows`` are cut into salted pieces, and so are the queries of a list, so a
 piece pair is bounded whatever the skew; partial top-k rows meet in a window with
 a map-side limit.  Of equal vectors only the ``k + 1`` smallest ids can be in any
@@ -115,12 +118,27 @@ def beam_search(queries: np.ndarray, centers: np.ndarray, graph: np.ndarray, bea
     return ids, np.sqrt(np.maximum(dist + (queries**2).sum(1)[:, None], 0))
 
 
+def probing(queries: np.ndarray, asked: np.ndarray, homes: np.ndarray, centers: np.ndarray, graph: np.ndarray, probes: int, ratio: float, recall: float) -> tuple[int, float]:
+    """The least doubling of ``probes``, and the ratio, whose lists hold the share ``recall`` of known
+    neighbours: neighbour i belongs to query ``asked[i]`` and is filed under the lists ``homes[i]`` (-1: none)."""
+    while len(asked) and probes < len(centers):
+        ids, dist = beam_search(queries, centers, graph, probes)
+        met = (ids[asked][:, None, :] == homes[:, :, None]).any(1)
+        far = dist / np.maximum(dist[:, :1], 1e-12) - 1
+        need = np.where(met.any(1), far[asked, met.argmax(1)], np.inf)
+        edge = np.sort(need)[math.ceil(recall * len(need)) - 1]
+        if np.isfinite(edge):
+            return probes, max(ratio, float(edge) + 1e-9)
+        probes *= 2
+    return (probes, ratio) if not len(asked) else (len(centers), math.inf)
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1).astype(np.float64)
 
 
-def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", list_rows: int = 512, sample_rows: int = 40_000, max_lists: int = 16_384, replicas: int = 4, closure: float = 0.15, ratio: float = 0.35, probes: int = 24, query_rows: int = 512) -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", list_rows: int = 512, sample_rows: int = 40_000, max_lists: int = 16_384, replicas: int = 4, closure: float = 0.15, ratio: float = 0.35, probes: int = 24, query_rows: int = 512, recall: float = 0.95, trial_rows: int = 128) -> DataFrame:
     """The k nearest other rows of each row for which the Column ``is_query`` holds:
     ``(query_id, rank, <id_col>, score)``, exact scores of what was found."""
     spark = vectors.sparkSession
@@ -145,27 +163,59 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
         x = np.array([held.first().v])
     lists = max(1, min(max_lists, rows // (list_rows // 2), len(x) // 8))
     centers = kmeans(lift(x), lists)
-    held_centers = spark.sparkContext.broadcast((centers, centroid_graph(centers)))
+    graph = centroid_graph(centers)
+    held_centers = spark.sparkContext.broadcast((centers, graph))
+
+    def homes(v: np.ndarray, centers: np.ndarray) -> np.ndarray:
+        ids, dist = nearest(lift(v), centers, replicas)
+        return np.where(dist <= dist[:, :1] * (1 + closure) + 1e-12, ids, -1)
+
+    def aim(q: np.ndarray) -> np.ndarray:
+        # a query's own length does not change its order of rows; scaled, it sits among them
+        return np.concatenate([q * (math.sqrt(most) / np.sqrt((q**2).sum(1)))[:, None], np.zeros((len(q), 1))], 1)
+
+    if probes < lists:
+        trial = held.where("q").select("id", "v").orderBy(F.xxhash64("id", F.lit(5)), "id").limit(trial_rows).toPandas()
+        if len(trial):
+            asked_v, own = np.array(trial["v"].tolist()), trial["id"].to_numpy()
+
+            def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                best, ids = np.full((len(own), 0), 0.0), np.zeros((len(own), 0), np.int64)
+                for batch in batches:
+                    for at in range(0, batch.num_rows, 4096):
+                        part = batch.slice(at, 4096)
+                        new = part.column(0).to_numpy(zero_copy_only=False)
+                        s = np.where(own[:, None] == new[None, :], -np.inf, asked_v @ _matrix(part.column(1)).T)
+                        best, ids = np.concatenate([best, s], 1), np.concatenate([ids, np.tile(new, (len(own), 1))], 1)
+                        if best.shape[1] > k:
+                            top = np.argpartition(best, -k, axis=1)[:, -k:]
+                            best, ids = np.take_along_axis(best, top, 1), np.take_along_axis(ids, top, 1)
+                row, col = np.nonzero(np.isfinite(best))
+                yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), pa.array(ids[row, col]), pa.array(best[row, col])], ["asked", "id", "score"])
+
+            near = Window.partitionBy("asked").orderBy(F.desc("score"), "id")
+            true = held.select("id", "v").mapInArrow(lean(brute), "asked int, id long, score double").distinct()
+            true = cut(true.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k).select("asked", "id"))
+            told = held.select("id", "v").join(F.broadcast(true), "id").toPandas()
+            if len(told):
+                probes, ratio = probing(aim(asked_v), told["asked"].to_numpy(), homes(np.array(told["v"].tolist()), centers), centers, graph, probes, ratio, recall)
 
     def file_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centers, _ = held_centers.value
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                ids, dist = nearest(lift(_matrix(part.column(1))), centers, replicas)
-                near = dist <= dist[:, :1] * (1 + closure) + 1e-12
-                row, col = np.nonzero(near)
+                ids = homes(_matrix(part.column(1)), centers)
+                row, col = np.nonzero(ids >= 0)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[row, col].astype(np.int32)), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row))], ["list", "id", "v"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centers, graph = held_centers.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                q = _matrix(part.column(1))
-                # a query's own length does not change its order of rows; scaled, it sits among them
-                scaled = q * (math.sqrt(most) / np.sqrt((q**2).sum(1)))[:, None]
-                ids, dist = beam_search(np.concatenate([scaled, np.zeros((len(q), 1))], 1), centers, graph, probes)
+            step = max(8, 256 * 24 // max(probes, 24))  # bounds the copies of a batch
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                ids, dist = beam_search(aim(_matrix(part.column(1))), centers, graph, probes)
                 row, col = np.nonzero(dist <= dist[:, :1] * (1 + ratio) + 1e-12)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[row, col].astype(np.int32)), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row))], ["list", "id", "v"])
 

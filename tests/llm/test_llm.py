@@ -130,6 +130,18 @@ def test_ann_recall_ties_and_odd_vectors(spark):
     assert few == 4 and ann.search(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_ann_recall_with_many_lists(spark):
+    x = np.random.default_rng(1).normal(size=(6000, 12))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(df, F.col("vec_id") % 40 == 0, list_rows=16).toPandas()  # 750 lists, about as a table of 192,000 rows has
+    hit = 0
+    for q in range(0, 6000, 40):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(set(np.argsort(-s)[:20]) & set(got[got.query_id == q].vec_id))
+    assert hit / 3000 >= 0.9
+
+
 def test_quality_learns_and_scores_everything(spark):
     rng = random.Random(1)
     rows = [(k, words(rng, 60) if k % 3 else "!!! ### " * 30) for k in range(300)] + [(900, None), (901, ""), (902, "a" * 200_000)]
