@@ -75,14 +75,21 @@ def headers_of(raw: bytes) -> dict[str, str] | None:
     return found if end and "warc-type" in found and "content-length" in found else None
 
 
-def starts_record(data: bytes, at: int) -> bool:
-    """Whether the bytes at ``at`` begin a gzip member that decodes to a WARC header."""
-    try:
-        z = zlib.decompressobj(31)
-        raw = z.decompress(data[at : at + 65_536], 65_536)
-    except zlib.error:
-        return False
-    return headers_of(raw) is not None
+def read_header(pieces: Iterator[bytes]) -> dict[str, str] | None:
+    """Header fields of the gzip member that the pieces begin with, or None if it is no WARC record; decodes
+    up to the header's end, however long that is."""
+    z, raw = zlib.decompressobj(31), bytearray()
+    for piece in pieces:
+        seen = len(raw)
+        try:
+            raw += z.decompress(piece)
+        except zlib.error:
+            return None
+        if not raw.startswith(b"WARC/"[: len(raw)]):
+            return None
+        if z.eof or raw.find(b"\r\n\r\n", max(seen - 3, 0)) >= 0:
+            break
+    return headers_of(bytes(raw))
 
 
 def read_range(file, size: int, start: int, end: int, block: int = 1 << 20) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -99,6 +106,14 @@ def read_range(file, size: int, start: int, end: int, block: int = 1 << 20) -> I
             data += got
         return len(data) >= need
 
+    def pieces(step: int = 4096) -> Iterator[bytes]:
+        """The bytes from ``at`` on, piece by piece."""
+        used = 0
+        while used < len(data) or more(used + 1):
+            piece = data[used : used + step]
+            yield piece
+            used += len(piece)
+
     known = False  # whether ``at`` is a record start that the member before it led to
     while at < end:
         if not known:
@@ -113,8 +128,7 @@ def read_range(file, size: int, start: int, end: int, block: int = 1 << 20) -> I
             at, data = at + k, data[k:]
             if at >= end:
                 return
-            more(65_536)
-            if not starts_record(data, 0):
+            if read_header(pieces()) is None:
                 at, data = at + 1, data[1:]
                 continue
         z, parts, used, whole = zlib.decompressobj(31), [], 0, True
@@ -205,15 +219,25 @@ def read_archives(spark: SparkSession, manifest: DataFrame, folder: str, split_b
     return cuts.repartition(n, "file", "start").mapInArrow(lean(run), schema)
 
 
+def check_counts(manifest: DataFrame, read: DataFrame) -> None:
+    """Raise unless as many records (column ``file``) were read from every archive as the manifest says."""
+    found = read.groupBy("file").agg(F.count(F.lit(1)).alias("found"))
+    said = manifest.select("file", "records").join(found, "file", "left").select("file", "records", F.coalesce("found", F.lit(0)).alias("found"))
+    if bad := said.where("records <> found").first():
+        raise ValueError(f"{bad.file} holds {bad.records} records by its manifest, {bad.found} were read")
+
+
 def archive_round_trip(pages: DataFrame, min_revisit_bytes: int = 0, id_col: str = "page_id") -> DataFrame:
     """Write the pages and read them back: ``(page_id, payload_bytes, payload_digest,
     record_type, refers_to)`` per record, from the archives alone.
 
+    Raises if an archive gives another number of records than its manifest says.
     A response's digest and length are taken from its payload bytes as read; a
     revisit, which has none, gives the digest and length of its headers."""
     spark = pages.sparkSession
     out = scratch(spark, "warc")
-    back = read_archives(spark, write_archives(pages, out, min_revisit_bytes, id_col), out)
+    manifest = write_archives(pages, out, min_revisit_bytes, id_col)
+    back = read_archives(spark, manifest, out)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,7 +246,9 @@ def archive_round_trip(pages: DataFrame, min_revisit_bytes: int = 0, id_col: str
             sizes = [n if t == "revisit" else len(p) for t, n, p in zip(kind, length, payload)]
             if bad := [k for k, (a, b) in enumerate(zip(found, said)) if a != b]:
                 raise ValueError(f"payload digest differs from its header in {len(bad)} records")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(found), batch.column(1), batch.column(5)], ["page", "n", "digest", "kind", "refers"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(found), batch.column(1), batch.column(5), batch.column(6)], ["page", "n", "digest", "kind", "refers", "file"])
 
-    got = back.select("record_id", "warc_type", "payload_digest", "http_length", "payload", "refers_to_id").mapInArrow(lean(check), "page string, n long, digest string, kind string, refers string")
+    got = back.select("record_id", "warc_type", "payload_digest", "http_length", "payload", "refers_to_id", "file").mapInArrow(lean(check), "page string, n long, digest string, kind string, refers string, file string")
+    got = cut(got)
+    check_counts(manifest, got)
     return got.select(F.expr("try_cast(page as long)").alias(id_col), F.col("n").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), F.expr("try_cast(refers as long)").alias("refers_to"))

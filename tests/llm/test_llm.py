@@ -109,6 +109,26 @@ def test_warc_ranges_own_every_record_once():
         assert [g[0] for g in got] == [f"<urn:page:{i}>" for i in range(120)]
 
 
+def test_warc_long_urls_are_found(spark):
+    rng = random.Random(5)
+    urls = ["http://h/" + "".join(rng.choices("abcdefghij0123456789", k=n)) for n in (70_000, 300_000, 10)]
+    raw = [warc.record(i, u, b"<p>", None, False) for i, u in enumerate(urls)]
+    blob = b"".join(map(warc.gzip_member, raw))
+    for step in (len(blob), 997):
+        got = [head["warc-target-uri"] for s in range(0, len(blob), step) for _, head, _ in warc.read_range(pa.BufferReader(blob), len(blob), s, min(len(blob), s + step), 4096)]
+        assert got == urls
+    df = spark.createDataFrame([(i, u, f"<p>{i}</p>") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    assert {r.page_id for r in warc.archive_round_trip(df).collect()} == {0, 1, 2}
+
+
+def test_warc_counts_are_checked(spark):
+    manifest = spark.createDataFrame([("a", 9, 2), ("b", 9, 1)], "file string, bytes long, records long")
+    read = spark.createDataFrame([("a",), ("a",), ("b",)], "file string")
+    warc.check_counts(manifest, read)
+    with pytest.raises(ValueError):
+        warc.check_counts(manifest, read.where("file = 'a'"))
+
+
 def test_ann_recall_ties_and_odd_vectors(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 16)) * rng.uniform(0.5, 2, (3000, 1))
