@@ -149,7 +149,9 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     probes = probes.select("k.key", "id", "k.less").where("key is not null")
     candidates = met(probes)
     busy = candidates.select("id").distinct().join(kinds.select("id", "first.*"), "id")
-    texts = cut(lines.join(busy, ["id", "doc_id", "line_no"]).select("id", "line").dropDuplicates(["id"]))
+    busy = busy.select(F.col("id").alias("busy"), F.col("doc_id").alias("of_doc"), F.col("line_no").alias("at"))
+    first = (F.col("id") == F.col("busy")) & F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("line_no") == F.col("at"))
+    texts = cut(lines.join(busy, first).select("id", "line").dropDuplicates(["id"]))
     whole = candidates.select("key", "id", "less", F.lit(0).alias("head"), F.lit(0).alias("tail"))
     rows = narrowed(texts, windows, stretch) if max_edits == 1 else whole
     own = rows.where("less = 0").select("key", F.col("id").alias("a"), "head", "tail")

@@ -251,6 +251,12 @@ def test_line_dedup_keeps_first_copies(spark):
     assert lines.line_decisions(df.limit(0)).count() == 0
 
 
+def test_line_dedup_near_copies_of_a_null_document(spark):
+    line = "this line occurs in several documents 1"
+    df = spark.createDataFrame([(None, line), (1, line), (2, f"{line[:-1]}2")], "doc_id long, text string")
+    assert {r.doc_id: r.dropped for r in lines.line_decisions(df).collect()} == {None: [], 1: [0], 2: [0]}
+
+
 def test_decontamination_tolerates_substitutions(spark):
     rng = random.Random(2)
     items = [(k, words(rng, 30, 5000)) for k in range(20)] + [(98, None), (99, "too short"), (None, words(rng, 20, 5000))]
