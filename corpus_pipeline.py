@@ -2,8 +2,8 @@
 
 Every stage is ``f(spark, docs, sf_dir) -> DataFrame``; its result is written as
 Parquet and read again as the next stage's ``docs``.  All but the last return the
-columns of ``docs``.  Rows that share a ``doc_id`` count as one document for the
-near-duplicate stage, which keeps one of them.
+columns of ``docs``.  The near-duplicate stage keeps one row of each SimHash component,
+so rows that share a ``doc_id`` (or have none) stay apart where their texts differ.
 """
 
 from __future__ import annotations
@@ -23,12 +23,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the document with the smallest id."""
-    found = simhash.near_duplicates(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    held = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
-    return held.dropDuplicates(["doc_id"]) if again else held
+    """Of each SimHash component one row: of the smallest id (nulls last), then the smallest text digest."""
+    return simhash.representatives(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,17 +53,25 @@ def fingerprint(text: str | bytes | None, shingle: int = 3) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row ``(id, fp)`` per row of ``docs``; ``fp`` is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
+    """One row ``(id, fp)`` per row of ``docs``; ``fp`` is the fingerprint as a signed long.
+    With ``digests`` also ``md5``, the text's (null for a null text)."""
+    names = ["id", "fp", "md5"] if digests else ["id", "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             fps = np.array([fingerprint(x.as_buffer().to_pybytes() if x.is_valid else None) for x in part.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64)), *part.columns[2:]], names)
 
     bound_batches(docs.sparkSession)
     held = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return held.mapInArrow(lean(run), "id long, fp long")
+    if digests:
+        held = held.withColumn("md5", text_digest("text"))
+    return held.mapInArrow(lean(run), "id long, fp long" + ", md5 binary" * digests)
+
+
+def text_digest(text_col: str):
+    return F.unhex(F.md5(F.col(text_col).cast("string").cast("binary")))
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -217,3 +225,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     final = kinds.join(linked, "fp", "left").select("fp", F.coalesce("via", "least").alias("component_id"))
     out = prints.join(final, "fp")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 2) -> DataFrame:
+    """``docs`` with one row of each component: of its smallest id (nulls last), then smallest text digest."""
+    prints = cut(fingerprints(docs, id_col, text_col, digests=True))
+    row = F.struct(F.col("id").isNull().alias("none"), "id", "md5")
+    kinds = cut(prints.groupBy("fp").agg(F.min(row).alias("least")))
+    labels = components(links(kinds.select("fp"), max_bits))
+    named = kinds.join(labels, kinds.fp == labels.node, "left").select(F.coalesce("root", "fp").alias("root"), "least")
+    kept = named.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.id").alias("__id"), F.col("least.md5").alias("__kept"))
+    held = docs.withColumn("__md5", text_digest(text_col))
+    held = held.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & F.col("__md5").eqNullSafe(F.col("__kept")), "left_semi")
+    # rows that repeat both id and text
+    again = prints.groupBy("id", "md5").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    return (held.dropDuplicates([id_col, "__md5"]) if again else held).select(*docs.columns)

@@ -391,3 +391,12 @@ def test_pipeline_stages(spark, corpus, tmp_path):
     assert counts[2] == counts[1] - {300} and counts[3] <= counts[2]
     final = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     assert set(final.doc_id) == counts[3] and (final.sort_values("start").n_tokens.cumsum().shift(fill_value=0).to_numpy() == final.sort_values("start").start.to_numpy()).all()
+
+
+def test_pipeline_keeps_one_row_of_each_component(spark):
+    rng = random.Random(13)
+    a, b, c, d, e = (words(rng, 60) for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (7, d), (3, c), (None, e), (9, e), (None, None)]
+    df = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], DOC)
+    got = corpus_pipeline.near_duplicates(spark, df, "").collect()
+    assert sorted([(r.doc_id, r.text) for r in got], key=str) == sorted([(None, a), (None, b), (3, c), (7, d), (9, e), (None, None)], key=str)
