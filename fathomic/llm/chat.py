@@ -21,7 +21,8 @@ conversation ids or turns make an item that sorts first and links to nothing;
 broken JSON stays text and is reported (``bad_json``); repeated call ids in a
 conversation are all kept and reported (``duplicate_id``), their answers link to
 the first by (turn, place); calls without answer, answers without call, unknown
-tools, bad arguments and waiting in a circle are reported; repeated rows are kept.
+tools, bad arguments, waiting in a circle and for a call of a later turn
+(``waits_for_later``) are reported; repeated rows are kept.
 """
 
 from __future__ import annotations
@@ -29,7 +30,9 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from fractions import Fraction
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,40 +48,72 @@ def canonical(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
+KNOWN = set("type enum const required properties additionalProperties patternProperties minProperties maxProperties items minItems maxItems uniqueItems minimum maximum exclusiveMinimum exclusiveMaximum multipleOf minLength maxLength pattern anyOf oneOf allOf not".split())
+NOTES = set("title description default examples deprecated readOnly writeOnly format $schema $id $comment $defs definitions".split())
+
+
 def check_schema(value, schema, at: str = "$") -> list[str]:
-    """What of a value breaks a JSON schema (type, enum, const, required, properties,
-    additionalProperties, items, bounds, lengths, pattern)."""
+    """What of a value breaks a JSON schema (the keywords ``KNOWN``); any other keyword that is not one of
+    the ``NOTES``, which demand nothing, is reported as unchecked."""
     if schema is True or not isinstance(schema, dict):
         return [] if schema is not False else [f"{at}: nothing is allowed"]
     if isinstance(value, dict) and set(value) == {"$result"}:
         return []  # known only after the call it waits for
-    out, kinds = [], schema.get("type")
+    out, kinds = [f"{at}: unchecked {k}" for k in sorted(set(schema) - KNOWN - NOTES)], schema.get("type")
     if kinds is not None:
         number = isinstance(value, (int, float)) and not isinstance(value, bool)
         fits = lambda k: number and (k == "number" or value == int(value)) if k in ("number", "integer") else isinstance(value, TYPES.get(k, ()))
         if not any(fits(k) for k in (kinds if isinstance(kinds, list) else [kinds])):
-            return [f"{at}: not {kinds if isinstance(kinds, str) else ' or '.join(kinds)}"]
+            return [*out, f"{at}: not {kinds if isinstance(kinds, str) else ' or '.join(kinds)}"]
     if "enum" in schema and value not in schema["enum"]:
         out.append(f"{at}: not in enum")
     if "const" in schema and value != schema["const"]:
         out.append(f"{at}: not const")
     if isinstance(value, (int, float)) and not isinstance(value, bool):
         low, high = schema.get("minimum"), schema.get("maximum")
+        above, below = schema.get("exclusiveMinimum"), schema.get("exclusiveMaximum")
         if low is not None and value < low or high is not None and value > high:
             out.append(f"{at}: out of bounds")
+        elif above is not None and value <= above or below is not None and value >= below:
+            out.append(f"{at}: out of bounds")
+        if step := schema.get("multipleOf"):
+            # as decimals: 0.3 is a multiple of 0.1
+            whole = Fraction(str(value)) / Fraction(str(step))
+            if whole.denominator != 1:
+                out.append(f"{at}: not a multiple")
     if isinstance(value, str):
         if not schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", len(value)):
             out.append(f"{at}: length")
         if "pattern" in schema and not re.search(schema["pattern"], value):
             out.append(f"{at}: pattern")
-    if isinstance(value, list) and "items" in schema:
-        out += [x for k, v in enumerate(value) for x in check_schema(v, schema["items"], f"{at}[{k}]")]
+    if isinstance(value, list):
+        if not schema.get("minItems", 0) <= len(value) <= schema.get("maxItems", len(value)):
+            out.append(f"{at}: length")
+        if schema.get("uniqueItems") and not waits_for(value) and len(set(map(canonical, value))) < len(value):
+            out.append(f"{at}: repeated items")
+        if "items" in schema:
+            out += [x for k, v in enumerate(value) for x in check_schema(v, schema["items"], f"{at}[{k}]")]
     if isinstance(value, dict):
-        known = schema.get("properties", {})
+        known, like = schema.get("properties", {}), schema.get("patternProperties", {})
         out += [f"{at}.{k}: missing" for k in schema.get("required", []) if k not in value]
+        if not schema.get("minProperties", 0) <= len(value) <= schema.get("maxProperties", len(value)):
+            out.append(f"{at}: length")
         for k in sorted(value):
-            rule = known.get(k, schema.get("additionalProperties", True))
-            out += [f"{at}.{k}: unknown"] if rule is False else check_schema(value[k], rule, f"{at}.{k}")
+            rules = ([known[k]] if k in known else []) + [x for p, x in like.items() if re.search(p, k)]
+            for rule in rules or [schema.get("additionalProperties", True)]:
+                out += [f"{at}.{k}: unknown"] if rule is False else check_schema(value[k], rule, f"{at}.{k}")
+    out += [x for part in schema.get("allOf", []) for x in check_schema(value, part, at)]
+    for word in ("anyOf", "oneOf", "not"):
+        if word not in schema:
+            continue
+        found = [check_schema(value, part, at) for part in ([schema[word]] if word == "not" else schema[word])]
+        unsure = [x for part in found for x in part if ": unchecked " in x]
+        fit = sum(not part for part in found)
+        out += sorted(set(unsure))
+        # a part with unchecked keywords or a value not known yet can turn out either way
+        open_ = bool(unsure) or bool(waits_for(value))
+        if word == "not" and fit and not open_ or word == "anyOf" and not fit and not unsure or word == "oneOf" and (not fit and not unsure or fit > 1 and not open_):
+            out.append(f"{at}: {word}")
     return out
 
 
@@ -148,30 +183,49 @@ def items_of(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
     return held.mapInArrow(lean(run), ITEM)
 
 
-def call_depths(calls: DataFrame, most: int = 1000) -> DataFrame:
-    """``(conv_id, id, depth)`` of the calls that wait for others; depth -1 marks a circle."""
+def local_depths(edges: pd.DataFrame) -> pd.DataFrame:
+    """``(conv_id, id, depth)`` of one conversation's edges ``(id, before)``; -1 where a circle is waited for."""
+    waits, after = {}, {}
+    for i, b in zip(edges["id"], edges["before"]):
+        waits[i] = waits.get(i, 0) + 1
+        waits.setdefault(b, 0)
+        after.setdefault(b, []).append(i)
+    depth = dict.fromkeys(waits, -1)
+    level, d = [i for i, n in waits.items() if not n], 0
+    while level:
+        nxt = []
+        for b in level:
+            depth[b] = d
+            for i in after.get(b, ()):
+                waits[i] -= 1
+                if not waits[i]:
+                    nxt.append(i)
+        level, d = nxt, d + 1
+    return pd.DataFrame({"conv_id": edges["conv_id"].iloc[0], "id": list(depth), "depth": list(depth.values())})
+
+
+def call_depths(calls: DataFrame, local_edges: int = 100_000) -> DataFrame:
+    """``(conv_id, id, depth)`` of the calls that wait for others; depth -1 marks a circle. Conversations of at
+    most ``local_edges`` dependencies are solved in one task each, larger ones in rounds until nothing changes."""
     own = calls.select("conv_id", "id").distinct()
     edges = calls.select("conv_id", "id", F.explode("waits").alias("before"))
-    edges = cut(edges.join(own.withColumnRenamed("id", "before"), ["conv_id", "before"], "left_semi").distinct())
-    open_, done, depth = edges, None, 0
-    total = edges.count()
-    nodes = edges.select("conv_id", "id").unionAll(edges.select("conv_id", F.col("before").alias("id"))).distinct()
-    while total and depth < most:
+    edges = cut(edges.join(own.withColumnRenamed("id", "before"), ["conv_id", "before"], "left_semi").distinct().select("conv_id", "id", "before"))
+    large = cut(edges.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > local_edges).select("conv_id"))
+    small = edges.join(large, "conv_id", "left_anti").groupBy("conv_id").applyInPandas(local_depths, "conv_id long, id string, depth int")
+    open_ = cut(edges.join(large, "conv_id", "left_semi"))
+    nodes = cut(open_.select("conv_id", "id").unionAll(open_.select("conv_id", F.col("before").alias("id"))).distinct())
+    done, depth = small, 0
+    while nodes.head(1):
         # what waits for nothing still open gets this depth
         free = cut(nodes.join(open_.select("conv_id", "id").distinct(), ["conv_id", "id"], "left_anti").withColumn("depth", F.lit(depth)))
-        done = free if done is None else done.unionAll(free)
-        left = cut(open_.join(free.select("conv_id", F.col("id").alias("before")), ["conv_id", "before"], "left_anti"))
-        nodes = nodes.join(free, ["conv_id", "id"], "left_anti")
-        depth += 1
-        remaining = left.count()
-        if remaining == open_.count():
+        if not free.head(1):
             break
-        open_ = left
-        nodes = cut(nodes)
-        if not nodes.head(1):
-            break
-    if done is None:
-        return own.limit(0).withColumn("depth", F.lit(0))
+        done = done.unionAll(free)
+        if depth % 50 == 49:
+            done = cut(done)
+        open_ = cut(open_.join(free.select("conv_id", F.col("id").alias("before")), ["conv_id", "before"], "left_anti"))
+        nodes = cut(nodes.join(free, ["conv_id", "id"], "left_anti"))
+        depth += 1
     return done.unionAll(nodes.withColumn("depth", F.lit(-1)))
 
 
@@ -188,7 +242,11 @@ def format_chats(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     schemas = items.where("kind = 'tool'").groupBy("conv_id", "name").agg(F.min_by("body", F.struct("turn", "place")).alias("schema"))
     linked = items.where("kind <> 'tool'").join(homes, ["conv_id", "id"], "left").join(twice, ["conv_id", "id"], "left")
     linked = linked.join(answers, ["conv_id", "id"], "left").join(call_depths(calls.where("id is not null")), ["conv_id", "id"], "left").join(schemas, ["conv_id", "name"], "left")
-    columns = ["conv_id", "turn", "place", "role", "kind", "id", "name", "body", "problems", "call_turn", "call_place", "twice", "answer_turn", "depth", "schema"]
+    # calls that wait for a call of a later turn: the order goes by turns, so they come out before it
+    waiting = calls.select("conv_id", "turn", "place", F.explode("waits").alias("before"))
+    later = waiting.join(homes.withColumnRenamed("id", "before"), ["conv_id", "before"]).where("call_turn > turn").select("conv_id", "turn", "place", F.lit("call").alias("kind"), F.lit(True).alias("later")).distinct()
+    linked = linked.join(later, ["conv_id", "turn", "place", "kind"], "left")
+    columns = ["conv_id", "turn", "place", "role", "kind", "id", "name", "body", "problems", "call_turn", "call_place", "twice", "answer_turn", "depth", "schema", "later"]
     names = ["conv_id", "anchor", "depth", "anchor_place", "kind", "turn", "place", "role", "id", "linked_turn", "problems", "json"]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.string()]
 
@@ -201,7 +259,7 @@ def format_chats(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
                     shown, link = {"role": r["role"], "content": body or ""}, None
                 elif r["kind"] == "call":
                     args, link = json.loads(body), r["answer_turn"]
-                    problems += ["no_id"] * (r["id"] is None) + ["duplicate_id"] * bool(r["twice"]) + ["no_result"] * (link is None) + ["circle"] * (r["depth"] == -1)
+                    problems += ["no_id"] * (r["id"] is None) + ["duplicate_id"] * bool(r["twice"]) + ["no_result"] * (link is None) + ["circle"] * (r["depth"] == -1) + ["waits_for_later"] * bool(r["later"])
                     if r["schema"] is None:
                         problems.append("unknown_tool")
                     else:

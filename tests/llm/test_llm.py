@@ -371,6 +371,28 @@ def test_schema_rules():
     assert chat.canonical({"b": 1, "a": "é"}) == '{"a":"é","b":1}'
 
 
+def test_chat_long_chains_and_later_turns(spark):
+    call = lambda i, b: "<tool_call>" + json.dumps({"id": i, "name": "f", "arguments": {"x": {"$result": b}} if b else {}}) + "</tool_call>"
+    chain = "".join(call(f"c{k}", f"c{k - 1}" if k else None) for k in range(1200))
+    rows = [(1, 0, "assistant", chain), (2, 0, "assistant", call("a", "b")), (2, 1, "assistant", call("b", None))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.format_chats(df).collect()
+    assert {r.id: r.depth for r in got if r.conv_id == 1} == {f"c{k}": k for k in range(1200)} and not any("circle" in r.problems for r in got)
+    assert {r.id: "waits_for_later" in r.problems for r in got if r.conv_id == 2} == {"a": True, "b": False}
+    edges = [(1, "a", ["b"]), (1, "b", ["c"]), (1, "c", []), (1, "p", ["q"]), (1, "q", ["p"])]
+    calls = spark.createDataFrame(edges, "conv_id long, id string, waits array<string>")
+    want = {("a", 2), ("b", 1), ("c", 0), ("p", -1), ("q", -1)}
+    for local in (0, 100):
+        assert {(r.id, r.depth) for r in chat.call_depths(calls, local).collect()} == want
+
+
+def test_schema_further_keywords():
+    good = [(1, {"anyOf": [{"type": "integer"}, {"type": "string"}]}), (3, {"oneOf": [{"minimum": 2}, {"maximum": 1}]}), (0.3, {"multipleOf": 0.1}), ({"a1": 1}, {"patternProperties": {"^a": {"type": "integer"}}, "additionalProperties": False}), ([1, 2], {"minItems": 2, "uniqueItems": True, "description": "two"})]
+    bad = [(None, good[0][1]), (1, {"oneOf": [{"minimum": 0}, {"maximum": 1}]}), (0.35, {"multipleOf": 0.1}), ({"a1": "x"}, good[3][1]), ([1], good[4][1]), ([1, 1], good[4][1]), (1, {"not": {"type": "integer"}}), (1, {"allOf": [{"minimum": 2}]}), (1, {"exclusiveMinimum": 1})]
+    assert [chat.check_schema(*x) for x in good] == [[]] * 5 and all(chat.check_schema(*x) for x in bad)
+    assert chat.check_schema(1, {"$ref": "#/x"}) == ["$: unchecked $ref"]
+
+
 def test_pipeline_stages(spark, corpus, tmp_path):
     df, rows = corpus
     rng = random.Random(11)
