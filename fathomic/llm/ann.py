@@ -15,13 +15,16 @@ piece pair is bounded whatever the skew; partial top-k rows meet in a window wit
 a map-side limit.  Of equal vectors only the ``k + 1`` smallest ids can be in any
 answer (ties go to the smaller id), so the others are not filed: an exact reduction.
 
-Bounds: the fit sample (``sample_rows``) and the centroids (``max_lists``) are
-parameters; centroids are broadcast, at most ``max_lists * (dim + 1)`` doubles.
+Bounds: the fit sample (``sample_rows`` distinct vectors, the ones of smallest hash)
+and the centroids (``max_lists``, an eighth of the sample) are parameters; centroids
+are broadcast, at most ``max_lists * (dim + 1)`` doubles.  Many centroids are fitted
+in two levels, so the driver's work is about ``sample_rows * sqrt(max_lists)``.
 
 Defined results: vectors that are null, zero, of another length than most, or that
-hold null or non-finite components take no part; repeated equal rows count once
-and a query never finds its own id; fewer than k candidates give all of them;
-an empty table gives no rows; other columns are ignored.
+hold null or non-finite components take no part; repeated equal rows count once; an
+id with several vectors counts by the best of them, on either side; a query never
+finds its own id; fewer than k candidates give all of them; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +33,8 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +44,10 @@ from .common import cut, lean
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
     """Lloyd centroids whose oversized lists are split: a centroid with more than four
     times its share gives its place's neighbour, the smallest one, a row of its own."""
+    if k > 1024:
+        top = nearest(x, kmeans(x, math.isqrt(k), rounds, seed), 1)[0][:, 0]
+        parts = [x[top == t] for t in np.unique(top)]
+        return np.concatenate([kmeans(p, max(1, min(len(p), round(k * len(p) / len(x)))), rounds, seed) for p in parts])
     rng = np.random.default_rng(seed)
     centers = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
@@ -118,6 +125,13 @@ def beam_search(queries: np.ndarray, centers: np.ndarray, graph: np.ndarray, bea
     return ids, np.sqrt(np.maximum(dist + (queries**2).sum(1)[:, None], 0))
 
 
+def best_of_ids(scores: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Best score of each distinct id for every query: ``(queries x ids, ids)``."""
+    order = np.argsort(ids, kind="stable")
+    known, first = np.unique(ids[order], return_index=True)
+    return (scores[:, order], known) if len(known) == len(ids) else (np.maximum.reduceat(scores[:, order], first, axis=1), known)
+
+
 def probing(queries: np.ndarray, asked: np.ndarray, homes: np.ndarray, centers: np.ndarray, graph: np.ndarray, probes: int, ratio: float, recall: float) -> tuple[int, float]:
     """The least doubling of ``probes``, and the ratio, whose lists hold the share ``recall`` of known
     neighbours: neighbour i belongs to query ``asked[i]`` and is filed under the lists ``homes[i]`` (-1: none)."""
@@ -133,120 +147,133 @@ def probing(queries: np.ndarray, asked: np.ndarray, homes: np.ndarray, centers:
     return (probes, ratio) if not len(asked) else (len(centers), math.inf)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    flat = pc.list_flatten(column).to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1).astype(np.float64)
 
 
-def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", list_rows: int = 512, sample_rows: int = 40_000, max_lists: int = 16_384, replicas: int = 4, closure: float = 0.15, ratio: float = 0.35, probes: int = 24, query_rows: int = 512, recall: float = 0.95, trial_rows: int = 128) -> DataFrame:
+def _lists(ids: np.ndarray, keep: np.ndarray) -> pa.Array:
+    """The kept entries of each row as an Arrow list."""
+    ends = np.concatenate([[0], np.cumsum(keep.sum(1))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(ids[keep].astype(np.int32)))
+
+
+def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", list_rows: int = 512, sample_rows: int = 131_072, max_lists: int = 16_384, replicas: int = 4, closure: float = 0.15, ratio: float = 0.35, probes: int = 24, query_rows: int = 512, recall: float = 0.95, trial_rows: int = 128) -> DataFrame:
     """The k nearest other rows of each row for which the Column ``is_query`` holds:
     ``(query_id, rank, <id_col>, score)``, exact scores of what was found."""
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score double")
-    held = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), is_query.alias("q"))
+    kind = "float" if dict(vectors.dtypes)[vec_col] == "array<float>" else "double"  # floats are filed as floats
+    held = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(f"array<{kind}>").alias("v"), is_query.alias("q"))
     inf = F.lit(float("inf"))
     fine = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < inf)) & F.exists("v", lambda x: x != 0)
     held = held.where("id is not null").where(F.coalesce(fine, F.lit(False)))
-    length = held.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    norm2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    length = held.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("rows"), F.max(norm2).alias("most")).orderBy(F.desc("rows"), "d").first()
     if length is None:
         return empty
-    d = length.d
+    d, rows, most = length.d, length.rows, length.most
     held = held.where(F.size("v") == d)
-    norm2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    rows, most = held.agg(F.count(F.lit(1)), F.max(norm2)).first()
-    # the sample: smallest hashes first, the same rows on every run
+    # the sample: distinct vectors of smallest hash, the same ones on every run
+    place = F.pmod(F.xxhash64("v", F.lit(3)), F.lit(1 << 20))
     share = min(1.0, 1.5 * sample_rows / rows)
-    picked = held.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("v").limit(sample_rows)
-    x = np.array(picked.toPandas()["v"].tolist(), np.float64).reshape(-1, d)
+    picked = held.where(place < int(share * (1 << 20)) + 1).select("v").distinct().orderBy(place, "v").limit(sample_rows)
+    x = _matrix(picked.toArrow().column("v"))
     lift = lambda m: np.concatenate([m, np.sqrt(np.maximum(most - (m**2).sum(1), 0))[:, None]], 1)
     if not len(x):
-        x = np.array([held.first().v])
+        x = np.array([held.first().v], np.float64)
     lists = max(1, min(max_lists, rows // (list_rows // 2), len(x) // 8))
     centers = kmeans(lift(x), lists)
-    graph = centroid_graph(centers)
+    lists, graph = len(centers), centroid_graph(centers)
     held_centers = spark.sparkContext.broadcast((centers, graph))
 
-    def homes(v: np.ndarray, centers: np.ndarray) -> np.ndarray:
-        ids, dist = nearest(lift(v), centers, replicas)
-        return np.where(dist <= dist[:, :1] * (1 + closure) + 1e-12, ids, -1)
-
     def aim(q: np.ndarray) -> np.ndarray:
         # a query's own length does not change its order of rows; scaled, it sits among them
         return np.concatenate([q * (math.sqrt(most) / np.sqrt((q**2).sum(1)))[:, None], np.zeros((len(q), 1))], 1)
 
+    def file_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centers, _ = held_centers.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                ids, dist = nearest(lift(_matrix(part.column(1))), centers, replicas)
+                yield pa.RecordBatch.from_arrays([*part.columns, _lists(ids, dist <= dist[:, :1] * (1 + closure) + 1e-12)], ["id", "v", "lists"])
+
+    filed_as = f"id long, v array<{kind}>, lists array<int>"
+    copies = Window.partitionBy("v").orderBy("id")
+    # rows that repeat id and vector fold in a partial aggregate before the copies of a vector meet
+    kept = held.select("id", "v").distinct().withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1)
+    filed = cut(kept.select("id", "v").mapInArrow(lean(file_rows), filed_as))
+    queries = held.where("q").select("id", "v").distinct()
+
     if probes < lists:
-        trial = held.where("q").select("id", "v").orderBy(F.xxhash64("id", F.lit(5)), "id").limit(trial_rows).toPandas()
+        trial = queries.orderBy(F.xxhash64("id", F.lit(5)), "id", "v").limit(trial_rows).toArrow()
         if len(trial):
-            asked_v, own = np.array(trial["v"].tolist()), trial["id"].to_numpy()
+            asked_v, own = _matrix(trial.column("v")), trial.column("id").to_numpy()
 
             def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                best, ids = np.full((len(own), 0), 0.0), np.zeros((len(own), 0), np.int64)
+                best, ids, homes = np.full((len(own), 0), 0.0), np.zeros((len(own), 0), np.int64), np.zeros((len(own), 0, replicas), np.int64)
                 for batch in batches:
                     for at in range(0, batch.num_rows, 4096):
                         part = batch.slice(at, 4096)
                         new = part.column(0).to_numpy(zero_copy_only=False)
                         s = np.where(own[:, None] == new[None, :], -np.inf, asked_v @ _matrix(part.column(1)).T)
-                        best, ids = np.concatenate([best, s], 1), np.concatenate([ids, np.tile(new, (len(own), 1))], 1)
+                        near = np.argpartition(s, -k, axis=1)[:, -k:] if s.shape[1] > k else np.tile(np.arange(s.shape[1]), (len(own), 1))
+                        in_ = np.full((len(new), replicas), -1, np.int64)
+                        n = pc.list_value_length(part.column(2)).to_numpy(zero_copy_only=False)
+                        in_[np.arange(replicas) < n[:, None]] = pc.list_flatten(part.column(2)).to_numpy(zero_copy_only=False)
+                        best, ids = np.concatenate([best, np.take_along_axis(s, near, 1)], 1), np.concatenate([ids, new[near]], 1)
+                        homes = np.concatenate([homes, in_[near]], 1)
                         if best.shape[1] > k:
                             top = np.argpartition(best, -k, axis=1)[:, -k:]
-                            best, ids = np.take_along_axis(best, top, 1), np.take_along_axis(ids, top, 1)
+                            best, ids, homes = np.take_along_axis(best, top, 1), np.take_along_axis(ids, top, 1), np.take_along_axis(homes, top[:, :, None], 1)
                 row, col = np.nonzero(np.isfinite(best))
-                yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), pa.array(ids[row, col]), pa.array(best[row, col])], ["asked", "id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), pa.array(ids[row, col]), pa.array(best[row, col]), pa.array(list(homes[row, col]), pa.list_(pa.int64()))], ["asked", "id", "score", "homes"])
 
             near = Window.partitionBy("asked").orderBy(F.desc("score"), "id")
-            true = held.select("id", "v").mapInArrow(lean(brute), "asked int, id long, score double").distinct()
-            true = cut(true.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k).select("asked", "id"))
-            told = held.select("id", "v").join(F.broadcast(true), "id").toPandas()
+            true = filed.mapInArrow(lean(brute), "asked int, id long, score double, homes array<long>").groupBy("asked", "id").agg(F.max("score").alias("score"), F.max_by("homes", "score").alias("homes"))
+            # at most trial_rows * k rows
+            told = true.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k).select("asked", "homes").toArrow()
             if len(told):
-                probes, ratio = probing(aim(asked_v), told["asked"].to_numpy(), homes(np.array(told["v"].tolist()), centers), centers, graph, probes, ratio, recall)
-
-    def file_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centers, _ = held_centers.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                ids = homes(_matrix(part.column(1)), centers)
-                row, col = np.nonzero(ids >= 0)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row, col].astype(np.int32)), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row))], ["list", "id", "v"])
+                probes, ratio = probing(aim(asked_v), told.column("asked").to_numpy(), _matrix(told.column("homes")), centers, graph, probes, ratio, recall)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centers, graph = held_centers.value
         for batch in batches:
-            step = max(8, 256 * 24 // max(probes, 24))  # bounds the copies of a batch
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 ids, dist = beam_search(aim(_matrix(part.column(1))), centers, graph, probes)
-                row, col = np.nonzero(dist <= dist[:, :1] * (1 + ratio) + 1e-12)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row, col].astype(np.int32)), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row))], ["list", "id", "v"])
+                order = np.argsort(dist, axis=1, kind="stable")
+                ids, dist = np.take_along_axis(ids, order, 1), np.take_along_axis(dist, order, 1)
+                yield pa.RecordBatch.from_arrays([*part.columns, _lists(ids, dist <= dist[:, :1] * (1 + ratio) + 1e-12)], ["id", "v", "lists"])
 
-    copies = Window.partitionBy("v").orderBy("id")
-    kept = held.select("id", "v").withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1)
-    filed = kept.select("id", "v").mapInArrow(lean(file_rows), "list int, id long, v array<double>")
-    sizes = cut(filed.groupBy("list").agg(F.count(F.lit(1)).alias("n")))
-    asked = held.where("q").select("id", "v").mapInArrow(lean(ask), "list int, id long, v array<double>")
-    asked_sizes = asked.groupBy("list").agg(F.count(F.lit(1)).alias("m"))
+    asked = cut(queries.mapInArrow(lean(ask), filed_as))
+    per_list = lambda rows, n: rows.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count(F.lit(1)).alias(n))
     # at most max_lists rows: the number of pieces of each list and of its queries
-    pieces = F.broadcast(cut(sizes.join(asked_sizes, "list").select("list", F.ceil(F.col("n") / list_rows).cast("int").alias("pieces"), F.ceil(F.col("m") / query_rows).cast("int").alias("asks"))))
-    salt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    left = filed.join(pieces, "list").select("list", salt("pieces").alias("piece"), F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("ask"), "id", "v")
-    right = asked.join(pieces, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), salt("asks").alias("ask"), "id", "v")
-
-    def scan(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows) or not len(queries):
-            return pd.DataFrame({"query_id": [], "id": [], "score": []})
-        v, ids = np.array(rows["v"].tolist()), rows["id"].to_numpy()
-        out = []
-        for at in range(0, len(queries), 128):
-            q, own = np.array(queries["v"].iloc[at : at + 128].tolist()), queries["id"].to_numpy()[at : at + 128]
-            s = np.where(own[:, None] == ids[None, :], -np.inf, q @ v.T)
-            edge = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(q), -np.inf)
-            slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(edge), edge, 0)))
-            a, b = np.nonzero((s >= (edge - slack)[:, None]) & np.isfinite(s))
-            out.append(pd.DataFrame({"query_id": own[a], "id": ids[b], "score": np.einsum("nd,nd->n", q[a], v[b])}))
-        return pd.concat(out)
+    many = lambda n, size: F.ceil(F.col(n) / size).cast("int")
+    pieces = F.broadcast(cut(per_list(filed, "n").join(per_list(asked, "m"), "list").select("list", many("n", list_rows).alias("pieces"), many("m", query_rows).alias("asks"))))
+    salt = lambda n: F.pmod(F.xxhash64("id", "v"), F.col(n)).cast("int")
+    opened = lambda rows: rows.select("id", "v", F.explode("lists").alias("list")).join(pieces, "list")
+    left = opened(filed).select("list", salt("pieces").alias("piece"), F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("ask"), "id", "v")
+    right = opened(asked).select("list", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), salt("asks").alias("ask"), "id", "v")
+
+    def scan(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        out = [pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})]
+        if len(rows) and len(queries):
+            v, ids = _matrix(rows.column("v")), rows.column("id").to_numpy()
+            asked_v, asked_id = _matrix(queries.column("v")), queries.column("id").to_numpy()
+            for at in range(0, len(queries), 128):
+                q, own = asked_v[at : at + 128], asked_id[at : at + 128]
+                s = np.where(own[:, None] == ids[None, :], -np.inf, q @ v.T)
+                best, known = best_of_ids(s, ids)  # the cut-off counts ids, not rows
+                edge = np.partition(best, -k, axis=1)[:, -k] if len(known) > k else np.full(len(q), -np.inf)
+                slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(edge), edge, 0)))
+                a, b = np.nonzero((s >= (edge - slack)[:, None]) & np.isfinite(s))
+                out.append(pa.table({"query_id": own[a], "id": ids[b], "score": np.einsum("nd,nd->n", q[a], v[b])}))
+        return pa.concat_tables(out)
 
     key = ["list", "piece", "ask"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(scan, "query_id long, id long, score double")
-    found = found.distinct()  # a replica is met in several lists; its score is the same everywhere
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(scan, "query_id long, id long, score double")
+    found = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))  # a replica is met in several lists, an id may have several vectors
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")

@@ -422,3 +422,29 @@ def test_pipeline_keeps_one_row_of_each_component(spark):
     df = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], DOC)
     got = corpus_pipeline.near_duplicates(spark, df, "").collect()
     assert sorted([(r.doc_id, r.text) for r in got], key=str) == sorted([(None, a), (None, b), (3, c), (7, d), (9, e), (None, None)], key=str)
+
+
+def test_ann_gives_all_answers_where_rows_repeat(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 8))
+    common = rng.normal(size=8) * 3
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(500, common.tolist())] * 40 + [(600 + i, common.tolist()) for i in range(11)]
+    rows += [(700, (common * s).tolist()) for s in np.linspace(0.5, 1.5, 30)]  # one id with many vectors
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("x"))
+    got = ann.search(df, F.col("vec_id") % 20 == 0).toPandas()
+    for q in {i for i, _ in rows if i % 20 == 0}:
+        best = {}
+        for _, a in (r for r in set((i, tuple(v)) for i, v in rows) if r[0] == q):
+            for i, b in rows:
+                if i != q:
+                    best[i] = max(best.get(i, -np.inf), float(np.dot(a, b)))
+        want = sorted(best.items(), key=lambda z: (-round(z[1], 9), z[0]))[:20]
+        own = got[got.query_id == q].sort_values("rank")
+        assert own["rank"].tolist() == list(range(1, 21)) and np.allclose(own.score, [s for _, s in want])
+        assert own.vec_id.tolist() == [i for i, _ in want]
+
+
+def test_ann_fits_many_centroids_in_two_levels():
+    x = np.random.default_rng(2).normal(size=(12_000, 6))
+    centers = ann.kmeans(x, 1500)
+    assert 1350 <= len(centers) <= 1650 and np.bincount(ann.nearest(x, centers, 1)[0][:, 0]).max() < 80
