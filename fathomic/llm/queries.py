@@ -60,7 +60,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.ordered(chat.format_chats(table(spark, sf_dir, "conversations")))
+    return chat.format_chats(table(spark, sf_dir, "conversations"), in_order=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

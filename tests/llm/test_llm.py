@@ -354,7 +354,7 @@ def test_chat_links_orders_and_checks(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("id", F.lit(1))
     got = chat.ordered(chat.format_chats(df)).collect()
     one = [(r.kind, r.id, r.linked_turn, r.problems) for r in got if r.conv_id == 1 and r.kind != "message"]
-    assert one == [("call", "a", 3, []), ("result", "a", 2, []), ("call", "b", 4, []), ("result", "b", 2, []), ("result", "zz", None, ["no_call"])] or {x[:3] for x in one} == {("call", "a", 3), ("result", "a", 2), ("call", "b", 4), ("result", "b", 2), ("result", "zz", None)}
+    assert one == [("call", "a", 3, []), ("result", "a", 2, []), ("call", "b", 4, []), ("result", "b", 2, []), ("result", "zz", None, ["no_call"])]
     assert '{"content":"say \\"é\\"","role":"user"}' in [r.json for r in got] and sum(r.json == '{"content":"say \\"é\\"","role":"user"}' for r in got) == 2
     assert '{"content":{"b":2,"z":1},"role":"tool","tool_call_id":"a"}' in [r.json for r in got]
     problems = {(r.conv_id, r.turn, r.place): r.problems for r in got}
@@ -448,3 +448,64 @@ def test_ann_fits_many_centroids_in_two_levels():
     x = np.random.default_rng(2).normal(size=(12_000, 6))
     centers = ann.kmeans(x, 1500)
     assert 1350 <= len(centers) <= 1650 and np.bincount(ann.nearest(x, centers, 1)[0][:, 0]).max() < 80
+
+
+def test_chat_reports_what_would_break_it(spark):
+    call = lambda a, i="c": f'<tool_call>{{"id": "{i}", "name": "f", "arguments": {a}}}</tool_call>'
+    tools = lambda p: f'<tools>[{{"name": "f", "parameters": {p}}}]</tools>'
+    deep = "[" * 3000 + "]" * 3000
+    schemas = [
+        '{"properties": {"x": {"pattern": "("}}}', '{"properties": []}', '{"properties": {"x": {"minimum": "1"}}}', '{"type": {"a": 1}}', '{"required": 3}', '{"type": "thing"}', '{"multipleOf": 0}', '{"enum": 3}',
+        '{"anyOf": {"a": 1}}', '{"items": 3}', '{"patternProperties": {"[": true}}', '{"minLength": "a"}', '{"allOf": [3]}', '{"required": [1]}', '"text"', '{"uniqueItems": 1}', '[]',
+    ]
+    rows = [
+        (1, 0, "assistant", call('{"x": NaN}')), (2, 0, "tool", '{"tool_call_id": "c", "content": 1e999}'), (3, 0, "assistant", call('"\\ud800"')), (4, 0, "assistant", call(deep)), (5, 0, "assistant", call(json.dumps(deep))),
+        (6, 0, "assistant", call(json.dumps('{"x": -Infinity}'))), (7, 0, "assistant", call("1" * 5000)), (8, 0, "assistant", '<tool_call>{"id": {"b": [1]}, "name": null, "arguments": {}}</tool_call>'), (9, 0, "system", "<tools>3</tools><tools>[1, {}]</tools>"),
+        (10, 0, "tool", deep), (11, 0, "assistant", '<tool_call>{"id": "\\udc00", "name": "f"}</tool_call>'),
+    ] + [x for k, p in enumerate(schemas) for x in ((100 + k, 0, "system", tools(p)), (100 + k, 1, "assistant", call('{"x": "aaaa"}')))]
+    rows += [(200, 0, "system", tools('{"properties": {"x": {"pattern": "(a|aa)+$"}}}')), (200, 1, "assistant", call(json.dumps({"x": "a" * 60 + "!"})))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.format_chats(df, in_order=True).collect()
+    problems = {r.conv_id: r.problems for r in got if r.kind != "message" or r.problems}
+    said = {r.conv_id: json.loads(r.json) for r in got}
+    assert {k: problems[k] for k in (1, 2, 3, 4, 7, 10, 11)} == {1: ["bad_json"], 2: ["bad_json"], 3: ["bad_text"], 4: ["bad_json"], 7: ["bad_json"], 10: ["bad_json"], 11: ["bad_text"]}
+    assert said[1]["content"] == '{"id": "c", "name": "f", "arguments": {"x": NaN}}' and said[10] == {"role": "tool", "content": deep}
+    assert said[5]["tool_call"]["arguments"] == deep and said[6]["tool_call"]["arguments"] == '{"x": -Infinity}' and problems[5] == problems[6] == ["no_result", "unknown_tool"]
+    assert said[8]["tool_call"] == {"id": '{"b":[1]}', "name": None, "arguments": {}}
+    assert [r.problems for r in got if r.conv_id == 9 and r.kind == "message"] == [["bad_json"], ["bad_json"]]
+    assert all(problems[100 + k] == ["no_result", "bad_schema"] for k in range(len(schemas)))
+    assert problems[200] in (["no_result", "arguments $.x: pattern"], ["no_result", "arguments $.x: unchecked pattern"])
+    keys = [(r.conv_id, r.anchor, r.depth, r.anchor_place) for r in got]
+    assert keys == sorted(keys)
+
+
+def test_chat_json_of_any_kind_never_breaks_it():
+    rng = random.Random(17)
+    words_ = sorted(chat.KNOWN) + ["x", "$result", "$ref"]
+
+    def value(depth):
+        kind = rng.randrange(9 if depth else 6)
+        if kind >= 6:
+            return {rng.choice(words_): value(depth - 1) for _ in range(rng.randrange(4))} if kind < 8 else [value(depth - 1) for _ in range(rng.randrange(3))]
+        return [None, True, rng.randrange(-3, 4), 0.5, rng.choice(["", "a", "(", "object", "integer", "^a"]), "string"][kind]
+
+    checked = 0
+    for _ in range(12_000):
+        v, schema = value(3), value(4)
+        if chat.well_formed(schema):
+            assert isinstance(chat.check_schema(v, schema), list)
+            checked += isinstance(schema, dict) and len(schema) > 0
+        assert isinstance(chat.parse("assistant", f"<tool_call>{json.dumps(v)}</tool_call><tools>{json.dumps(schema)}</tools>"), list)
+    assert checked > 100 and chat.check_schema(True, {"enum": [1]}) and chat.check_schema(1.0, {"enum": [1]}) == []
+
+
+def test_chat_depths_of_long_chains_and_ladders(spark):
+    edges = {f"c{k}": [f"c{k - 1}"] for k in range(1, 3000)} | {"c0": []}
+    edges |= {f"l{k}": [f"l{k - 1}", f"c{10 * k}"] for k in range(1, 6)} | {"l0": ["c5"], "m": ["c7", "l5", "c2999"], "n": ["m"]}
+    edges |= {"p": ["q"], "q": ["r"], "r": ["p"], "s": ["p"], "u": ["s", "c3"], "v": ["u"]}
+    want = {}
+    for name in sorted(edges, key=lambda n: (n[0] != "c", n[0] not in "l", int(n[1:] or 0), n)):
+        want[name] = -1 if any(want.get(b, -1) < 0 for b in edges[name]) else max((want[b] + 1 for b in edges[name]), default=0)
+    calls = spark.createDataFrame([(1, i, b) for i, b in edges.items()], "conv_id long, id string, waits array<string>")
+    got = {r.id: r.depth for r in chat.call_depths(calls, 0).collect()}
+    assert got == want == {r.id: r.depth for r in chat.call_depths(calls).collect()}
