@@ -74,6 +74,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def kept_columns(docs: DataFrame, keep: list[str] | None, made: tuple[str, ...]) -> list[str]:
+    """The columns to carry along: ``keep``, or all but those that have the name of a made one."""
+    return [c for c in (docs.columns if keep is None else keep) if c not in made]
+
+
+def spare_names(docs: DataFrame, *names: str) -> tuple[str, ...]:
+    """The names, lengthened until ``docs`` has no column called so."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return tuple(out)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4_000_000, max_rows: int = 2_000) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that ``column`` holds at most about ``max_bytes`` in each
     piece (a single longer text stays whole): bounds a Python worker's memory."""

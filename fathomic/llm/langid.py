@@ -13,7 +13,9 @@ text whole, in pieces of any length.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; a
 corpus without a labelled row gives ``und`` throughout; repeated rows repeat;
-ids may be null (such rows count as the id of empty text for the fold).
+ids may be null (such rows count as the id of empty text for the fold); an input
+column of a result's name gives way to the result (``names`` can rename those); of
+equal scores the language that sorts first wins; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, lean, slices
+from .common import bound_batches, kept_columns, lean, slices
 
 BITS = 20
 #: Odd multipliers of the three n-gram orders (a multiply-shift hash into BITS bits).
@@ -90,10 +92,10 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     # ids first (no text is shuffled).  Salts of the hash thin a language's rows before its own
     # window sees them: its smallest hashes lie evenly over the salts.
     order, salts = F.xxhash64(F.col("id").cast("string"), F.lit(8)), 64
-    hashed = rows.select("id", "lang", order.alias("h")).withColumn("salt", F.pmod("h", F.lit(salts)))
+    hashed = rows.select("id", "lang", order.alias("h")).distinct().withColumn("salt", F.pmod("h", F.lit(salts)))
     thin = hashed.withColumn("place", F.row_number().over(Window.partitionBy("lang", "salt").orderBy("h", "id"))).where(F.col("place") <= 4 * sample_total // salts + 32)
     spread = thin.select("id", "lang", "h").withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("place") <= sample_total)
-    ids = spread.orderBy("place", "h", "lang").limit(sample_total).select("id", "lang").distinct()
+    ids = spread.orderBy("place", "h", "lang").limit(sample_total).select("id", "lang")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -101,7 +103,8 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets, pa.binary())], ["id", "lang", "grams"])
 
     sample = rows.join(F.broadcast(ids), ["id", "lang"]).select("id", "lang", "text").mapInArrow(lean(grams), rows.select("id", "lang").schema.add("grams", "binary"))
-    got = sorted(sample.limit(2 * sample_total).collect(), key=lambda r: (str(r.lang), str(r.id)))
+    # rows that share id and language count once: at most sample_total rows come to the driver
+    got = sorted(sample.groupBy("id", "lang").agg(F.min("grams").alias("grams")).collect(), key=lambda r: (str(r.lang), str(r.id)))
     if not got:
         return None
     languages = sorted({r.lang for r in got})
@@ -135,12 +138,12 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     return LanguageModel(languages, column, marks, (root @ solved[:-1]).astype(np.float32), solved[-1].astype(np.float32))
 
 
-def predict(docs: DataFrame, model: LanguageModel | None, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
-    """``docs`` columns named in ``keep`` plus ``lang_pred`` and ``score``."""
-    keep = docs.columns if keep is None else keep
+def predict(docs: DataFrame, model: LanguageModel | None, keep: list[str] | None = None, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` columns named in ``keep`` plus the prediction and its score, as ``names``."""
+    keep = kept_columns(docs, keep, names)
     bound_batches(docs.sparkSession)
     held = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*keep).schema.add(names[0], "string").add(names[1], "double")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

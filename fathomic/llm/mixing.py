@@ -2,10 +2,13 @@
 
 A budget of tokens flows down the tree: each node shares its budget among its
 children by weight.  A child that cannot use its share (its tokens times
-``max_epochs``) gives the rest to its siblings by their weights; only what no
-sibling can use moves on at the level above.  A leaf with a budget of e whole
-epochs and a remainder takes every document e times and then the token-prefix of
-the next epoch, whose order is the md5 of seed, epoch and id.
+``max_epochs``, of leaves that no weight of zero shuts off) gives the rest to its
+siblings by their weights; only what no sibling can use moves on at the level above.
+The leaves' budgets are whole tokens whose sum is the target, or all that the tree
+can use.  A leaf with a budget of e whole epochs and a remainder takes every document
+e times and then the token-prefix of the next epoch, whose order is the md5 of seed,
+epoch and id.  Tokens are words between white space unless ``size`` gives a Column of
+another count, such as a tokenizer's.
 
 The prefix is found without sorting a leaf in one place: totals of 4,096 hash
 ranges give the range in which the prefix ends, and only that range is ordered.
@@ -15,7 +18,8 @@ The table of leaves is collected and broadcast, so it is checked against
 Defined results: null domain, language and source are leaves of their own; null
 and empty texts have no tokens and are taken with the prefix they fall in; rows of
 one id have one place in the order and are taken together; a leaf without tokens
-takes its documents once; an empty table gives no rows.
+takes its documents once; an empty table gives no rows; columns of ``docs`` may have
+any name that does not begin with ``__mix_``.
 """
 
 from __future__ import annotations
@@ -64,7 +68,7 @@ def grow(leaves: list[tuple[tuple[str, ...], int]], weights: dict[tuple[str, ...
             settle(child, (*path, name))
         if node.children:
             node.tokens = sum(c.tokens for c in node.children.values())
-            node.room = sum(c.room for c in node.children.values())
+            node.room = sum(c.room for c in node.children.values() if c.weight > 0)
         else:
             node.room = node.tokens * max_epochs
         node.weight = (weights or {}).get(path, float(node.tokens) ** temperature if node.tokens else 0.0)
@@ -92,23 +96,37 @@ def allot(node: Node, budget: float) -> None:
         open_ = [c for c in open_ if c not in full]
 
 
-def plan(docs: DataFrame, target_tokens: float | None = None, share: float = 1.0, weights: dict[tuple[str, ...], float] | None = None, temperature: float = 0.7, max_epochs: float = 4.0, seed: int = 17, domain: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", max_leaves: int = 200_000) -> tuple[DataFrame, DataFrame]:
+def whole_tokens(leaves: list[Node], total: float) -> list[int]:
+    """The leaves' budgets as whole numbers whose sum is ``total`` rounded: rounded down, what is left goes
+    to the largest remainders (the first of equal ones) that have room for one more."""
+    out = [int(n.budget + 1e-6) for n in leaves]
+    left = round(total) - sum(out)
+    order = sorted(range(len(out)), key=lambda k: (out[k] - round(leaves[k].budget, 6), k))
+    while left > 0 and (open_ := [k for k in order if leaves[k].budget > 0 and out[k] + 1 <= leaves[k].room + 1e-6]):
+        for k in open_[:left]:
+            out[k] += 1
+        left -= min(left, len(open_))
+    return out
+
+
+def plan(docs: DataFrame, target_tokens: float | None = None, share: float = 1.0, weights: dict[tuple[str, ...], float] | None = None, temperature: float = 0.7, max_epochs: float = 4.0, seed: int = 17, domain: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", size: Column | None = None, max_leaves: int = 200_000) -> tuple[DataFrame, DataFrame]:
     """``(counted, leaves)``: ``counted`` has one row ``(id, domain, lang, source, tokens)`` per document;
     ``leaves`` one row per leaf with its whole epochs, the epoch of the prefix and the prefix's end."""
     spark = docs.sparkSession
     name = lambda c: F.coalesce(c.cast("string"), F.lit(NONE))
     path = ["domain", "lang", "source"]
     told = (default_domain(source_col) if domain is None else domain, F.col(lang_col), F.col(source_col))
-    counted = cut(docs.select(F.col(id_col).cast("string").alias("id"), *(name(c).alias(p) for c, p in zip(told, path)), word_count(text_col).alias("tokens")))
+    counted = cut(docs.select(F.col(id_col).cast("string").alias("id"), *(name(c).alias(p) for c, p in zip(told, path)), (word_count(text_col) if size is None else F.coalesce(size.cast("long"), F.lit(0))).alias("tokens")))
     totals = counted.groupBy(*path).agg(F.sum("tokens").alias("tokens")).limit(max_leaves + 1).collect()
     if len(totals) > max_leaves:
         raise ValueError(f"more than {max_leaves} leaves; name a coarser tree")
     tree = grow([((r.domain, r.lang, r.source), r.tokens) for r in totals], weights, temperature, max_epochs)
     allot(tree, tree.tokens * share if target_tokens is None else target_tokens)
     rows = []
-    for r in totals:
+    totals = sorted(totals, key=lambda r: (r.domain, r.lang, r.source))
+    budgets = whole_tokens([tree.children[r.domain].children[r.lang].children[r.source] for r in totals], tree.budget)
+    for r, budget in zip(totals, budgets):
         leaf = tree.children[r.domain].children[r.lang].children[r.source]
-        budget = int(leaf.budget + 1e-6)
         whole = budget // leaf.tokens if leaf.tokens else 1
         rows.append((r.domain, r.lang, r.source, int(whole), budget - whole * leaf.tokens if leaf.tokens else 0))
     budgets = F.broadcast(spark.createDataFrame(rows, "domain string, lang string, source string, whole int, rest long"))
@@ -134,24 +152,26 @@ def hash_range(h: Column) -> Column:
     return F.conv(F.substring(h, 1, 3), 16, 10).cast("int")
 
 
-def copies(id_: Column, seed: int) -> Column:
-    """How often a row is taken, given its leaf's columns from ``plan``."""
-    h = order_hash(id_, F.lit(seed), F.col("whole"))
+def copies(id_: Column, seed: int, pre: str = "") -> Column:
+    """How often a row is taken, given its leaf's columns from ``plan``, their names preceded by ``pre``."""
+    whole, rest, end, last = (F.col(f"{pre}{c}") for c in ("whole", "rest", "end_range", "last"))
+    h = order_hash(id_, F.lit(seed), whole)
     at = hash_range(h)
-    before = F.col("end_range").isNull() | (at < F.col("end_range"))
-    upto = (at == F.col("end_range")) & (h <= F.col("last"))
-    return F.col("whole") + F.when((F.col("rest") > 0) & (before | F.coalesce(upto, F.lit(False))), 1).otherwise(0)
+    before = end.isNull() | (at < end)
+    upto = (at == end) & (h <= last)
+    return whole + F.when((rest > 0) & (before | F.coalesce(upto, F.lit(False))), 1).otherwise(0)
 
 
 def mix(docs: DataFrame, seed: int = 17, domain: Column | None = None, id_col: str = "doc_id", lang_col: str = "lang", source_col: str = "source", **options) -> DataFrame:
     """``docs`` (same columns), every row as often as its leaf's budget takes it."""
     _, leaves = plan(docs, seed=seed, domain=domain, id_col=id_col, lang_col=lang_col, source_col=source_col, **options)
-    name = lambda c: F.coalesce(c.cast("string"), F.lit(NONE))
-    keyed = docs.select("*", name(default_domain(source_col) if domain is None else domain).alias("__d"), name(F.col(lang_col)).alias("__l"), name(F.col(source_col)).alias("__s"))
+    pre, path = "__mix_", ["domain", "lang", "source"]
+    told = (default_domain(source_col) if domain is None else domain, F.col(lang_col), F.col(source_col))
+    keyed = docs.select("*", *(F.coalesce(c.cast("string"), F.lit(NONE)).alias(pre + p) for c, p in zip(told, path)))
     # bounded by max_leaves, checked in plan
-    leaf = F.broadcast(leaves.selectExpr("domain as __d", "lang as __l", "source as __s", "whole", "rest", "end_range", "last"))
-    taken = keyed.join(leaf, ["__d", "__l", "__s"]).withColumn("__n", copies(F.col(id_col).cast("string"), seed))
-    return taken.where("__n > 0").select(*[F.col(c) for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__k")).drop("__k")
+    leaf = F.broadcast(leaves.select(*(F.col(c).alias(pre + c) for c in (*path, "whole", "rest", "end_range", "last"))))
+    taken = keyed.join(leaf, [pre + p for p in path]).withColumn(f"{pre}n", copies(F.col(id_col).cast("string"), seed, pre))
+    return taken.where(f"{pre}n > 0").select(*[F.col(c) for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(f"{pre}n"))).alias(f"{pre}k")).drop(f"{pre}k")
 
 
 def decisions(docs: DataFrame, seed: int = 17, **options) -> DataFrame:

@@ -13,7 +13,9 @@ smallest id hashes.
 Defined results: null and empty texts have all-zero statistics and are scored like
 any other; rows with a null label are not learned from; without a labelled row of
 each class the score is the share of label 1 (0.5 without any row); repeated rows
-repeat.
+repeat; an input column of the result's name gives way to it; an id that several
+rows have is learned from once (the least of its rows' statistics), and counts as 1 if
+its labels differ; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, lean, slices, split_words
+from .common import bound_batches, kept_columns, lean, slices, split_words
 
 FEATURES = [
     "chars", "words", "lines", "word_bytes", "upper", "digit", "blank", "stop", "comma", "mark", "symbol", "pipe", "multibyte",
@@ -200,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     marked = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("y"))
     marked = marked.where(F.col("id").isNotNull()).groupBy("id").agg(F.max("y").alias("y"))
     texts = docs.where(learn).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    chosen = texts.select("id").join(marked, "id").orderBy(F.xxhash64(F.col("id").cast("string"), F.lit(4)), "id").limit(sample_rows).distinct()
+    chosen = texts.select("id").distinct().join(marked, "id").orderBy(F.xxhash64(F.col("id").cast("string"), F.lit(4)), "id").limit(sample_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -208,16 +210,17 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(list(x), pa.list_(pa.float64()))], ["id", "y", "x"])
 
     held = texts.join(F.broadcast(chosen), "id").select("id", "text", "y")  # at most sample_rows ids
-    got = held.mapInArrow(lean(run), held.select("id", "y").schema.add("x", T.ArrayType(T.DoubleType()))).toPandas().sort_values("id", kind="stable")
+    told = held.mapInArrow(lean(run), held.select("id", "y").schema.add("x", T.ArrayType(T.DoubleType())))
+    got = told.groupBy("id").agg(F.max("y").alias("y"), F.min("x").alias("x")).toPandas().sort_values("id", kind="stable")
     x = np.array(got["x"].tolist()).reshape(len(got), len(FEATURES))
     return AdditiveModel().fit(x, got["y"].to_numpy(float))
 
 
-def score(docs: DataFrame, model: AdditiveModel, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
-    """``docs`` columns named in ``keep`` plus ``score``."""
+def score(docs: DataFrame, model: AdditiveModel, keep: list[str] | None = None, text_col: str = "text", name: str = "score") -> DataFrame:
+    """``docs`` columns named in ``keep`` plus the score, as ``name``."""
     bound_batches(docs.sparkSession)
-    keep = docs.columns if keep is None else keep
-    schema = docs.select(*keep).schema.add("score", "double")
+    keep = kept_columns(docs, keep, (name,))
+    schema = docs.select(*keep).schema.add(name, "double")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

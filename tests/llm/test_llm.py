@@ -509,3 +509,51 @@ def test_chat_depths_of_long_chains_and_ladders(spark):
     calls = spark.createDataFrame([(1, i, b) for i, b in edges.items()], "conv_id long, id string, waits array<string>")
     got = {r.id: r.depth for r in chat.call_depths(calls, 0).collect()}
     assert got == want == {r.id: r.depth for r in chat.call_depths(calls).collect()}
+
+
+def test_budgets_reach_the_target_or_all_that_can_be_used():
+    rng = random.Random(23)
+    for _ in range(300):
+        leaves, weights = [], {}
+        for d in range(rng.randint(1, 3)):
+            for lang in range(rng.randint(1, 3)):
+                for s in range(rng.randint(1, 4)):
+                    leaves.append(((f"d{d}", f"l{lang}", f"s{s}"), rng.choice([0, 1, 7, 1000, 12_345])))
+        for path in sorted({p[:k] for p, _ in leaves for k in (1, 2, 3)}):
+            if rng.random() < 0.5:
+                weights[path] = rng.choice([0, 0, 1, 0.3, 50])
+        epochs = rng.choice([1.0, 1.5, 4.0])
+        tree = mixing.grow(leaves, weights, 0.7, epochs)
+        node = lambda p: tree.children[p[0]].children[p[1]].children[p[2]]
+        weight = lambda p, k: weights.get(p[:k], 1)
+        usable = sum(n * epochs for p, n in leaves if all(weight(p, k) > 0 for k in (1, 2, 3)))
+        target = rng.choice([1, 500, 5000, 10**6])
+        mixing.allot(tree, target)
+        nodes = [node(p) for p, _ in leaves]
+        assert math.isclose(sum(n.budget for n in nodes), min(target, usable), rel_tol=1e-9, abs_tol=1e-6)
+        whole = mixing.whole_tokens(nodes, tree.budget)
+        assert all(0 <= w <= n.room + 1e-6 for w, n in zip(whole, nodes)) and (usable < target or sum(whole) == target)
+    two = mixing.grow([(("a", "x", "s"), 10_000), (("a", "x", "t"), 10_000), (("b", "x", "u"), 10_000)], {("a", "x", "s"): 0.0, ("a",): 1.0, ("b",): 1.0}, 1.0, 0.11)
+    mixing.allot(two, 2200)  # s is shut off: t can use 1,100 and u 1,100
+    assert two.children["a"].budget == 1100 and two.children["b"].budget == 1100
+
+
+def test_mixing_with_clashing_columns_and_another_count(spark):
+    rows = [(k, "a b c", "en", "src1", k, 1, 2, "x") for k in range(40)] + [(k, "a " * 9, "de", "src2", 0, 1, 2, "y") for k in range(40, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, whole int, rest long, last int, domain string")
+    got = mixing.mix(df, weights={("d1",): 1.0, ("d2",): 0.0}, target_tokens=60)
+    assert got.columns == df.columns and got.count() == 20 and {r.lang for r in got.collect()} == {"en"}
+    sized = mixing.decisions(df, size=F.length("text"), target_tokens=50, weights={("d1",): 1.0, ("d2",): 0.0})
+    assert sized.count() == 10 and {r.tokens for r in sized.collect()} == {5}
+
+
+def test_models_learn_from_repeated_ids_once(spark):
+    rows = [(k, words(random.Random(k), 30), "en" if k % 2 else "de") for k in range(80)] + [(1, f"other text {k}", "en") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("lang_pred", F.lit("x")).withColumn("score", F.lit(1))
+    labels = spark.createDataFrame([(k, k % 2) for k in range(80)] + [(1, 0)], "doc_id long, quality int")
+    model = quality.fit(docs, labels, F.lit(True), sample_rows=50)
+    got = quality.score(docs, model)
+    assert got.columns == ["doc_id", "text", "lang", "lang_pred", "score"] and got.count() == 380 and dict(got.dtypes)["score"] == "double"
+    found = langid.predict(docs, langid.fit(docs, F.lit(True), sample_total=20))
+    assert sorted(found.columns) == ["doc_id", "lang", "lang_pred", "score", "text"] and found.count() == 380
+    assert langid.predict(docs.limit(0), langid.fit(docs, F.lit(True), sample_total=20)).count() == 0
