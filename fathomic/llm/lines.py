@@ -8,20 +8,24 @@ so a line's copies meet in a partial aggregate only.
 A line is split into ``max_edits + 1`` segments.  Lines within the threshold share a
 segment, up to a shift that depends on the two lengths, so each line probes the
 segment hashes of its own and the next shorter lengths.  With one edit the lines
-that meet there are narrowed twice more before any pair is made: they must agree
-outside one of ``windows`` windows, then outside one stretch of ``stretch``
-characters of it.  A key group can then hold only lines that are equal but for
-those few characters, whatever the size of a group of near copies, and pairs are
-made inside such groups only.  Each pair is verified on the texts by a banded
-bit-parallel edit distance (Hyyroe's diagonal band in the bits of a long).
-
-Lines of fewer than ``min_chars`` characters match only equal ones.  More than one
-edit works too, but then pairs come from the segments directly, so a segment that
+that meet there are narrowed three times more: they must agree outside one of
+``windows`` windows, then outside one stretch of ``stretch`` characters of it, then
+outside one character.  Lines that share such a last key are one edit apart, all of
+them, so each is tied to the least line of its group (a line with a character more to
+the line that is left without it): as many pairs as keys, whatever the size of a group
+of near copies.  Each pair is verified on the texts by a banded bit-parallel edit
+distance (Hyyroe's diagonal band in the bits of a long).
+
+Lines of fewer than ``min_chars`` characters match only equal ones: one edit turns a
+short word into another one.  The default is 12, with 0 all lines take part.  More than
+one edit works too, but then pairs come from the segments directly, so a segment that
 very many different lines share costs their square.
 
 Defined results: null text has no lines; blank lines are kept; repeated rows of one
 doc_id are taken as one document with the lines of both (a line number that occurs
-twice stays twice); a null doc_id sorts first; other columns are ignored.
+twice stays twice); a null doc_id sorts first; lines of any length are compared
+whole; of equal lines the first one stays; other columns are ignored; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -95,6 +99,50 @@ def narrowed(texts: DataFrame, windows: int, stretch: int) -> DataFrame:
     return met(fine.select(outside(3, F.col("line"), F.col("length"), F.col("start"), F.col("end")).alias("key"), "id", "less", F.col("start").alias("head"), (F.col("length") - F.col("end")).alias("tail")))
 
 
+def one_edit_keys(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows ``(key, id, less, head, tail)``: keys of the lines of ``narrowed`` without one character.
+    ``less`` 0: one key for each character of the stretch, which lines of the same length share that
+    differ in this character only; 1: a longer line's key without one of its characters; -1: the key
+    of a whole line, which the latter may meet."""
+    n, head = F.char_length("line"), F.col("head").cast("int")
+    held = rows.select("id", "less", "head", "tail").distinct().join(texts, "id")
+    # two hashes: a group's least line stands for the others, so no two groups may fall together
+    both = lambda level, *x: F.struct(F.xxhash64(F.lit(level), *x).alias("h"), F.xxhash64(F.lit(100 + level), *x).alias("g"))
+    same = held.where("less = 0").select("id", "line", n.alias("length"), F.explode(F.sequence(head, (n - F.col("tail") - 1).cast("int"))).alias("at"))
+    without = lambda: (F.substring("line", F.lit(1), F.col("at")), F.substring("line", F.col("at") + 2, F.col("length")))
+    same = same.select(both(4, "length", "at", *without()).alias("key"), "id", F.lit(0).alias("less"), F.col("at").alias("head"), (F.col("length") - F.col("at") - 1).alias("tail"))
+    longer = held.where("less = 1").select("id", "line", n.alias("length"), F.explode(F.sequence(head, (n - 1 - F.col("tail")).cast("int"))).alias("at"))
+    longer = longer.select(both(5, F.concat(*without())).alias("key"), "id", F.lit(1).alias("less"), F.col("at").alias("head"), (F.col("length") - 1 - F.col("at")).alias("tail"))
+    whole = held.where("less = 0").select(both(5, F.col("line")).alias("key"), "id", F.lit(-1).alias("less"), F.lit(0).alias("head"), F.lit(0).alias("tail")).distinct()
+    return same.unionAll(longer).unionAll(whole)
+
+
+def one_edit_pairs(keys: DataFrame, stars: bool) -> DataFrame:
+    """Pairs ``(a, b, head, tail)`` of ``one_edit_keys``: all of them, or with ``stars`` those of each
+    line with the least one of its group, which connect the same lines."""
+    same = keys.where("less = 0").select("key", "id", "head", "tail").distinct()
+    if stars:
+        least = same.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "a")
+        pairs = same.join(least, "key").where("id <> a").select("a", F.col("id").alias("b"), "head", "tail")
+    else:
+        pairs = same.select("key", F.col("id").alias("a")).join(same.withColumnRenamed("id", "b"), "key").where("a < b").select("a", "b", "head", "tail")
+    longer = keys.where("less = 1").select("key", F.col("id").alias("b"), "head", "tail")
+    grown = keys.where("less = -1").select("key", F.col("id").alias("a")).join(longer, "key").select("a", "b", "head", "tail")
+    return pairs.unionAll(grown).groupBy("a", "b").agg(F.min(F.struct("head", "tail")).alias("at")).select("a", "b", "at.*")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, max_edits: int) -> DataFrame:
+    """The pairs ``(a, b)`` whose texts are at most ``max_edits`` apart."""
+    told = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
+    # equal ends do not change an edit distance; they are compared as text, as hashes can collide
+    head, tail = F.col("head").cast("int"), F.col("tail").cast("int")
+    middle = lambda x: F.substring(x, head + 1, F.char_length(x) - head - tail)
+    end = lambda x: F.substring(x, F.char_length(x) - tail + 1, tail)
+    la, lb = F.col("la"), F.col("lb")
+    told = told.where((F.substring(la, F.lit(1), head) == F.substring(lb, F.lit(1), head)) & (end(la) == end(lb)))
+    return told.select("a", "b", middle(la).alias("ma"), middle(lb).alias("mb")).where(banded_distance(F.col("ma"), F.col("mb"), max_edits) <= max_edits).select("a", "b").distinct()
+
+
 def banded_distance(a: Column, b: Column, max_edits: int) -> Column:
     """Edit distance of two strings whose lengths differ by at most ``max_edits``; any value
     above ``max_edits`` only says that the distance is above it."""
@@ -140,7 +188,8 @@ def banded_distance(a: Column, b: Column, max_edits: int) -> Column:
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 1, min_chars: int = 12, windows: int = 8, stretch: int = 4) -> tuple[DataFrame, DataFrame]:
     """``(classes, links)``: classes ``(id, copies, first)`` of the lines that have a copy or a near
-    copy (first: smallest (doc_id, line_no) of the class), and the verified links ``(a, b)``."""
+    copy (first: smallest (doc_id, line_no) of the class), and the verified links ``(a, b)``, all of
+    them; with one edit they are made only if they are asked for (the classes need stars)."""
     lines = lines_of(docs, id_col, text_col)
     place = F.struct("doc_id", "line_no")
     keyed, keys = segment_keys(lines, max_edits, min_chars)
@@ -152,20 +201,16 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     busy = busy.select(F.col("id").alias("busy"), F.col("doc_id").alias("of_doc"), F.col("line_no").alias("at"))
     first = (F.col("id") == F.col("busy")) & F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("line_no") == F.col("at"))
     texts = cut(lines.join(busy, first).select("id", "line").dropDuplicates(["id"]))
-    whole = candidates.select("key", "id", "less", F.lit(0).alias("head"), F.lit(0).alias("tail"))
-    rows = narrowed(texts, windows, stretch) if max_edits == 1 else whole
-    own = rows.where("less = 0").select("key", F.col("id").alias("a"), "head", "tail")
-    other = rows.select("key", F.col("id").alias("b"), "less")
-    pairs = own.join(other, "key").where("(less = 0 and a < b) or (less > 0 and a <> b)").select("a", "b", "head", "tail").distinct()
-    told = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
-    # equal ends do not change an edit distance; they are compared as text, as hashes can collide
-    head, tail = F.col("head").cast("int"), F.col("tail").cast("int")
-    middle = lambda x: F.substring(x, head + 1, F.char_length(x) - head - tail)
-    end = lambda x: F.substring(x, F.char_length(x) - tail + 1, tail)
-    la, lb = F.col("la"), F.col("lb")
-    told = told.where((F.substring(la, F.lit(1), head) == F.substring(lb, F.lit(1), head)) & (end(la) == end(lb)))
-    links = cut(told.select("a", "b", middle(la).alias("ma"), middle(lb).alias("mb")).where(banded_distance(F.col("ma"), F.col("mb"), max_edits) <= max_edits).select("a", "b").distinct())
-    roots = components(links)
+    if max_edits == 1:
+        keys = cut(one_edit_keys(narrowed(texts, windows, stretch), texts))
+        stars = cut(verified(one_edit_pairs(keys, True), texts, 1))
+        links = verified(one_edit_pairs(keys, False), texts, 1)
+    else:
+        own = candidates.where("less = 0").select("key", F.col("id").alias("a"))
+        other = candidates.select("key", F.col("id").alias("b"), "less")
+        pairs = own.join(other, "key").where("(less = 0 and a < b) or (less > 0 and a <> b)").select("a", "b", F.lit(0).alias("head"), F.lit(0).alias("tail")).distinct()
+        stars = links = cut(verified(pairs, texts, max_edits))
+    roots = components(stars)
     named = kinds.select("id", "first", "copies").join(roots.withColumnRenamed("node", "id"), "id", "left").where("copies > 1 or root is not null")
     named = named.withColumn("root", F.coalesce("root", "id"))
     least = named.groupBy("root").agg(F.min("first").alias("of_class"))

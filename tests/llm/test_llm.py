@@ -557,3 +557,25 @@ def test_models_learn_from_repeated_ids_once(spark):
     found = langid.predict(docs, langid.fit(docs, F.lit(True), sample_total=20))
     assert sorted(found.columns) == ["doc_id", "lang", "lang_pred", "score", "text"] and found.count() == 380
     assert langid.predict(docs.limit(0), langid.fit(docs, F.lit(True), sample_total=20)).count() == 0
+
+
+def test_line_links_of_short_and_numbered_lines(spark):
+    kinds = sorted({"".join(x) for n in (1, 2, 3) for x in itertools.product("ab", repeat=n)} | {f"page {k:03d} of the book" for k in range(0, 400, 3)} | {"é", "ébé", "x" * 5000, "x" * 4999, "x" * 4998 + "y"})
+    docs = spark.createDataFrame(list(enumerate(kinds)), "doc_id long, text string")
+    classes, found = lines.line_classes(docs, min_chars=0)
+    at = {hashlib.md5(t.encode()).digest(): i for i, t in enumerate(kinds)}
+    far = {"x" * 5000, "x" * 4998 + "y"}  # two edits; other long ones are one apart
+    near = lambda a, b: abs(len(a) - len(b)) < 2 and ({a, b} != far if len(a) > 100 else distance(a, b) <= 1)
+    want = {(i, j) for i, a in enumerate(kinds) for j, b in enumerate(kinds) if i < j and near(a, b)}
+    assert {tuple(sorted((at[bytes(r.a)], at[bytes(r.b)]))) for r in found.collect()} == want
+    root = list(range(len(kinds)))
+    for _ in kinds:
+        for i, j in want:
+            root[i] = root[j] = min(root[i], root[j])
+    got = {at[bytes(r.id)]: r["first"].doc_id for r in classes.collect()}
+    assert got == {i: root[i] for i in {k for pair in want for k in pair}}
+
+
+def test_line_classes_of_numbered_lines_take_linear_work(spark):
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.format_string("this is the line with the number %05d in a long list of them", F.col("id")).alias("text"))
+    assert lines.line_classes(docs)[0].select("first").distinct().collect()[0]["first"].doc_id == 0
