@@ -265,25 +265,59 @@ def test_decontamination_tolerates_substitutions(spark):
     rows = [(0, words(rng, 60, 5000)), (1, words(rng, 40, 5000) + " " + items[2][1].upper() + ". " + words(rng, 20)), (2, "x " + " ".join(changed)), (3, " ".join(items[4][1].split()[5:18])), (4, None), (5, ""), (6, " ".join(items[5][1].split()[:6])), (7, items[22][1])]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item_id", F.lit("x"))
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for block in (500_000, 50):  # one pass, many passes
-        got = {r.doc_id: list(r.item_ids) for r in decontam.contaminated(df, bench, keep=["doc_id"], block_words=block).collect()}
+    for small in (100_000, 0):  # broadcast and joined
+        got = {r.doc_id: list(r.item_ids) for r in decontam.contaminated(df, bench, keep=["doc_id"], small_rows=small).collect()}
         assert got == {0: [], 1: [2], 2: [3], 3: [4], 4: [], 5: [], 6: [], 7: [None]}
     assert decontam.contaminated(df, bench.limit(0), keep=["doc_id"]).where("size(item_ids) > 0").count() == 0
 
 
-def test_decontamination_finds_every_tolerated_overlap():
-    for n in range(5, 16):
-        item = [f"w{k}" for k in range(n)]
-        block = decontam.Block([7], [" ".join(item)], 5, 13)
-        w = min(n, 13)
-        subs = w - math.ceil(0.8 * w - 1e-9)
-        for places in itertools.combinations(range(w), subs):
-            doc = [f"x{k}" if k in places else word for k, word in enumerate(item)]
-            words, _ = decontam.word_hashes(pa.array(["before\tit\r\n" + "\t".join(doc)]))
-            assert 0 in block.matches(words, 13, 0.8), (n, places)
-        lost = [word if k > subs else "x" for k, word in enumerate(item)]
-        if n <= 13:
-            assert not block.matches(decontam.word_hashes(pa.array([" ".join(lost)]))[0], 13, 0.8)
+@pytest.mark.parametrize("window,share", [(13, 0.8), (8, 0.6), (20, 0.9), (6, 1.0)])
+def test_decontamination_finds_every_tolerated_overlap(spark, window, share):
+    rng = random.Random(window)
+    items = [(n, [f"w{n}_{k}" for k in range(n)]) for n in range(1, window + 3)]
+    docs, allowed = [], lambda n: n - math.ceil(share * n - 1e-9)
+    for n, item in items:
+        w = min(n, window)
+        for extra in (0, 1):
+            for places in rng.sample(all_ := list(itertools.combinations(range(w), min(w, allowed(w) + extra))), min(len(all_), 80)):
+                at = rng.randrange(n - w + 1)
+                told = [f"x{k}" if k - at in places else word for k, word in enumerate(item)]
+                if n > w:  # only the window itself may agree
+                    told = [word if at <= k < at + w else f"y{k}" for k, word in enumerate(told)]
+                docs.append((len(docs), "Before\tit\r\n" + "\t".join(told) + rng.choice(["", " . after", " after it"])))
+    docs += [(len(docs) + k, t) for k, t in enumerate(["", "w1_0 w2_0 w2_1", "-", " ".join(items[-1][1]) + " " + " ".join(items[4][1])])]
+
+    def brute(text, item):
+        words_ = [x.strip(".-") for x in text.lower().split()]
+        words_, w = [x for x in words_ if x], min(len(item), window)
+        return any(sum(words_[i + k] == item[j + k] for k in range(w)) >= share * w - 1e-9 for i in range(len(words_) - w + 1) for j in range(len(item) - w + 1))
+
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(item)) for n, item in items], "item_id long, text string")
+    got = {r.doc_id: list(r.item_ids) for r in decontam.contaminated(df, bench, window, share, keep=["doc_id"]).collect()}
+    assert got == {i: [n for n, item in items if brute(t, item)] for i, t in docs} and any(got.values()) and not all(got.values())
+
+
+def test_decontamination_masks_cover_all_substitutions():
+    for length in range(1, 24):
+        for subs in range(min(length, 4)):
+            masks = decontam.seeds(length, subs)
+            for places in itertools.combinations(range(length), subs):
+                assert any(all(x == "0" or at + k not in places for k, x in enumerate(m)) for m in masks for at in range(length - len(m) + 1)), (length, subs, places)
+
+
+def test_decontamination_of_equal_items_and_clashing_columns(spark):
+    rng = random.Random(29)
+    passage = words(rng, 40, 900)
+    text = words(rng, 250, 900) + " " + passage + " " + words(rng, 250, 900)
+    docs = spark.createDataFrame([(k, text, 1, "x", 2) for k in range(50)] + [(99, None, 1, "x", 2)], "doc_id long, text string, matched_words int, key string, kind int")
+    bench = spark.createDataFrame([(k, passage) for k in range(300)] + [(7, passage), (None, passage), (400, "the " * 30)], "item_id long, text string")
+    got = decontam.contaminated(docs, bench, names=("item_ids", "most"))
+    assert got.columns == [*docs.columns, "item_ids", "most"]
+    rows = {r.doc_id: (list(r.item_ids), r.most, r.matched_words, r.key) for r in got.collect()}
+    assert rows[99] == ([], 0, 1, "x") and all(rows[k] == ([None, *range(300)], 40, 1, "x") for k in range(50))
+    assert decontam.contaminated(docs, bench).columns == ["doc_id", "text", "key", "kind", "item_ids", "matched_words"]
+    assert decontam.contaminated(docs.limit(0), bench).count() == 0
 
 
 def test_language_identification(spark):
