@@ -613,3 +613,28 @@ def test_line_links_of_short_and_numbered_lines(spark):
 def test_line_classes_of_numbered_lines_take_linear_work(spark):
     docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.format_string("this is the line with the number %05d in a long list of them", F.col("id")).alias("text"))
     assert lines.line_classes(docs)[0].select("first").distinct().collect()[0]["first"].doc_id == 0
+
+
+def test_pipeline_with_clashing_columns_and_without_rows(spark, corpus, tmp_path):
+    df, rows = corpus
+    clash = ["lang_pred", "score", "item_ids", "matched_words", "whole", "rest", "end_range", "last", "fp", "id", "component_id", "key", "kind", "range", "domain", "h"]
+    docs = df.drop("fp").withColumns({c: F.lit(k) for k, c in enumerate(clash)})
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, words(random.Random(31), 20, 9000))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    held = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after, none = stage(spark, held, str(tmp_path)), stage(spark, held.limit(0), str(tmp_path))
+        assert after.columns == none.columns == held.columns and after.count() > 20 and none.count() == 0, name
+        assert after.select(clash).distinct().collect() == held.select(clash).distinct().collect()
+    name, stage = corpus_pipeline.STAGES[-1]
+    assert stage(spark, held, str(tmp_path)).count() == len(rows) and stage(spark, held.limit(0), str(tmp_path)).count() == 0
+
+
+def test_pipeline_stages_take_nulls_everywhere(spark, tmp_path):
+    rows = [(None, None, None, None, None), (1, None, "en", "s1", 1), (2, "some words here", None, None, None), (None, "other words there", "en", None, 2), (2, "some words here", None, None, None), (3, "x" * 300_000, "en", "s2", 3)]
+    docs = spark.createDataFrame(rows, DOC)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(None, None), (1, ""), (None, "words there")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    count = {name: stage(spark, docs, str(tmp_path)).count() for name, stage in corpus_pipeline.STAGES}
+    assert count["language_id"] == 4 and count["simhash_neardup"] == 4 and count["decontamination"] == 5 and count["mixing"] >= 1 and count["token_records"] == 6
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 1
