@@ -6,7 +6,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,24 +15,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans import graph
+from ..plans.graph import components, cut, shared_dir
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """URI of the folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Where the session names none (single-machine tests), a temporary folder is
-    created once and set as the checkpoint folder of the context.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        named = "file://" + tempfile.mkdtemp(prefix="fathomic-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(named)
-    return named
+__all__ = ["components", "cut", "shared_dir"]
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -41,12 +25,6 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/fathomic-{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder (survives lost executors)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A ``mapInArrow`` function that gives its memory back when its partition is done: Python
     workers live on between tasks, and what they hold is lost to the executor."""
@@ -113,12 +91,6 @@ def crc_bucket(id_col: str, mod: int):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(mod))
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """Connected components ``(node, root)`` of an edge list, with lineage cut in the shared folder."""
-    shared_dir(edges.sparkSession)
-    return graph.components(edges, a, b, max_rounds)
-
-
 def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Words between blanks and line feeds of an Arrow string array: ``(codes, vocabulary,
     offsets)`` where text i has the words ``vocabulary[codes[offsets[i]:offsets[i+1]]]``.
@@ -141,13 +113,19 @@ def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Ar
     return codes, words, offsets
 
 
-def remove_tree(uri: str) -> None:
-    """Delete a scratch folder written through pyarrow."""
-    import pyarrow.fs as fs
+def remove_tree(spark: SparkSession, uri: str) -> None:
+    """Delete a scratch folder, whatever file system it is on."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
 
-    filesystem, path = fs.FileSystem.from_uri(uri)
-    if filesystem.get_file_info(path).type != fs.FileType.NotFound:
-        filesystem.delete_dir(path)
+def tasks_for(df: DataFrame, bytes_each: int, most: int = 100_000) -> int:
+    """Partitions for a shuffle of all of ``df``: the session's number, or more if the tables it reads are so
+    large (by Spark's own statistics, where it has them) that a task would get more than ``bytes_each``."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    wanted = 0 if size >= 1 << 56 else -(-size // bytes_each)  # unknown sizes count as endless
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(wanted, most))
 
 
 def worker_tag() -> str:

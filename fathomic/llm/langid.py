@@ -1,8 +1,7 @@
 """Language identification with a string kernel.
 
 Kernel: blended-spectrum presence kernel, ``k(x, y) = |G(x) & G(y)| / sqrt(|G(x)||G(y)|)``
-over the sets of character n-grams (n = 1..3) of the lower-cased texts, restricted
-to the n-grams of the landmarks.  Nystroem landmarks give the feature map
+over the sets of character n-grams (n = 1..3) of the lower-cased texts.  Nystroem landmarks give the feature map
 ``k(x, L) K_LL^(-1/2)``; one-versus-rest kernel ridge regression on it gives one
 column of dual weights a language.  A batch of texts is scored by two matrix
 products: presence x landmarks, then kernel rows x weights.
@@ -75,11 +74,16 @@ class LanguageModel:
         for at in range(0, len(texts), step):
             part = texts[at : at + step]
             present = np.zeros((len(part), width + 1), np.float32)  # column -1 takes the unknown
-            for row, text in zip(present, part):
+            grams = np.ones(len(part))
+            flag = np.zeros(1 << BITS, bool)
+            for k, text in enumerate(part):
+                flag[:] = False
                 for codes in gram_codes(text):
-                    row[self.column[codes]] = 1
+                    flag[codes] = True
+                    present[k, self.column[codes]] = 1
+                grams[k] = max(np.count_nonzero(flag), 1)  # also those that no landmark has
             present = present[:, :width]
-            norm = np.sqrt(np.maximum(present.sum(1), 1))
+            norm = np.sqrt(grams)
             out[at : at + step] = ((present @ self.landmarks) / norm[:, None]) @ self.weights + self.bias
         return out
 
@@ -125,7 +129,7 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     for row, s in zip(kernel, sets):
         inside = column[s]
         inside = inside[inside >= 0]
-        row[:] = marks[inside].sum(0) / np.sqrt(max(len(inside), 1))
+        row[:] = marks[inside].sum(0) / np.sqrt(max(len(s), 1))
     value, vector = np.linalg.eigh(kernel[chosen])
     usable = value > 1e-6 * value[-1]
     root = vector[:, usable] / np.sqrt(value[usable])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, langid, lines, mixing, quality, simhash, tokens, warc
+from . import ann, chat, decontam, langid, lines, mixing, oracles, quality, simhash, tokens, warc
 from .common import crc_bucket, table
 
 
@@ -38,7 +38,8 @@ def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.line_decisions(table(spark, sf_dir, "documents"))
+    told = lines.line_decisions(table(spark, sf_dir, "documents"))
+    return told.withColumn("dropped", F.array_join("dropped", ","))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +61,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_chats(table(spark, sf_dir, "conversations"), in_order=True)
+    items = chat.format_chats(table(spark, sf_dir, "conversations"), in_order=True)
+    return items.withColumn("problems", F.array_join("problems", "\n"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -76,4 +78,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_format": op10_chat_format,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, components, cut, lean, slices
+from .common import bound_batches, components, cut, lean, slices, tasks_for
 
 SEED = 42
 BITS_OF = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -209,21 +209,25 @@ def links(distinct: DataFrame, max_bits: int = 2, crowd: int = 4096) -> DataFram
     crowded = first.where(F.col("n") > crowd).select("fp", F.explode(finer).alias("mask"))
     crowded = crowded.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
     rows = first.where(F.col("n") <= crowd).select("mask", "key", "fp").unionAll(crowded)
-    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(parts, "mask", "key").sortWithinPartitions("mask", "key")
+    rows = rows.repartition(tasks_for(distinct, 1 << 27), "mask", "key").sortWithinPartitions("mask", "key")
     return rows.mapInArrow(lean(lambda batches: bucket_links(batches, max_bits)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 2) -> DataFrame:
     """One row ``(id_col, fingerprint, component_id)`` per row of ``docs``."""
     prints = cut(fingerprints(docs, id_col, text_col))
-    kinds = cut(prints.groupBy("fp").agg(F.min("id").alias("least")))
+    kinds = cut(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows")))
     labels = components(links(kinds.select("fp"), max_bits))
     named = labels.join(kinds, labels.node == kinds.fp).select("fp", "root", "least")
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = named.join(smallest, "root").select("fp", F.col("component_id").alias("via"))
-    final = kinds.join(linked, "fp", "left").select("fp", F.coalesce("via", "least").alias("component_id"))
-    out = prints.join(final, "fp")
+    final = cut(kinds.join(linked, "fp", "left").select("fp", "rows", F.coalesce("via", "least").alias("component_id")))
+    # a fingerprint that many rows share (at most 10,000 can have more than a 10,000th of them) is
+    # broadcast, so its rows stay where they are; no other one is large enough to fill a task
+    total = final.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    hot = F.col("rows") > max(total // 10_000, 100)
+    told = prints.join(F.broadcast(final.where(hot).select("fp", F.lit(True).alias("hot"), "component_id")), "fp", "left")
+    out = told.where("hot").drop("hot").unionByName(told.where("hot is null").drop("hot", "component_id").join(final.where(~hot).drop("rows"), "fp"))
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

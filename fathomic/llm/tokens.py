@@ -12,8 +12,9 @@ useful: ``((crc >> 15 | crc << 17) + 0xA282EAD8) mod 2**32``.
 Index file ``tokens-NNNNN-*.idx``: per record ``int64 doc_id | uint64 record offset |
 uint64 record length | uint64 tokens before it in the file``, for shuffled reads.
 
-Files follow ascending ``doc_id`` order (file numbers are ranges of ids, records
-are sorted inside a file).  A task attempt writes under a name of its own and only
+Files follow ascending ``doc_id`` order (file numbers are ranges of ids and the place
+within them, as a file of ``roll_bytes`` or ``roll_records`` is followed by a new one;
+records are sorted inside a file).  A task attempt writes under a name of its own and only
 the names that the successful attempts report are read, so a lost executor's
 half-written files are never seen.
 
@@ -37,7 +38,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, lean, scratch, slices, split_words, worker_tag
+from .common import bound_batches, cut, lean, remove_tree, scratch, slices, split_words, tasks_for, worker_tag
 
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("length", "<u8"), ("before", "<u8")])
 MASK = 0xA282EAD8
@@ -189,27 +190,31 @@ def splits_at_blanks(path: str) -> bool:
     return first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert")) and not (special or prefix or spaces_left)
 
 
-def write_records(docs: DataFrame, out: str, tokenizer: str, end_id: int = 1, vocab_size: int = 49_408, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_records(docs: DataFrame, out: str, tokenizer: str, end_id: int = 1, vocab_size: int = 49_408, id_col: str = "doc_id", text_col: str = "text", roll_bytes: int = 1 << 30, roll_records: int = 500_000) -> DataFrame:
     """Write every text of ``docs`` under the folder ``out``; the manifest comes back, one row
-    ``(part, data, index, records, tokens)`` per file, already run and checkpointed."""
+    ``(part, place, data, index, records, tokens)`` per file, already run and checkpointed."""
     kind = np.dtype("<u2") if vocab_size <= 1 << 16 else np.dtype("<u4")
     by_word = splits_at_blanks(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encoder = TaskContext.get().partitionId(), None
+        part, encoder, place = TaskContext.get().partitionId(), None, 0
         fs, base = pafs.FileSystem.from_uri(out)
-        data = index = stream = None
-        at = records = tokens = 0
-        rows = []
+        stream, name, rows, at, tokens = None, "", [], 0, 0
+
+        def finish() -> pa.RecordBatch:
+            stream.close()
+            with fs.open_output_stream(f"{base}/{name}.idx") as file:
+                file.write(np.array(rows, INDEX).tobytes())
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "place": pa.array([place], pa.int32()), "data": [f"{name}.rec"], "index": [f"{name}.idx"], "records": [len(rows)], "tokens": [tokens]})
+
         for piece in slices(batches, "text"):
             if stream is None:
                 encoder = encoder_for(tokenizer, by_word)
                 fs.create_dir(base, recursive=True)
-                name = f"tokens-{part:05d}-{worker_tag()}"
-                data, index = f"{name}.rec", f"{name}.idx"
-                stream = fs.open_output_stream(f"{base}/{data}")
+                name, rows, at, tokens = f"tokens-{part:05d}-{place:04d}-{worker_tag()}", [], 0, 0
+                stream = fs.open_output_stream(f"{base}/{name}.rec")
             ids, offsets = encoder(piece.column(1), end_id)
             flat = ids.astype(kind).tobytes()
             chunks = []
@@ -218,20 +223,20 @@ def write_records(docs: DataFrame, out: str, tokenizer: str, end_id: int = 1, vo
                 record = frame(struct.pack("<qB", doc or 0, doc is None) + flat[s * kind.itemsize : e * kind.itemsize])
                 rows.append((doc or 0, at, len(record), tokens))
                 chunks.append(record)
-                at, records, tokens = at + len(record), records + 1, tokens + e - s
+                at, tokens = at + len(record), tokens + e - s
             stream.write(b"".join(chunks))
+            if at >= roll_bytes or len(rows) >= roll_records:
+                yield finish()
+                stream, place = None, place + 1
         if stream is not None:
-            stream.close()
-            with fs.open_output_stream(f"{base}/{index}") as file:
-                file.write(np.array(rows, INDEX).tobytes())
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "data": [data], "index": [index], "records": [records], "tokens": [tokens]})
+            yield finish()
 
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = tasks_for(docs, 1 << 28)
     held = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     bound_batches(spark)
     ordered = held.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.crc32(F.col("text").cast("binary")))
-    return cut(ordered.mapInArrow(lean(run), "part int, data string, index string, records long, tokens long"))
+    return cut(ordered.mapInArrow(lean(run), "part int, place int, data string, index string, records long, tokens long"))
 
 
 def read_records(manifest: DataFrame, out: str, vocab_size: int = 49_408) -> DataFrame:
@@ -266,16 +271,20 @@ def read_records(manifest: DataFrame, out: str, vocab_size: int = 49_408) -> Dat
                         k = stop
 
     # one row per file: the running sum is over files, not documents
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy("part", "place").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.withColumn("before", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)))
-    n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return files.repartition(n, "part").mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids binary")
+    # a file a task, or a few
+    n = max(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), manifest.count())
+    return files.repartition(n, "data").mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def encode_corpus(docs: DataFrame, tokenizer: str, end_id: int = 1, vocab_size: int = 49_408, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write ``docs`` in the record format to the shared folder and read it back: per document
-    ``(doc_id, start, n_tokens, ids_crc32)``, all taken from the files."""
+    ``(doc_id, start, n_tokens, ids_crc32)``, all taken from the files, which are deleted at the end
+    (``write_records`` and ``read_records`` keep theirs)."""
     out = scratch(docs.sparkSession, "tokens")
     manifest = write_records(docs, out, tokenizer, end_id, vocab_size, id_col, text_col)
     back = read_records(manifest, out, vocab_size)
-    return back.select(F.col("doc_id").alias(id_col), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    told = cut(back.select(F.col("doc_id").alias(id_col), "start", "n_tokens", F.crc32("ids").alias("ids_crc32")))
+    remove_tree(docs.sparkSession, out)
+    return told

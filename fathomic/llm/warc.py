@@ -31,7 +31,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, lean, scratch, slices, worker_tag
+from .common import bound_batches, cut, lean, remove_tree, scratch, slices, worker_tag
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1\r\n"
@@ -94,55 +94,55 @@ def read_header(pieces: Iterator[bytes]) -> dict[str, str] | None:
 
 def read_range(file, size: int, start: int, end: int, block: int = 1 << 20) -> Iterator[tuple[int, dict[str, str], bytes]]:
     """Records ``(offset, headers, content block)`` that start in bytes [start, end) of an open archive."""
-    at, data = start, file.read_at(min(block, size - start), start)
+    base, data, pos = start, file.read_at(min(block, size - start), start), 0  # data begins at byte base; pos is where we are
 
     def more(need: int) -> bool:
-        """Make at least ``need`` bytes from ``at`` available, as far as the file goes."""
-        nonlocal data
-        while len(data) < need and at + len(data) < size:
-            got = file.read_at(min(max(block, need - len(data)), size - at - len(data)), at + len(data))
-            if not got:
-                raise EOFError("archive is shorter than its manifest says")
-            data += got
-        return len(data) >= need
-
-    def pieces(step: int = 4096) -> Iterator[bytes]:
-        """The bytes from ``at`` on, piece by piece."""
+        """Make at least ``need`` bytes from ``pos`` available, as far as the file goes."""
+        nonlocal base, data, pos
+        if len(data) - pos < need and base + len(data) < size:
+            base, data, pos = base + pos, data[pos:], 0
+            while len(data) < need and base + len(data) < size:
+                got = file.read_at(min(max(block, need - len(data)), size - base - len(data)), base + len(data))
+                if not got:
+                    raise EOFError("archive is shorter than its manifest says")
+                data += got
+        return len(data) - pos >= need
+
+    def pieces(step: int) -> Iterator[bytes]:
+        """The bytes from ``pos`` on, piece by piece."""
         used = 0
-        while used < len(data) or more(used + 1):
-            piece = data[used : used + step]
+        while pos + used < len(data) or more(used + 1):
+            piece = data[pos + used : pos + used + step]
             yield piece
             used += len(piece)
 
-    known = False  # whether ``at`` is a record start that the member before it led to
-    while at < end:
+    known = False  # whether ``pos`` is a record start that the member before it led to
+    while base + pos < end:
         if not known:
-            k = data.find(MAGIC)
+            k = data.find(MAGIC, pos)
             if k < 0:
-                keep = len(data) - min(len(data), len(MAGIC) - 1)
-                if at + len(data) >= size:
+                if base + len(data) >= size:
                     return
-                at, data = at + keep, data[keep:]
+                pos = max(pos, len(data) - len(MAGIC) + 1)
                 more(len(MAGIC) + block)
                 continue
-            at, data = at + k, data[k:]
-            if at >= end:
+            pos = k
+            if base + pos >= end:
                 return
-            if read_header(pieces()) is None:
-                at, data = at + 1, data[1:]
+            if read_header(pieces(4096)) is None:
+                pos += 1
                 continue
-        z, parts, used, whole = zlib.decompressobj(31), [], 0, True
-        while not z.eof:
-            if used >= len(data) and not more(used + 1):
-                whole = False
-                break
-            try:
-                parts.append(z.decompress(data[used:]))
-            except zlib.error:
-                whole = False
-                break
-            used = len(data)
-        if whole:
+        z, parts, used = zlib.decompressobj(31), [], 0
+        try:
+            for piece in pieces(1 << 15):
+                parts.append(z.decompress(piece))
+                used += len(piece)
+                if z.eof:
+                    break
+        except zlib.error:
+            pass
+        at = base + pos
+        if z.eof:
             used -= len(z.unused_data)
             raw = b"".join(parts)
             if (head := headers_of(raw)) is not None:
@@ -153,33 +153,49 @@ def read_range(file, size: int, start: int, end: int, block: int = 1 << 20) -> I
         else:
             known = False
             continue
-        at, data = at + used, data[used:]
-        more(3)
-        known = whole and data[:3] == MAGIC
+        pos += used
+        more(len(MAGIC))
+        known = z.eof and data[pos : pos + len(MAGIC)] == MAGIC
+
 
+def write_archives(pages: DataFrame, out: str, min_revisit_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", level: int = 6, small_rows: int = 200_000, salts: int = 16, roll_bytes: int = 1 << 30) -> DataFrame:
+    """Write one record per page under the folder ``out``; manifest rows ``(file, bytes, records)``.
 
-def write_archives(pages: DataFrame, out: str, min_revisit_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", level: int = 6) -> DataFrame:
-    """Write one record per page under the folder ``out``; manifest rows ``(file, bytes, records)``."""
+    The payloads that occur more than once are broadcast if they are at most ``small_rows`` (a digest and
+    an id each); beyond, pages meet them in a salted join, so copies of one payload are not one task's.
+    A file that has reached ``roll_bytes`` is followed by a new one."""
     held = pages.select(F.col(id_col).cast("long").alias("page"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     held = held.withColumn("sha", F.unhex(F.sha1(F.col("html").cast("binary"))))
     sizes = held.select("page", "sha", F.octet_length("html").alias("n")).where(F.col("n") >= min_revisit_bytes)
     groups = sizes.groupBy("sha").agg(F.max("page").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1 and first is not null").drop("copies")
-    marked = held.join(groups, "sha", "left").select("page", "url", "html", F.when((F.octet_length("html") >= min_revisit_bytes) & ~F.col("page").eqNullSafe(F.col("first")), F.col("first")).alias("refers"))
+    groups = cut(groups)
+    if groups.count() <= small_rows:
+        joined = held.join(F.broadcast(groups), "sha", "left")
+    else:
+        salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+        joined = held.withColumn("salt", F.pmod(F.xxhash64("page", "url"), F.lit(salts))).join(salted, ["sha", "salt"], "left")
+    marked = joined.select("page", "url", "html", F.when((F.octet_length("html") >= min_revisit_bytes) & ~F.col("page").eqNullSafe(F.col("first")), F.col("first")).alias("refers"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(out)
-        stream, size, records, name = None, 0, 0, f"pages-{worker_tag()}.warc.gz"
+        stream, size, records, name = None, 0, 0, ""
+        told = lambda: pa.RecordBatch.from_pydict({"file": [name], "bytes": [size], "records": [records]})
         for part in slices(batches, "html"):
-            if stream is None:
-                fs.create_dir(base, recursive=True)
-                stream = fs.open_output_stream(f"{base}/{name}", compression=None)
             for page, url, html, refers in zip(*(part.column(k).to_pylist() for k in range(4))):
+                if stream is None:
+                    fs.create_dir(base, recursive=True)
+                    size, records, name = 0, 0, f"pages-{worker_tag()}.warc.gz"
+                    stream = fs.open_output_stream(f"{base}/{name}", compression=None)
                 member = gzip_member(record(page, url, html.encode(), refers, refers is not None), level)
                 stream.write(member)
                 size, records = size + len(member), records + 1
+                if size >= roll_bytes:
+                    stream.close()
+                    stream = None
+                    yield told()
         if stream is not None:
             stream.close()
-            yield pa.RecordBatch.from_pydict({"file": [name], "bytes": [size], "records": [records]})
+            yield told()
 
     bound_batches(pages.sparkSession)
     return cut(marked.mapInArrow(lean(run), "file string, bytes long, records long"))
@@ -214,7 +230,7 @@ def read_archives(spark: SparkSession, manifest: DataFrame, folder: str, split_b
 
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))
     cuts = manifest.where("bytes > 0").select("file", "bytes", F.explode(starts).alias("start"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), cuts.count())
     schema = "file string, offset long, warc_type string, target_uri string, record_id string, refers_to_id string, payload_digest string, http_length long, payload binary"
     return cuts.repartition(n, "file", "start").mapInArrow(lean(run), schema)
 
@@ -233,7 +249,8 @@ def archive_round_trip(pages: DataFrame, min_revisit_bytes: int = 0, id_col: str
 
     Raises if an archive gives another number of records than its manifest says.
     A response's digest and length are taken from its payload bytes as read; a
-    revisit, which has none, gives the digest and length of its headers."""
+    revisit, which has none, gives the digest and length of its headers. The archives
+    are deleted at the end; ``write_archives`` and ``read_archives`` keep theirs."""
     spark = pages.sparkSession
     out = scratch(spark, "warc")
     manifest = write_archives(pages, out, min_revisit_bytes, id_col)
@@ -251,4 +268,5 @@ def archive_round_trip(pages: DataFrame, min_revisit_bytes: int = 0, id_col: str
     got = back.select("record_id", "warc_type", "payload_digest", "http_length", "payload", "refers_to_id", "file").mapInArrow(lean(check), "page string, n long, digest string, kind string, refers string, file string")
     got = cut(got)
     check_counts(manifest, got)
+    remove_tree(spark, out)
     return got.select(F.expr("try_cast(page as long)").alias(id_col), F.col("n").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), F.expr("try_cast(refers as long)").alias("refers_to"))

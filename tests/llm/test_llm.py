@@ -78,8 +78,13 @@ def test_simhash_links_in_crowds(spark, crowd):
 
 def test_components_of_a_chain_and_a_hub(spark):
     edges = [(k, k + 1) for k in range(200)] + [(1000, k) for k in range(1001, 1400)]
-    got = components(spark.createDataFrame(edges, "a long, b long")).toPandas()
-    assert set(got[got.node <= 200].root) == {0} and set(got[got.node >= 1000].root) == {1000} and len(got) == 201 + 400
+    frame = spark.createDataFrame(edges + edges[:50] + [(7, 7), (5000, 5000)], "a long, b long")
+    for local in (200_000, 0):  # in one task and in rounds
+        got = components(frame, local_edges=local).toPandas()
+        assert set(got[got.node <= 200].root) == {0} and set(got[got.node >= 1000].root) == {1000} and len(got) == 201 + 400
+        names = components(frame.selectExpr("cast(a as string) a", "cast(cast(b as string) as string) b"), local_edges=local).toPandas()
+        assert len(names) == 601 and set(names.root) == {"0", "1000"}
+    assert components(frame.limit(0)).count() == 0
 
 
 def test_warc_round_trip(spark):
