@@ -210,7 +210,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         other = candidates.select("key", F.col("id").alias("b"), "less")
         pairs = own.join(other, "key").where("(less = 0 and a < b) or (less > 0 and a <> b)").select("a", "b", F.lit(0).alias("head"), F.lit(0).alias("tail")).distinct()
         stars = links = cut(verified(pairs, texts, max_edits))
-    roots = components(stars)
+    roots = components(stars, local_edges=0)  # in rounds of joins, whatever their number: no Python on the executors
     named = kinds.select("id", "first", "copies").join(roots.withColumnRenamed("node", "id"), "id", "left").where("copies > 1 or root is not null")
     named = named.withColumn("root", F.coalesce("root", "id"))
     least = named.groupBy("root").agg(F.min("first").alias("of_class"))
