@@ -30,6 +30,7 @@ from ..operators import (
     timeseries,
     trees,
 )
+from . import sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -360,9 +361,9 @@ def knn_regress(spark, d):
     return model.predict(None, "vec_id", "embedding").select("query", r("prediction").alias("prediction"))
 
 
-@query(f"WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) SELECT a.vec_id AS query, b.vec_id AS neighbor, {sql_r('list_distance(a.v, b.v)', 'distance')} FROM e a JOIN e b ON a.vec_id <> b.vec_id AND list_distance(a.v, b.v) <= 0.9")
+@query(f"WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) SELECT a.vec_id AS query, b.vec_id AS neighbor, {sql_r('list_distance(a.v, b.v)', 'distance')} FROM e a JOIN e b ON a.vec_id <> b.vec_id AND list_distance(a.v, b.v) <= 1.2")
 def radius_neighbors(spark, d):
-    got = neighbors.NearestNeighbors(radius=0.9).fit(t(spark, d, "embeddings"), "vec_id", "embedding").radius_neighbors()
+    got = neighbors.NearestNeighbors(radius=1.2).fit(t(spark, d, "embeddings"), "vec_id", "embedding").radius_neighbors()
     return got.select("query", "neighbor", r("distance").alias("distance"))
 
 
@@ -449,6 +450,26 @@ def group_kfold_totals(spark, d):
     return folds.groupBy("c_nationkey").agg(F.count_distinct("fold").alias("f"), F.count(F.lit(1)).alias("n")).where("f = 1").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("members"))
 
 
+@query("""WITH RECURSIVE c AS (SELECT c_nationkey AS g, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, c_nationkey DESC) AS k FROM customer GROUP BY 1),
+    d AS (SELECT 0::BIGINT AS k, [0, 0, 0, 0, 0]::BIGINT[] AS load, 0::BIGINT AS g, 0 AS fold UNION ALL
+        SELECT c.k, [CASE WHEN i = p THEN load[i] + c.n ELSE load[i] END FOR i IN range(1, 6)], c.g, p - 1 FROM (SELECT *, list_position(load, list_min(load)) AS p FROM d) e JOIN c ON c.k = e.k + 1)
+    SELECT c_custkey, fold::INTEGER AS fold FROM customer JOIN d ON d.g = c_nationkey AND d.k > 0""")
+def group_kfold_assign(spark, d):
+    df = t(spark, d, "customer").select("c_custkey", "c_nationkey")
+    return model_selection.GroupKFold(5).folds(df, "c_custkey", None, "c_nationkey").select("c_custkey", F.col("fold").cast("int").alias("fold"))
+
+
+@query("""WITH p AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS i, count(*) OVER () AS n FROM events), s AS (SELECT unnest([0, 1, 2]) AS split)
+    SELECT split, event_id, CASE WHEN i < n - (3 - split) * (n // 4) THEN 'train' ELSE 'test' END AS side FROM p, s WHERE i < n - (2 - split) * (n // 4)""")
+def time_series_members(spark, d):
+    df, whole = t(spark, d, "events").select("event_id"), None
+    for k, parts in enumerate(model_selection.TimeSeriesSplit(3).split(df, "event_id")):
+        for side, part in zip(("train", "test"), parts):
+            own = part.select(F.lit(k).alias("split"), "event_id", F.lit(side).alias("side"))
+            whole = own if whole is None else whole.unionAll(own)
+    return whole
+
+
 @query("""WITH p AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS i, count(*) OVER () AS n FROM events), s AS (SELECT unnest([0, 1, 2]) AS k)
     SELECT k AS split, count(*) FILTER (i < n - (3 - k) * (n // 4)) AS train, count(*) FILTER (i >= n - (3 - k) * (n // 4) AND i < n - (2 - k) * (n // 4)) AS test FROM p, s GROUP BY k""")
 def time_series_split(spark, d):
@@ -471,7 +492,7 @@ def windowed_moments(spark, d):
     return f(df, "ts", ["event_type"], "value", "1 day").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", r("mean").alias("mean"), r("var").alias("var"))
 
 
-# ---------------------------------------------------------------- without SQL: checked in the tests
+# ---------------------------------------------------------------- models, most of them without SQL
 def _small(spark, d) -> tuple[DataFrame, list[str]]:
     """All embeddings as rows of eight coarse columns (mean of eight components each) and their label."""
     e = t(spark, d, "embeddings")
@@ -482,7 +503,30 @@ def _small(spark, d) -> tuple[DataFrame, list[str]]:
 def _coefs(spark, m) -> DataFrame:
     w = np.atleast_2d(np.asarray(m.coef_, float))
     b = np.atleast_1d(np.asarray(m.intercept_, float))
-    return spark.createDataFrame(pd.DataFrame([(i, j, float(v)) for i, row in enumerate(w) for j, v in enumerate(row)] + [(i, -1, float(v)) for i, v in enumerate(b)], columns=["output", "feature", "weight"]))
+    got = spark.createDataFrame(pd.DataFrame([(i, j, float(v)) for i, row in enumerate(w) for j, v in enumerate(row)] + [(i, -1, float(v)) for i, v in enumerate(b)], columns=["output", "feature", "weight"]))
+    return rounded(got, ["output", "feature"], ["weight"])
+
+
+_S = [f"x{k}" for k in range(8)]
+_SMALL = "x AS (SELECT vec_id AS id, label, " + ", ".join(f"list_sum(embedding[{8 * k + 1}:{8 * k + 8}]::DOUBLE[]) AS x{k}" for k in range(8)) + " FROM embeddings)"
+_O = ["x0", "x1", "x2"]
+_ORDERS = "o AS (SELECT o_orderkey AS id, o_totalprice / 1e5 AS y, c_acctbal / 1e4 AS x0, c_nationkey / 25 AS x1, length(o_orderpriority)::DOUBLE AS x2 FROM orders JOIN customer ON o_custkey = c_custkey)"
+
+
+def _sql_coefs(source: str, d: int, output: str = "0") -> str:
+    """Rows of ``_coefs`` from a table with weights ``w`` and intercept ``c``."""
+    return f"SELECT ({output})::BIGINT AS output, (j - 1)::BIGINT AS feature, {sql_r('w[j]', 'weight')} FROM {source}, unnest(range(1, {d + 1})) AS t(j) UNION ALL SELECT ({output})::BIGINT, -1, round(c, 6) + 0.0 FROM {source}"
+
+
+_Z = [f"({c} - mx[{k + 1}])" for k, c in enumerate(_O)]
+_LEVERAGE = " + ".join(f"{a} * v[{i + 1}][{j + 1}] * {b}" for i, a in enumerate(_Z) for j, b in enumerate(_Z))
+_FIT_SQL = {
+    "ridge_cv": f"""WITH RECURSIVE {_ORDERS}, s AS (SELECT o.*, alpha FROM o, (SELECT unnest([0.1, 1.0, 10.0])::DOUBLE AS alpha)), {sql.ridge("g", "s", _O, "y", "any_value(alpha)", ["alpha"], inverse=True)},
+        e AS (SELECT g.alpha, avg(pow((y - ({sql.linear(_O)})) / (1 - 1.0 / n - ({_LEVERAGE})), 2)) AS error FROM s JOIN g ON g.alpha = s.alpha GROUP BY g.alpha),
+        best AS (SELECT g.* FROM g JOIN e USING (alpha) ORDER BY error, alpha LIMIT 1) {_sql_coefs("best", 3)}""",
+    "ridge_classifier": f"""WITH RECURSIVE {_SMALL}, s AS (SELECT x.*, l.label AS cls, CASE WHEN x.label = l.label THEN 1.0 ELSE -1.0 END AS t FROM x, (SELECT DISTINCT label FROM x) l), {sql.ridge("g", "s", _S, "t", "1.0", ["cls"])},
+        h AS (SELECT *, row_number() OVER (ORDER BY cls) - 1 AS place FROM g) {_sql_coefs("h", 8, "place")}""",
+}
 
 
 def _fit(make: Callable, target: str = "y") -> Query:
@@ -513,6 +557,8 @@ for _name, _make, _target in [
     ("linear_svc", lambda: linear.LinearSVC(max_iter=4), "label"),
 ]:
     QUERIES[_name] = _fit(_make, _target)
+    if _name in _FIT_SQL:
+        ORACLE_SQL[_name] = " ".join(_FIT_SQL[_name].split())
 
 
 @query()
@@ -546,11 +592,15 @@ def random_projection(spark, d):
     return decomposition.SparseRandomProjection(3).fit(df, cols).transform(a, "s").select("id", "g0", "g1", "g2", "s0", "s1", "s2")
 
 
-@query()
+_DEV = " + ".join(f"pow({c} - (SELECT avg({c}) FROM x), 2)" for c in _S)
+
+
+@query(f"""WITH {_SMALL}, f AS (SELECT count(*) AS n, avg(pow({_DEV}, 2)) AS q FROM x), s AS (SELECT {" + ".join(f"pow(covar_pop({a}, {b}), 2)" for a in _S for b in _S)} AS ss, {" + ".join(f"var_pop({a})" for a in _S)} AS tr FROM x),
+    k AS (SELECT tr, (q - ss) / (8 * n) AS beta, (ss - 2 * (tr / 8) * tr + 8 * pow(tr / 8, 2)) / 8 AS delta FROM f, s) SELECT {sql_r("least(beta, delta) / delta", "shrinkage")}, {sql_r("tr", "trace")} FROM k""")
 def ledoit_wolf(spark, d):
     df, cols = _small(spark, d)
     m = decomposition.LedoitWolf().fit(df, cols)
-    return spark.createDataFrame([(float(m.shrinkage_), float(np.trace(m.covariance_)))], "shrinkage double, trace double")
+    return rounded(spark.createDataFrame([(float(m.shrinkage_), float(np.trace(m.covariance_)))], "shrinkage double, trace double"), [], ["shrinkage", "trace"])
 
 
 @query()
@@ -668,11 +718,19 @@ def forest_inference(spark, d):
     return got.select("l_orderkey", "l_linenumber", r("prediction").alias("prediction"))
 
 
-@query()
+_HALF = f"p AS (SELECT *, {sql.fold('id', 2)} AS fold FROM x), halves AS (SELECT unnest([0, 1]) AS f)"
+_MEMBERS = "(SELECT unnest([1.0, 0.0])::DOUBLE AS alpha)"
+
+
+@query(f"""WITH RECURSIVE {_SMALL}, {_HALF}, s AS (SELECT p.*, f, alpha FROM p, halves, {_MEMBERS} WHERE fold <> f), {sql.ridge("g", "s", _S, "label", "any_value(alpha)", ["f", "alpha"])},
+    oof AS (SELECT p.id, any_value(p.label) AS label, max({sql.linear(_S)}) FILTER (alpha = 1) AS a, max({sql.linear(_S)}) FILTER (alpha = 0) AS b FROM p JOIN g ON g.f = p.fold GROUP BY p.id), {sql.ridge("u", "oof", ["a", "b"], "label", "1.0")},
+    whole AS (SELECT x.*, alpha FROM x, {_MEMBERS}), {sql.ridge("h", "whole", _S, "label", "any_value(alpha)", ["alpha"])},
+    m AS (SELECT x.id, max({sql.linear(_S)}) FILTER (alpha = 1) AS a, max({sql.linear(_S)}) FILTER (alpha = 0) AS b FROM x, h GROUP BY x.id)
+    SELECT id, {sql_r(sql.linear(["a", "b"]), "prediction")} FROM m, u""")
 def stacking_regressor(spark, d):
     df, cols = _small(spark, d)
     m = ensemble.StackingRegressor([("a", linear.Ridge()), ("b", linear.LinearRegression())], linear.Ridge(), 2).fit(df, cols, "label", "id")
-    return m.predict(df).select("id", "prediction")
+    return rounded(m.predict(df), ["id"], ["prediction"])
 
 
 @query()
@@ -690,22 +748,40 @@ def _support(spark, m) -> DataFrame:
     return spark.createDataFrame([(c, bool(k)) for c, k in zip(m.cols, m.support_)], "feature string, kept boolean")
 
 
-@query()
+def _rfe_sql(steps: int) -> str:
+    """Moments once; then, ``steps`` times, a solve over the columns that are left and the one of least squared weight goes."""
+    rows = ", ".join("[" + ", ".join([f"count(*) * covar_pop({a}, {b})" + (" + 1.0" if a == b else "") for b in _S] + [f"count(*) * covar_pop({a}, label)"]) + "]" for a in _S)
+    out = [f"WITH RECURSIVE {_SMALL}, base AS (SELECT [{rows}]::DOUBLE[][] AS b FROM x), act0 AS (SELECT [true FOR i IN range(8)] AS act, b FROM base)"]
+    for k in range(steps):
+        out.append(f"m{k} AS (SELECT act, b, [[CASE WHEN act[i] AND (j = 9 OR act[j]) THEN b[i][j] WHEN i = j THEN 1.0 ELSE 0.0 END FOR j IN range(1, 10)] FOR i IN range(1, 9)] AS m FROM act{k})")
+        out.append(sql.eliminated(f"r{k}", f"m{k}", 8, 1, (), ("act", "b")))
+        out.append(f"w{k} AS (SELECT i FROM r{k}, unnest(range(1, 9)) AS t(i) WHERE k = 8 AND act[i] ORDER BY m[i][9] * m[i][9], i LIMIT 1)")
+        out.append(f"act{k + 1} AS (SELECT [act[i] AND i <> gone FOR i IN range(1, 9)] AS act, b FROM act{k}, (SELECT max(i) AS gone FROM w{k}))")
+    return ", ".join(out) + f" SELECT 'x' || (i - 1) AS feature, act[i] AS kept FROM act{steps}, unnest(range(1, 9)) AS t(i)"
+
+
+@query(_rfe_sql(4))
 def recursive_elimination(spark, d):
     df, cols = _small(spark, d)
     return _support(spark, feature_selection.RFE(linear.Ridge(), 4).fit(df, cols, "label"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_SMALL}, {sql.ridge('g', 'x', _S, 'label', '1.0')} SELECT 'x' || (i - 1) AS feature, abs(w[i]) >= list_avg([abs(z) FOR z IN w]) AS kept FROM g, unnest(range(1, 9)) AS t(i)")
 def select_from_model(spark, d):
     df, cols = _small(spark, d)
     return _support(spark, feature_selection.SelectFromModel(linear.Ridge()).fit(df, cols, "label"))
 
 
-@query()
+_R2 = "1 - sum(pow(label - p, 2)) / (count(*) * var_pop(label))"
+
+
+@query(f"""WITH {_SMALL}, {_HALF}, u AS ({" UNION ALL ".join(f"SELECT {k} AS feature, {c} AS v, label, fold FROM p" for k, c in enumerate(_S))}),
+    g AS (SELECT feature, f, avg(v) AS mv, avg(label) AS my, count(*) * covar_pop(v, label) / (count(*) * var_pop(v) + 1.0) AS w FROM u, halves WHERE fold <> f GROUP BY ALL),
+    e AS (SELECT feature, f, {_R2} AS r2 FROM (SELECT u.feature, g.f, label, my + w * (v - mv) AS p FROM u JOIN g ON g.feature = u.feature AND g.f = u.fold) GROUP BY ALL),
+    b AS (SELECT feature FROM e GROUP BY feature ORDER BY avg(r2) DESC, feature LIMIT 1) SELECT 'x' || i AS feature, i = (SELECT feature FROM b) AS kept FROM unnest(range(8)) AS t(i)""")
 def sequential_selection(spark, d):
     df, cols = _small(spark, d)
-    return _support(spark, feature_selection.SequentialFeatureSelector(linear.Ridge(), _r2, model_selection.KFold(2), 1).fit(df, cols[:3], "label", "id"))
+    return _support(spark, feature_selection.SequentialFeatureSelector(linear.Ridge(), _r2, model_selection.KFold(2), 1).fit(df, cols, "label", "id"))
 
 
 @query()
@@ -714,24 +790,36 @@ def mutual_info_knn(spark, d):
     return _scores(spark, cols, feature_selection.mutual_info_classif(df, cols, "label", "id"))
 
 
-@query()
+@query(f"""WITH s AS ({per_feature(_ANOVA)}), n AS (SELECT count(*) - 3 AS d FROM lineitem), p AS (SELECT feature, pow(1 + 2 * score / d, -d / 2.0) AS p FROM s, n)
+    SELECT feature, p < 0.05 AS fpr, p < 0.05 / 4 AS fwe FROM p""")
+def select_fpr_fwe(spark, d):
+    df = t(spark, d, "lineitem").select("l_returnflag", *LINE)
+    fpr, fwe = (make().fit(df, LINE, "l_returnflag") for make in (feature_selection.SelectFpr, feature_selection.SelectFwe))
+    return spark.createDataFrame([(c, bool(a), bool(b)) for c, a, b in zip(LINE, fpr.support_, fwe.support_)], "feature string, fpr boolean, fwe boolean")
+
+
+@query(f"""WITH s AS ({per_feature(_ANOVA)}), n AS (SELECT count(*) - 3 AS d FROM lineitem), p AS (SELECT feature, pow(1 + 2 * score / d, -d / 2.0) AS p FROM s, n),
+    k AS (SELECT *, p <= 0.05 * row_number() OVER (ORDER BY p) / count(*) OVER () AS under FROM p) SELECT feature, coalesce(p <= (SELECT max(p) FROM k WHERE under), false) AS kept FROM k""")
 def select_fdr(spark, d):
     df = t(spark, d, "lineitem").select("l_returnflag", *LINE)
     return _support(spark, feature_selection.SelectFdr().fit(df, LINE, "l_returnflag"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SMALL}, {_HALF}, s AS (SELECT p.*, f, alpha FROM p, halves, (SELECT unnest([0.1, 10.0])::DOUBLE AS alpha) WHERE fold <> f), {sql.ridge("g", "s", _S, "label", "any_value(alpha)", ["f", "alpha"])},
+    e AS (SELECT alpha, f, {_R2} AS r2 FROM (SELECT alpha, f, label, {sql.linear(_S)} AS p FROM p JOIN g ON g.f = p.fold) GROUP BY ALL),
+    m AS (SELECT alpha, avg(r2) AS a, stddev_pop(r2) AS d FROM e GROUP BY alpha) SELECT alpha, {sql_r("a", "mean")}, {sql_r("d", "std")}, (rank() OVER (ORDER BY a DESC))::INTEGER AS rank FROM m""")
 def grid_search(spark, d):
     df, cols = _small(spark, d)
     got = model_selection.GridSearchCV(linear.Ridge(), {"alpha": [0.1, 10.0]}, _r2, 2).fit(df, cols, "label", "id")
     res = got.cv_results_
-    return spark.createDataFrame([(p["alpha"], float(m), float(s), int(k)) for p, m, s, k in zip(res["params"], res["mean_test_score"], res["std_test_score"], res["rank_test_score"])], "alpha double, mean double, std double, rank int")
+    return spark.createDataFrame([(p["alpha"], float(m), float(s), int(k)) for p, m, s, k in zip(res["params"], res["mean_test_score"], res["std_test_score"], res["rank_test_score"])], "alpha double, mean double, std double, rank int").select("alpha", r("mean").alias("mean"), r("std").alias("std"), "rank")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SMALL}, p AS (SELECT *, {sql.fold("id", 3)} AS fold FROM x), s AS (SELECT p.*, f FROM p, (SELECT unnest([0, 1, 2]) AS f) WHERE fold <> f), {sql.ridge("g", "s", _S, "label", "1.0", ["f"])}
+    SELECT id, {sql_r(sql.linear(_S), "prediction")} FROM p JOIN g ON g.f = p.fold""")
 def cross_val_predict(spark, d):
     df, cols = _small(spark, d)
-    return model_selection.cross_val_predict(linear.Ridge(), df, cols, "label", "id", 3).select("id", "prediction")
+    return rounded(model_selection.cross_val_predict(linear.Ridge(), df, cols, "label", "id", 3), ["id"], ["prediction"])
 
 
 @query("""WITH c AS (SELECT label, min(vec_id) AS f FROM embeddings GROUP BY label),
@@ -756,7 +844,8 @@ def shuffle_split(spark, d):
     return train.select("o_orderkey", F.lit("train").alias("side")).unionAll(test.select("o_orderkey", F.lit("test").alias("side")))
 
 
-@query()
+@query(f"""WITH {_J}, b AS (SELECT min(s) AS lo, max(s) AS hi FROM j), g AS (SELECT k, CASE WHEN k = 49 THEN hi ELSE lo + k * ((hi - lo) / 49) END AS t FROM b, unnest(range(50)) AS u(k)),
+    a AS (SELECT k, t, avg(CASE WHEN (y = 1) = (s >= t) THEN 1.0 ELSE 0.0 END) AS score FROM j, g GROUP BY k, t) SELECT {sql_r("t", "threshold")}, {sql_r("score", "score")} FROM a ORDER BY round(score, 12) DESC, k LIMIT 1""")
 def tuned_threshold(spark, d):
     m = model_selection.TunedThresholdClassifier(lambda tp, fp, fn, tn: (tp + tn) / (tp + fp + fn + tn), 50).fit(_judged(spark, d), "y", "s")
-    return spark.createDataFrame([(m.best_threshold_, m.best_score_)], "threshold double, score double")
+    return rounded(spark.createDataFrame([(m.best_threshold_, m.best_score_)], "threshold double, score double"), [], ["threshold", "score"])
