@@ -2,7 +2,8 @@
 
 A level of all open nodes is grown from one sweep: every task bins its rows, walks
 them down the trees so far and adds their gradients into (node, feature, bin)
-histograms; only histograms reach the driver.  Growth is deterministic.
+histograms; these are added up and searched for their best cut on the executors, by
+node and feature, so one row of each pair reaches the driver.  Growth is deterministic.
 """
 
 from __future__ import annotations
@@ -12,11 +13,14 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vec
-from ..plans.stats import check_finite, sweep
+from ..plans.graph import cut
+from ..plans.stats import check_finite
 from .base import Estimator, by_rows
 
 
@@ -74,6 +78,33 @@ def bin_edges(df: DataFrame, cols: Sequence[str], bins: int) -> list[np.ndarray]
     return out
 
 
+def best_cuts(df: DataFrame, names: Sequence[str], part, slots: int, shape: tuple[int, int, int], judge) -> dict[tuple[int, int], tuple]:
+    """``(slot, feature) -> (score, bin, statistics left of the cut, of all rows)`` from histograms: ``part(x)`` gives
+    those of a batch, ``slots`` times ``shape`` = (features, bins, width); ``judge(feature, left, whole)`` scores cuts."""
+    d, bins, width = shape
+
+    def run(batches):
+        total = np.zeros((slots, d, bins, width))
+        for batch in batches:
+            if batch.num_rows:
+                total += part(np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]))
+        slot, feature = np.nonzero(total[..., 0].sum(2) > 0)
+        hist = total[slot, feature].reshape(-1)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(slot) + 1, dtype=np.int32) * (bins * width)), pa.array(hist))
+        yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(feature.astype(np.int32)), lists], ["slot", "feature", "hist"])
+
+    def choose(key, table):
+        h = pc.list_flatten(table.column("hist")).to_numpy().reshape(-1, bins, width).sum(0)
+        whole, left = h.sum(0), np.cumsum(h, axis=0)[:-1]
+        score = judge(key[1].as_py(), left, whole)
+        c = int(score.argmax())
+        return pa.table({"slot": [key[0].as_py()], "feature": [key[1].as_py()], "score": [float(score[c])], "cut": [c], "left": [left[c].tolist()], "whole": [whole.tolist()]}, schema=pa.schema([("slot", pa.int32()), ("feature", pa.int32()), ("score", pa.float64()), ("cut", pa.int32()), ("left", pa.list_(pa.float64())), ("whole", pa.list_(pa.float64()))]))
+
+    held = df.select(*[F.col(c).cast("double") for c in names]).mapInArrow(run, "slot int, feature int, hist array<double>")
+    told = held.groupBy("slot", "feature").applyInArrow(choose, "slot int, feature int, score double, cut int, left array<double>, whole array<double>").toArrow().to_pylist()
+    return {(r["slot"], r["feature"]): (r["score"], r["cut"], np.array(r["left"]), np.array(r["whole"])) for r in told}
+
+
 def grow(df: DataFrame, cols: Sequence[str], others: Sequence[str], edges: list[np.ndarray], stats, width: int, gain, leaf, depth: int, least: float, features: int | None = None, rng: np.random.Generator | None = None, trees: int = 1) -> list[Tree]:
     """Grow ``trees`` trees side by side.  ``stats(x, o)`` gives per tree a matrix of ``width`` statistics a
     row (the first one its weight); ``gain(s)`` scores a statistics vector, ``leaf(s)`` its value."""
@@ -84,7 +115,13 @@ def grow(df: DataFrame, cols: Sequence[str], others: Sequence[str], edges: list[
     def binned(x: np.ndarray) -> np.ndarray:
         return np.column_stack([np.searchsorted(e, x[:, k], side="left") for k, e in enumerate(edges)])
 
-    for level in range(depth + 1):
+    def judge(f: int, left: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        right = whole - left
+        score = np.where((left[:, 0] >= least) & (right[:, 0] >= least), gain(left) + gain(right) - gain(whole[None]), -np.inf)
+        score[np.arange(bins - 1) >= len(edges[f])] = -np.inf
+        return score
+
+    for level in range(max(depth, 1)):
         slots = [(t, n) for t in range(trees) for n in (open_[t] if level else [0])]
         if not slots:
             break
@@ -103,30 +140,23 @@ def grow(df: DataFrame, cols: Sequence[str], others: Sequence[str], edges: list[
                         out[:, f, :, w] += np.bincount(cell, s[:, w], len(slots) * bins).reshape(len(slots), bins)
             return out
 
-        hist = sweep(df, [*cols, *others], part, len(slots) * d * bins * width).reshape(len(slots), d, bins, width)
+        found = best_cuts(df, [*cols, *others], part, len(slots), (d, bins, width), judge)
         nxt: list[list[int]] = [[] for _ in range(trees)]
         for k, (t, node) in enumerate(slots):
-            whole = hist[k, 0].sum(0)
+            whole = found[k, 0][3] if (k, 0) in found else np.zeros(width)
             if not level:
                 made[t].add(leaf(whole), whole[0])
-            if level == depth or whole[0] < 2 * least:
+            if level >= depth or whole[0] < 2 * least:
                 continue
-            left = np.cumsum(hist[k], axis=1)[:, :-1]
+            keep = range(d) if features is None or features >= d else sorted(rng.choice(d, features, replace=False))
+            f = max(keep, key=lambda f: (found[k, f][0], -f))
+            best, c, left, _ = found[k, f]
             right = whole - left
-            score = gain(left) + gain(right) - gain(whole[None, None])
-            score = np.where((left[..., 0] >= least) & (right[..., 0] >= least), score, -np.inf)
-            score[np.arange(bins - 1)[None] >= np.array([len(e) for e in edges])[:, None]] = -np.inf
-            if features is not None and features < d:
-                keep = rng.choice(d, features, replace=False)
-                mask = np.ones(d, bool)
-                mask[keep] = False
-                score[mask] = -np.inf
-            f, c = np.unravel_index(int(score.argmax()), score.shape)
-            if score[f, c] <= 1e-12:
+            if best <= 1e-12:
                 continue
             tree = made[t]
             tree.feature[node], tree.threshold[node] = int(f), float(edges[f][c])
-            tree.left[node], tree.right[node] = tree.add(leaf(left[f, c]), left[f, c][0]), tree.add(leaf(right[f, c]), right[f, c][0])
+            tree.left[node], tree.right[node] = tree.add(leaf(left), left[0]), tree.add(leaf(right), right[0])
             nxt[t] += [tree.left[node], tree.right[node]]
         open_ = nxt
     return made
@@ -307,23 +337,34 @@ class HistGradientBoostingRegressor(Ensemble):
     def _boost(self, df: DataFrame, cols: Sequence[str], y: str, outputs: int, slopes, base: np.ndarray):
         made = self._begin(cols)
         edges = bin_edges(df, cols, self.max_bins)
-        held = df.select(*cols, y).persist()
+        raws = [f"__raw{k}" for k in range(outputs)]
+        held = df.select(*cols, y, *[F.lit(float(b)).alias(c) for b, c in zip(base, raws)]).persist()
         made.trees_, made.base_ = [], base
-        lam, lr = self.l2_regularization, self.learning_rate
+        lam, lr, d, first = self.l2_regularization, self.learning_rate, len(cols), held
         gain = lambda s: s[..., 1] ** 2 / (s[..., 2] + lam + 1e-15)
         leaf = lambda s: float(-lr * s[1] / (s[2] + lam + 1e-15))
+
+        def raised(x: np.ndarray, raw: np.ndarray, trees: list[Tree]) -> np.ndarray:
+            raw = raw.copy()
+            for k, t in enumerate(trees):
+                raw[:, k % outputs] += t.predict(x)
+            return raw
+
+        seen = 0  # trees whose values are in the raw columns
         try:
             for _ in range(self.max_iter):
-                sofar = list(made.trees_)
+                if len(made.trees_) - seen >= 10 * outputs:
+                    new, seen = made.trees_[seen:], len(made.trees_)
+                    held = cut(by_rows(held, [*cols, *raws], lambda x, new=new: raised(x[:, :d], x[:, d:], new), raws))
+                sofar = made.trees_[seen:]
 
                 def stats(x: np.ndarray, o: np.ndarray, t: int) -> np.ndarray:
-                    raw = made._raw(x, sofar)
-                    g, h = slopes(raw, o[:, 0], t)
+                    g, h = slopes(raised(x, o[:, 1:], sofar), o[:, 0], t)
                     return np.column_stack([np.ones(len(x)), g, h])
 
-                made.trees_ += grow(held, cols, [y], edges, stats, 3, gain, leaf, self.max_depth, self.min_samples_leaf, trees=outputs)
+                made.trees_ += grow(held, cols, [y, *raws], edges, stats, 3, gain, leaf, self.max_depth, self.min_samples_leaf, trees=outputs)
         finally:
-            held.unpersist()
+            first.unpersist()
         return made
 
     def _raw(self, x: np.ndarray, trees: list[Tree]) -> np.ndarray:

@@ -548,13 +548,13 @@ for _name, _make, _target in [
     ("ridge_cv", linear.RidgeCV, "y"),
     ("bayesian_ridge", linear.BayesianRidge, "y"),
     ("elastic_net", lambda: linear.ElasticNet(0.01), "y"),
-    ("huber_regression", lambda: linear.HuberRegressor(max_iter=15), "y"),
-    ("linear_svr", lambda: linear.LinearSVR(max_iter=15), "y"),
-    ("ransac_regression", lambda: linear.RANSACRegressor(max_trials=20), "y"),
-    ("mbsgd_regression", lambda: linear.MBSGDRegressor(max_iter=3, batches=2), "y"),
+    ("huber_regression", lambda: linear.HuberRegressor(), "y"),
+    ("linear_svr", lambda: linear.LinearSVR(), "y"),
+    ("ransac_regression", lambda: linear.RANSACRegressor(), "y"),
+    ("mbsgd_regression", lambda: linear.MBSGDRegressor(), "y"),
     ("ridge_classifier", linear.RidgeClassifier, "label"),
-    ("logistic_regression", lambda: linear.LogisticRegression(max_iter=20), "label"),
-    ("linear_svc", lambda: linear.LinearSVC(max_iter=4), "label"),
+    ("logistic_regression", lambda: linear.LogisticRegression(), "label"),
+    ("linear_svc", lambda: linear.LinearSVC(), "label"),
 ]:
     QUERIES[_name] = _fit(_make, _target)
     if _name in _FIT_SQL:
@@ -564,7 +564,7 @@ for _name, _make, _target in [
 @query()
 def mbsgd_classifier(spark, d):
     df = _judged(spark, d)
-    return _coefs(spark, linear.MBSGDClassifier("log_loss", max_iter=3, batches=2).fit(df, ["s", "w"], "y"))
+    return _coefs(spark, linear.MBSGDClassifier("log_loss").fit(df, ["s", "w"], "y"))
 
 
 @query()
@@ -612,7 +612,7 @@ def kernel_ridge(spark, d):
 @query()
 def kmeans_fit(spark, d):
     df, cols = _small(spark, d)
-    return cluster.KMeans(10, max_iter=10).fit(df, cols).predict(df).select("id", "cluster")
+    return cluster.KMeans(10).fit(df, cols).predict(df).select("id", "cluster")
 
 
 @query()
@@ -632,13 +632,13 @@ def hdbscan(spark, d):
 @query()
 def gaussian_mixture(spark, d):
     df, cols = _small(spark, d)
-    return mixture.GaussianMixture(5, "diag", max_iter=5).fit(df, cols).predict(df).select("id", "component")
+    return mixture.GaussianMixture(5, "diag").fit(df, cols).predict(df).select("id", "component")
 
 
 @query()
 def bayesian_mixture(spark, d):
     df, cols = _small(spark, d)
-    return mixture.BayesianGaussianMixture(5, "diag", max_iter=5).fit(df, cols).predict(df).select("id", "component")
+    return mixture.BayesianGaussianMixture(5, "diag").fit(df, cols).predict(df).select("id", "component")
 
 
 @query()
@@ -656,13 +656,13 @@ def spectral_embedding(spark, d):
 @query()
 def tsne(spark, d):
     df, cols = _small(spark, d)
-    return manifold.TSNE(max_iter=60).fit_transform(df, cols, "id")
+    return manifold.TSNE().fit_transform(df, cols, "id")
 
 
 @query()
 def umap(spark, d):
     df, cols = _small(spark, d)
-    return manifold.UMAP(n_epochs=40).fit_transform(df, cols, "id")
+    return manifold.UMAP().fit_transform(df, cols, "id")
 
 
 def _daily(spark, d) -> DataFrame:
@@ -682,31 +682,31 @@ def auto_arima(spark, d):
 @query()
 def random_forest_classifier(spark, d):
     df, cols = _small(spark, d)
-    return trees.RandomForestClassifier(5, 4).fit(df, cols, "label").predict(df).select("id", "prediction")
+    return trees.RandomForestClassifier(max_depth=6).fit(df, cols, "label").predict(df).select("id", "prediction")
 
 
 @query()
 def random_forest_regressor(spark, d):
     df, cols = _small(spark, d)
-    return trees.RandomForestRegressor(5, 4).fit(df, cols, "label").predict(df).select("id", "prediction")
+    return trees.RandomForestRegressor(max_depth=6).fit(df, cols, "label").predict(df).select("id", "prediction")
 
 
 @query()
 def hist_gradient_boosting(spark, d):
     df, cols = _small(spark, d)
-    return trees.HistGradientBoostingRegressor(4, max_depth=3).fit(df, cols, "label").predict(df).select("id", "prediction")
+    return trees.HistGradientBoostingRegressor(max_depth=3).fit(df, cols, "label").predict(df).select("id", "prediction")
 
 
 @query()
 def hist_gradient_boosting_classifier(spark, d):
     df = _judged(spark, d)
-    return trees.HistGradientBoostingClassifier(4, max_depth=2).fit(df, ["s", "w"], "y").predict_proba(df).select("doc_id", "p0", "p1")
+    return trees.HistGradientBoostingClassifier(max_depth=2).fit(df, ["s", "w"], "y").predict_proba(df).select("doc_id", "p0", "p1")
 
 
 @query()
 def tree_shap(spark, d):
     df, cols = _small(spark, d)
-    m = trees.HistGradientBoostingRegressor(3, max_depth=3).fit(df, cols, "label")
+    m = trees.HistGradientBoostingRegressor(20, max_depth=3).fit(df, cols, "label")
     return m.shap_values(df).select("id", *[f"shap_{c}" for c in cols])
 
 
