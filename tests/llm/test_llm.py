@@ -4,10 +4,12 @@ import hashlib
 import itertools
 import json
 import math
+import os
 import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -16,7 +18,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fathomic.llm import ann, chat, decontam, langid, lines, mixing, quality, simhash, tokens, warc
+from fathomic.llm import ann, chat, decontam, langid, lines, mixing, quality, queries, simhash, tokens, warc
 from fathomic.llm.common import components, crc_bucket, scratch
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -643,3 +645,69 @@ def test_pipeline_stages_take_nulls_everywhere(spark, tmp_path):
     count = {name: stage(spark, docs, str(tmp_path)).count() for name, stage in corpus_pipeline.STAGES}
     assert count["language_id"] == 4 and count["simhash_neardup"] == 4 and count["decontamination"] == 5 and count["mixing"] >= 1 and count["token_records"] == 6
     assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 1
+
+
+DATA = "/root/testdata/sf0.001"
+
+
+def plain(frame):
+    frame = frame[sorted(frame.columns)]
+    key = lambda v: "null" if pd.isna(v) else f"{float(v):.6g}" if isinstance(v, (int, float)) else str(v)
+    return list(frame.columns), sorted(tuple(key(v) for v in row) for row in frame.itertuples(index=False))
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_against_duckdb(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "pages", "conversations"):
+        con.execute(f"create view {table} as select * from '{DATA}/{table}.parquet'")
+    assert plain(queries.QUERIES[name](spark, DATA).toPandas()) == plain(con.execute(queries.ORACLE_SQL[name]).df())
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_quality_query_brute_force(spark):
+    docs = pd.read_parquet(f"{DATA}/documents.parquet").set_index("doc_id")
+    got = queries.op4_quality_gam(spark, DATA).toPandas()
+    assert sorted(got.doc_id) == sorted(docs.index) and list(got.columns) == ["doc_id", "held_out", "score", "predicted"]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1 for r in got.itertuples())
+    df = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = quality.fit(df, spark.read.parquet(f"{DATA}/labels.parquet"), crc_bucket("doc_id", 5) != 0)
+    texts = [docs.text[i] or "" for i in got.doc_id]
+    x = quality.features(pa.array(texts))
+    for text, row, score in zip(texts, x, got.score):
+        value = model.base + sum(t[sum(e < v for e in edges)] for t, edges, v in zip(model.tables, model.edges, row))
+        rough = [sum(e < v for e in edges) for edges, v in zip(model.coarse, row)]
+        value += sum(t[rough[a], rough[b]] for (a, b), t in zip(model.pairs, model.pair_tables))
+        assert math.isclose(score, 1 / (1 + math.exp(-value)), rel_tol=1e-9)
+        at, raw, told, rows = dict(zip(quality.FEATURES, row)), text.encode(), [w for w in re.split("[ \n]", text) if w], text.split("\n")
+        many = max(len(told), 1)
+        assert math.isclose(at["chars"], math.log1p(len(raw))) and math.isclose(at["upper"], sum(65 <= c <= 90 for c in raw) / max(len(raw), 1))
+        assert math.isclose(at["words"], math.log1p(len(told))) and math.isclose(at["distinct_words"], len(set(told)) / math.sqrt(many))
+        assert math.isclose(at["top_word"], max(map(told.count, set(told)), default=0) / many) and math.isclose(at["repeated_next"], sum(a == b for a, b in zip(told, told[1:])) / many)
+        assert math.isclose(at["distinct_lines"], len(set(rows)) / len(rows)) and math.isclose(at["end_mark"], sum(w[-1] in ".!?" for w in told) / many)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_language_query_brute_force(spark):
+    docs = pd.read_parquet(f"{DATA}/documents.parquet").set_index("doc_id")
+    got = queries.op8_language_id(spark, DATA).toPandas()
+    assert sorted(got.doc_id) == sorted(docs.index) and list(got.columns) == ["doc_id", "held_out", "lang_pred", "score"]
+    model = langid.fit(spark.read.parquet(f"{DATA}/documents.parquet"), crc_bucket("doc_id", 4) != 2)
+    marks = [set(np.flatnonzero(m)) for m in model.landmarks.T]
+    size = [1 / m.max() ** 2 for m in model.landmarks.T]  # n-grams of each landmark
+    right = []
+    for r in got.itertuples():
+        text = docs.text[r.doc_id]
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        if text is None or not re.search(r"[^\W\d_]", text):
+            assert r.lang_pred == "und" and r.score == 0
+            continue
+        grams = set(langid.gram_set(text.lower()).tolist())
+        own = {int(model.column[g]) for g in grams} - {-1}
+        kernel = np.array([len(own & m) / math.sqrt(len(grams) * n) for m, n in zip(marks, size)])
+        value = kernel @ model.weights + model.bias
+        assert r.lang_pred == model.languages[int(value.argmax())] and abs(r.score - np.clip((1 + value.max()) / 2, 0, 1)) < 1e-3
+        if r.held_out and docs.lang[r.doc_id]:
+            right.append(r.lang_pred == docs.lang[r.doc_id])
+    assert np.mean(right) > 0.95
