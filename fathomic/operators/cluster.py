@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vec
-from ..plans.graph import components
+from ..plans.graph import components, cut
 from ..plans.stats import check_finite, moments, sweep
 from ..sources.frame import to_numpy
 from .base import Estimator
@@ -111,7 +111,8 @@ class DBSCAN:
 
     def fit_predict(self, df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
         """``(id, label, core)``; label -1 is noise."""
-        edges = NearestNeighbors(radius=self.eps, metric=self.metric).fit(df, id_col, vec_col).radius_neighbors().select("query", "neighbor").persist()
+        edges = NearestNeighbors(radius=self.eps, metric=self.metric).fit(df, id_col, vec_col).radius_neighbors().select("query", "neighbor")
+        edges = cut(edges)  # read three times; it lives in the shared folder, not in executors
         ids = df.select(F.col(id_col).alias("id"))
         degree = edges.groupBy("query").agg(F.count(F.lit(1)).alias("n"))
         core = ids.join(degree, ids.id == degree["query"], "left").where(F.coalesce("n", F.lit(0)) + 1 >= self.min_samples).select("id")
@@ -231,8 +232,7 @@ def condense(merges: np.ndarray, n: int, least: int) -> list[tuple[int, int, flo
 class HDBSCAN:
     """Mutual-reachability tree, condensed hierarchy, excess-of-mass or leaf selection.
 
-    Core distances come from the distributed neighbour join; the tree runs on the
-    driver for at most ``most_rows`` rows."""
+    Core distances and the tree are computed on the driver, for at most ``most_rows`` rows."""
 
     min_cluster_size: int = 5
     min_samples: int | None = None

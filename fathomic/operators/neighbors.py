@@ -1,14 +1,12 @@
 """Exact neighbours as similarity joins over ``array<double>`` columns.
 
-The queries are spread by a repartition and the stored rows are broadcast only
-while their size is within ``broadcast_rows``; larger sets are cut into salted
-blocks, so a task holds one block of each side and keeps its k best per query
-before the final ranking.
+Both sides are cut into salted blocks, so a task holds one block of each side and
+keeps its k best per query before the final ranking.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -180,15 +178,3 @@ class KNeighborsRegressor(NearestNeighbors):
         near = _weighted(self.kneighbors(queries, id_col, vec_col), self.weights).join(self.targets, "neighbor")
         means = [(F.sum(F.col("w") * F.col(c)) / F.sum("w")).alias("prediction" if len(self.names) == 1 else f"prediction_{c}") for c in self.names]
         return near.groupBy("query").agg(*means)
-
-
-def iter_blocks(df: DataFrame, columns: list[str], rows: int) -> Iterator[pd.DataFrame]:
-    """A frame's rows in blocks of bounded size on the driver."""
-    held = []
-    for r in df.select(*columns).toLocalIterator(prefetchPartitions=True):
-        held.append(tuple(r))
-        if len(held) == rows:
-            yield pd.DataFrame(held, columns=columns)
-            held = []
-    if held:
-        yield pd.DataFrame(held, columns=columns)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import norm_ppf
-from ..plans.stats import check_finite, moments
+from ..plans.stats import exact_quantiles, moments
 from .base import Estimator, put
 
 
@@ -39,8 +39,8 @@ class StandardScaler(Affine):
 
     def fit(self, df: DataFrame, cols: Sequence[str]) -> StandardScaler:
         made = self._begin(cols)
-        made.n_ = check_finite(df, cols)
-        m = moments(df, cols)
+        m = moments(df, cols, finite=True)
+        made.n_ = m["n"]
         made.mean_, made.var_ = m["avg"], m["var"]
         # a column that only rounding makes vary counts as constant
         eps = np.finfo(float).eps
@@ -67,8 +67,7 @@ class MinMaxScaler(Affine):
         if self.low >= self.high:
             raise ValueError("low must be below high")
         made = self._begin(cols)
-        check_finite(df, cols)
-        m = moments(df, cols)
+        m = moments(df, cols, finite=True)
         made.min_, made.max_ = m["min"], m["max"]
         span = np.where(m["max"] > m["min"], m["max"] - m["min"], 1.0)
         made.scale_ = (self.high - self.low) / span
@@ -84,8 +83,7 @@ class MinMaxScaler(Affine):
 class MaxAbsScaler(Affine):
     def fit(self, df: DataFrame, cols: Sequence[str]) -> MaxAbsScaler:
         made = self._begin(cols)
-        check_finite(df, cols)
-        m = moments(df, cols)
+        m = moments(df, cols, finite=True)
         made.max_abs_ = np.maximum(np.abs(m["min"]), np.abs(m["max"]))
         made.scale_ = 1 / np.where(made.max_abs_ > 0, made.max_abs_, 1.0)
         made.shift_ = np.zeros(len(cols))
@@ -104,10 +102,7 @@ class RobustScaler(Affine):
         if not 0 <= self.low < self.high <= 100:
             raise ValueError("quantile range must ascend within 0 and 100")
         made = self._begin(cols)
-        check_finite(df, cols)
-        at = F.array(*[F.lit(q) for q in (0.5, self.low / 100, self.high / 100)])
-        row = df.agg(*[F.percentile(F.col(c).cast("double"), at).alias(f"q{k}") for k, c in enumerate(cols)]).first()
-        q = np.array(row, float).reshape(len(cols), 3)
+        q = exact_quantiles(df, cols, [0.5, self.low / 100, self.high / 100])
         made.center_ = q[:, 0]
         gap = q[:, 2] - q[:, 1]
         gap = np.where(gap > 0, gap, 1.0)

@@ -18,25 +18,74 @@ from pyspark.sql import functions as F
 MAX_EXPRESSIONS = 120
 
 
-def check_finite(df: DataFrame, cols: Sequence[str]) -> int:
-    """Number of rows; raises if a column holds null, NaN or an infinity."""
-    bad = [F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c).cast("double")) == float("inf"))).alias(c) for c in cols]
-    row = df.agg(F.count(F.lit(1)).alias("__n"), *bad).first()
-    if wrong := [c for c in cols if row[c]]:
+def _bad(c: str):
+    x = F.col(c).cast("double")
+    return F.count_if(F.col(c).isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+
+
+def _raise_if_bad(row, cols: Sequence[str]) -> int:
+    if wrong := [c for k, c in enumerate(cols) if row[f"bad{k}"]]:
         raise ValueError(f"input has null, NaN or infinite values in {wrong}")
-    if not row["__n"]:
+    if not row["n"]:
         raise ValueError("input has no rows")
-    return row["__n"]
+    return row["n"]
+
+
+def check_finite(df: DataFrame, cols: Sequence[str]) -> int:
+    """Number of rows; raises if a column holds null, NaN or an infinity."""
+    return _raise_if_bad(df.agg(F.count(F.lit(1)).alias("n"), *[_bad(c).alias(f"bad{k}") for k, c in enumerate(cols)]).first(), cols)
 
 
-def moments(df: DataFrame, cols: Sequence[str]) -> dict[str, np.ndarray]:
-    """Count, mean, population variance, min and max of each column in one pass."""
+def moments(df: DataFrame, cols: Sequence[str], finite: bool = False) -> dict[str, np.ndarray]:
+    """Count, mean, population variance, min and max of each column in one pass; with ``finite`` the same
+    pass checks the columns as ``check_finite`` does."""
     parts = [f(F.col(c).cast("double")).alias(f"{name}{k}") for k, c in enumerate(cols) for name, f in (("avg", F.avg), ("var", F.var_pop), ("min", F.min), ("max", F.max))]
-    row = df.agg(F.count(F.lit(1)).alias("n"), *parts).first()
+    checks = [_bad(c).alias(f"bad{k}") for k, c in enumerate(cols)] if finite else []
+    row = df.agg(F.count(F.lit(1)).alias("n"), *parts, *checks).first()
+    if finite:
+        _raise_if_bad(row, cols)
     out = {name: np.array([row[f"{name}{k}"] for k in range(len(cols))], float) for name in ("avg", "var", "min", "max")}
     return out | {"n": row["n"]}
 
 
+def exact_quantiles(df: DataFrame, cols: Sequence[str], shares: Sequence[float], buckets: int = 256) -> np.ndarray:
+    """Exact quantiles (linear between neighbours), columns x shares, of finite columns.
+
+    Each pass counts the rows of ``buckets`` equal ranges between the bounds known of each wanted rank and takes
+    the least and largest value of the range that holds it as new bounds, until they are one value: a few passes
+    of partial aggregates, whose results are at most ``buckets`` rows a bound; no task sees a column's values."""
+    m = moments(df, cols, finite=True)
+    place = [s * (m["n"] - 1) for s in shares]
+    ranks = sorted({int(f(p)) for p in place for f in (np.floor, np.ceil)})
+    known: dict[tuple[int, int], float] = {}
+    open_ = {(k, r): (m["min"][k], m["max"][k], 0) for k in range(len(cols)) for r in ranks}
+    while True:
+        known |= {at: lo for at, (lo, hi, _) in open_.items() if lo == hi}
+        open_ = {at: x for at, x in open_.items() if at not in known}
+        if not open_:
+            break
+        spans = sorted({(k, lo, hi) for (k, _), (lo, hi, _) in open_.items()})
+        parts = []
+        for g, (k, lo, hi) in enumerate(spans):
+            x, half = F.col(cols[k]).cast("double"), float(hi / 2 - lo / 2)  # halves: a span may exceed a double
+            cell = F.least(F.floor((x / 2 - float(lo / 2)) / half * buckets), F.lit(buckets - 1))
+            parts.append(F.when((x >= float(lo)) & (x <= float(hi)), F.struct(F.lit(g).alias("g"), cell.cast("int").alias("cell"), x.alias("x"))))
+        held = df.select(F.explode(F.array_compact(F.array(*parts))).alias("p")).select("p.*")
+        table: dict[int, list] = {}
+        for row in held.groupBy("g", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("g", "cell").collect():
+            table.setdefault(row.g, []).append(row)
+        index = {span: g for g, span in enumerate(spans)}
+        for (k, r), (lo, hi, before) in list(open_.items()):
+            for row in table[index[k, lo, hi]]:
+                if before + row.n > r:
+                    open_[k, r] = (row.lo, row.hi, before)
+                    break
+                before += row.n
+    low = np.array([[known[k, int(np.floor(p))] for p in place] for k in range(len(cols))])
+    high = np.array([[known[k, int(np.ceil(p))] for p in place] for k in range(len(cols))])
+    return low + (high - low) * (np.array(place) - np.floor(place))
+
+
 def sweep(df: DataFrame, cols: Sequence[str], f: Callable[[np.ndarray], np.ndarray], size: int) -> np.ndarray:
     """Sum over Arrow batches of ``f(X)`` (a vector of ``size``), X having the columns ``cols``."""
 

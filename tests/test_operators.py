@@ -271,3 +271,18 @@ def test_solvers():
     a = rng.normal(size=(30, 4))
     w, _ = solve.lbfgs(lambda v: (float(((a @ v - 1) ** 2).sum()), 2 * a.T @ (a @ v - 1)), np.zeros(4))
     assert np.allclose(w, np.linalg.lstsq(a, np.ones(30), rcond=None)[0], atol=1e-6)
+
+
+def test_exact_quantiles_of_odd_columns(spark):
+    from fathomic.plans.stats import exact_quantiles
+
+    rng = np.random.default_rng(5)
+    x = np.column_stack([rng.normal(size=1001), np.repeat([1.0, 2.0, 7.0], [900, 100, 1]), np.full(1001, 3.5), np.exp(rng.normal(size=1001) * 40), rng.choice([-1.7e308, 1.7e308, 0.0], 1001)])
+    cols = [f"c{k}" for k in range(5)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=cols))
+    shares = [0.0, 0.25, 0.5, 0.333, 0.9, 1.0]
+    got = exact_quantiles(df, cols[:4], shares)
+    assert np.allclose(got, np.quantile(x[:, :4], shares, axis=0).T, rtol=1e-12)
+    assert np.allclose(exact_quantiles(df, cols[4:], [0.0, 1.0]), [[-1.7e308, 1.7e308]])
+    with pytest.raises(ValueError):
+        exact_quantiles(df.withColumn("c0", F.lit(None).cast("double")), ["c0"], [0.5])
