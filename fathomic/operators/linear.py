@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import solve, vec
 from ..plans.stats import centered, check_finite, gram, sweep
 from .base import Estimator, put
+from .model_selection import numbered
 
 
 class Linear(Estimator):
@@ -414,6 +415,17 @@ class HuberRegressor(Linear):
         return df.withColumn(out, F.abs(F.col(y) - self.expression()) > self.scale_ * self.epsilon)
 
 
+def places_drawn(rng: np.random.RandomState, n: int, m: int) -> list[int]:
+    """``m`` different places below ``n``, all sets equally likely, without a list of ``n`` (Floyd's draw)."""
+    if m > n:
+        raise ValueError("fewer rows than a sample needs")
+    held: dict[int, None] = {}
+    for top in range(n - m, n):
+        at = int(rng.randint(0, top + 1, dtype=np.int64))
+        held[top if at in held else at] = None
+    return list(held)
+
+
 @dataclass
 class RANSACRegressor(Linear):
     """Consensus over subsets drawn on the driver; a whole batch of trials is scored in one pass."""
@@ -436,13 +448,12 @@ class RANSACRegressor(Linear):
             limit = df.agg(F.median(F.abs(F.col(y) - mid))).first()[0]
         error = (lambda e: np.abs(e)) if self.loss == "absolute_error" else (lambda e: e * e)
         # places are drawn, so rows are numbered once in id order
-        ranks = df.select(id_col).rdd.map(lambda r: r[0]).sortBy(lambda x: x).zipWithIndex().toDF([id_col, "__at"])
-        held = df.select(id_col, *cols, y).join(ranks, id_col).persist()
+        held = numbered(df.select(id_col, *cols, y), id_col).persist()
         rng = np.random.RandomState(self.random_state)
         best, tried, needed = (-1, -math.inf, None), 0, self.max_trials
         try:
             while tried < min(needed, self.max_trials):
-                draws = [rng.choice(n, m, replace=False) for _ in range(min(self.batch, self.max_trials - tried))]
+                draws = [places_drawn(rng, n, m) for _ in range(min(self.batch, self.max_trials - tried))]
                 wanted = sorted({int(i) for x in draws for i in x})
                 rows = {r["__at"]: [r[c] for c in (*cols, y)] for r in held.where(F.col("__at").isin(wanted)).collect()}
                 models = []

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.stats import range_of
+
 
 def _w(weight: str | None) -> Column:
     return F.lit(1.0) if weight is None else F.col(weight).cast("double")
@@ -109,14 +111,13 @@ def _cumulative(df: DataFrame, truth: Column, score: Column, weight: str | None)
     block, so no task holds all scores."""
     w = _w(weight)
     per = df.select(score.cast("double").alias("s"), F.when(truth, w).otherwise(0.0).alias("t"), F.when(truth, 0.0).otherwise(w).alias("f")).groupBy("s").agg(F.sum("t").alias("t"), F.sum("f").alias("f"))
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    per = per.repartitionByRange(n, F.desc("s")).withColumn("b", F.spark_partition_id())
+    per = per.withColumn("b", -range_of(per, "s"))
     inside = Window.partitionBy("b").orderBy(F.desc("s"))
     local = per.withColumns({"tp": F.sum("t").over(inside), "fp": F.sum("f").over(inside)})
     sums = per.groupBy("b").agg(F.sum("t").alias("bt"), F.sum("f").alias("bf"))
     ahead = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
-    base = sums.select("b", F.coalesce(F.sum("bt").over(ahead), F.lit(0.0)).alias("bt"), F.coalesce(F.sum("bf").over(ahead), F.lit(0.0)).alias("bf"))
-    return local.join(F.broadcast(base), "b").select("s", "t", "f", (F.col("tp") + F.col("bt")).alias("tp"), (F.col("fp") + F.col("bf")).alias("fp"))
+    base = sums.select(F.col("b").alias("of"), F.coalesce(F.sum("bt").over(ahead), F.lit(0.0)).alias("bt"), F.coalesce(F.sum("bf").over(ahead), F.lit(0.0)).alias("bf"))
+    return local.join(F.broadcast(base), F.col("b").eqNullSafe(F.col("of"))).select("s", "t", "f", (F.col("tp") + F.col("bt")).alias("tp"), (F.col("fp") + F.col("bf")).alias("fp"))
 
 
 def roc_curve(df: DataFrame, y: str, score: str, pos_label=1, weight: str | None = None) -> DataFrame:

@@ -17,20 +17,23 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.stats import range_of
+
 MOST_SHUFFLED = 5_000_000
 
 
 def numbered(df: DataFrame, id_col: str, name: str = "__at", within: str | None = None) -> DataFrame:
     """Row places from 0 in id order, of all rows or of the rows of each value of ``within`` (few
-    values): places inside range partitions plus the partitions' offsets."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    values): places inside ranges whose bounds are drawn once, plus the ranges' offsets."""
     keys = [] if within is None else [within]
-    held = df.repartitionByRange(n, id_col).withColumn("__part", F.spark_partition_id())
+    held = df.withColumn("__part", range_of(df, id_col))
     inside = held.withColumn("__in", F.row_number().over(Window.partitionBy("__part", *keys).orderBy(id_col)) - 1)
     sizes = held.groupBy("__part", *keys).agg(F.count(F.lit(1)).alias("__size"))
     ahead = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-    base = sizes.select("__part", *keys, F.coalesce(F.sum("__size").over(ahead), F.lit(0)).alias("__base"))
-    return inside.join(F.broadcast(base), ["__part", *keys]).withColumn(name, F.col("__in") + F.col("__base")).drop("__part", "__in", "__base")
+    base = sizes.select(F.col("__part").alias("__of"), *[F.col(k).alias("__key") for k in keys], F.coalesce(F.sum("__size").over(ahead), F.lit(0)).alias("__base"))
+    # null-safe, for null keys and because Spark would infer a filter of the bounds on the other side of a plain equality
+    same = [F.col(own).eqNullSafe(F.col(other)) for own, other in zip(["__part", *keys], ["__of", "__key"])]
+    return inside.join(F.broadcast(base), same).withColumn(name, F.col("__in") + F.col("__base")).drop("__part", "__in", "__of", "__key", "__base")
 
 
 class Splitter:
@@ -544,6 +547,8 @@ def permutation_test_score(estimator, df, cols, y, id_col, score, cv=5, n_permut
     own = float(cross_val_score(estimator, df, cols, y, id_col, score, cv=cv).mean())
     held, out = numbered(df, id_col).persist(), []
     n, rng = df.count(), np.random.RandomState(random_state)
+    if n > MOST_SHUFFLED:
+        raise ValueError(f"an exact shuffle is limited to {MOST_SHUFFLED} rows")
     for _ in range(n_permutations):
         moved = df.sparkSession.createDataFrame(pd.DataFrame({"__at": rng.permutation(n), "__to": np.arange(n)}))
         labels = held.select("__at", y).join(moved, "__at").select(F.col("__to").alias("__at"), y)

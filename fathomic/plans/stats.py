@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Cross products up to this many become aggregate expressions; more go through Arrow.
@@ -48,6 +48,31 @@ def moments(df: DataFrame, cols: Sequence[str], finite: bool = False) -> dict[st
     return out | {"n": row["n"]}
 
 
+def range_of(df: DataFrame, column: str, most: int = 4096) -> Column:
+    """Number of the range, rising with ``column``, that a row's value lies in (null: 0; equal values share one).
+
+    The bounds are drawn once, from about 20 sampled values a range, and become literals: unlike
+    ``repartitionByRange``, whose every exchange samples bounds of its own, all uses of the column agree
+    on every row, also where a lost executor's tasks run again. About a million rows a range, at least
+    the session's shuffle partitions, at most ``most``; the bounds weigh only on balance, not on results."""
+    rows = df.count()
+    ranges = min(most, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // 1_000_000 + 1))
+    values = df.select(F.col(column).alias("v")).where("v is not null")
+    if rows > 20 * ranges:
+        values = values.sample(20.0 * ranges / rows, seed=0)
+    drawn = values.agg(F.sort_array(F.collect_list("v"))).first()[0]
+    bounds = list(dict.fromkeys(drawn[len(drawn) * k // ranges] for k in range(1, ranges))) if drawn else []
+    if not bounds:
+        return F.lit(0)
+    kind, width = df.schema[column].dataType, int(np.ceil(np.sqrt(len(bounds))))
+    rest = [F.array(*[F.lit(b).cast(kind) for b in bounds[k : k + width]]) for k in range(0, len(bounds), width)]
+    firsts = F.array(*[F.lit(b).cast(kind) for b in bounds[::width]])
+    passed = lambda held: F.size(F.filter(held, lambda b: b <= F.col(column)))
+    # two steps of about the square root of the ranges each
+    step = passed(firsts)
+    return F.when(step > 0, (step - 1) * width + passed(F.get(F.array(*rest), step - 1))).otherwise(0)
+
+
 def exact_quantiles(df: DataFrame, cols: Sequence[str], shares: Sequence[float], buckets: int = 256) -> np.ndarray:
     """Exact quantiles (linear between neighbours), columns x shares, of finite columns.
 
