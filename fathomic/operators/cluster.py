@@ -14,12 +14,18 @@ from ..functions import vec
 from ..plans.graph import components, cut
 from ..plans.stats import check_finite, moments, sweep
 from ..sources.frame import to_numpy
-from .base import Estimator
+from .base import Estimator, by_rows
 from .neighbors import NearestNeighbors, pair_distances
 
 
 @dataclass
 class KMeans(Estimator):
+    """Lloyd's rounds, one sweep each.  ``elkan`` names the same rounds: its bounds save distances on one host and
+    change no result, but would have to travel with every row here.
+
+    Seeds come from all rows: five rounds draw about twice as many rows as clusters in proportion to their squared
+    distance from the seeds so far, and the drawn rows, weighted by the rows nearest to them, are seeded by k-means++."""
+
     n_clusters: int = 8
     init: str | np.ndarray = "k-means++"
     n_init: int | str = "auto"
@@ -28,20 +34,47 @@ class KMeans(Estimator):
     random_state: int = 0
     algorithm: str = "lloyd"
 
-    def _start(self, df: DataFrame, cols: Sequence[str], rng: np.random.Generator) -> np.ndarray:
+    def _start(self, df: DataFrame, cols: Sequence[str], rng: np.random.Generator, n: int) -> np.ndarray:
         if not isinstance(self.init, str):
             return np.asarray(self.init, float).copy()
-        # a seeded hash sample of bounded size stands for the rows while choosing seeds
-        held = df.select(*cols).orderBy(F.xxhash64(*cols, F.lit(int(rng.integers(1 << 30)))), *cols).limit(max(20 * self.n_clusters, 2000))
-        x = held.toPandas().to_numpy(float)
+        if self.init not in ("k-means++", "random"):
+            raise ValueError(f"unknown init {self.init!r}")
+        k, d = self.n_clusters, len(cols)
+
+        def drawn(source: DataFrame, chance: Column) -> np.ndarray:
+            rows = source.where(F.rand(int(rng.integers(1 << 30))) < chance).select(*cols).toArrow()
+            x = np.column_stack([c.to_numpy().astype(float) for c in rows.columns]) if rows.num_rows else np.empty((0, d))
+            return x[np.lexsort(x.T[::-1])]
+
         if self.init == "random":
-            return x[rng.choice(len(x), self.n_clusters, replace=False)]
-        centers = [x[rng.integers(len(x))]]
+            x = np.empty((0, d))
+            while len(x) < k:
+                x = drawn(df, F.lit(min(1.0, (2 * k + 20) / n)))
+            return x[rng.choice(len(x), k, replace=False)]
+        seeds = np.empty((0, d))
+        while not len(seeds):
+            seeds = drawn(df, F.lit(min(1.0, 20 / n)))[:1]
+        for _ in range(5):
+            far = sweep(df, cols, lambda x: np.array([pair_distances(x, seeds, "sqeuclidean", 2).min(1).sum()]), 1)[0]
+            if far <= 0:
+                break
+            held = by_rows(df, cols, lambda x: pair_distances(x, seeds, "sqeuclidean", 2).min(1), "__far")
+            seeds = np.unique(np.concatenate([seeds, drawn(held, F.col("__far") * float(2 * k / far))]), axis=0)
+
+        def nearest(x: np.ndarray) -> np.ndarray:
+            return np.bincount(pair_distances(x, seeds, "sqeuclidean", 2).argmin(1), minlength=len(seeds)).astype(float)
+
+        return self._weighted_seeds(seeds, sweep(df, cols, nearest, len(seeds)), rng)
+
+    def _weighted_seeds(self, x: np.ndarray, weight: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """k-means++ with a few tries a center over weighted points; with fewer points than clusters some repeat."""
+        centers = [x[rng.choice(len(x), p=weight / weight.sum())]]
         near = ((x - centers[0]) ** 2).sum(1)
         for _ in range(1, self.n_clusters):
-            tries = rng.choice(len(x), 2 + int(math.log(self.n_clusters)), p=near / near.sum()) if near.sum() else rng.integers(len(x), size=1)
+            mass = near * weight
+            tries = rng.choice(len(x), 2 + int(math.log(self.n_clusters)), p=mass / mass.sum()) if mass.sum() > 0 else rng.integers(len(x), size=1)
             options = [np.minimum(near, ((x - x[t]) ** 2).sum(1)) for t in tries]
-            best = int(np.argmin([o.sum() for o in options]))
+            best = int(np.argmin([(o * weight).sum() for o in options]))
             centers.append(x[tries[best]])
             near = options[best]
         return np.array(centers)
@@ -51,6 +84,8 @@ class KMeans(Estimator):
         n = check_finite(df, cols)
         if self.n_clusters > n:
             raise ValueError("fewer rows than clusters")
+        if self.algorithm not in ("lloyd", "elkan"):
+            raise ValueError(f"unknown algorithm {self.algorithm!r}")
         d, k = len(cols), self.n_clusters
         stop = self.tol * moments(df, cols)["var"].mean()
         held = df.select(*cols).persist()
@@ -66,7 +101,7 @@ class KMeans(Estimator):
 
         try:
             for run in range(runs):
-                c = self._start(held, cols, np.random.default_rng(self.random_state + run))
+                c = self._start(held, cols, np.random.default_rng(self.random_state + run), n)
                 for it in range(self.max_iter):
                     s = sweep(held, cols, lambda x: step(x, c), k * (d + 2)).reshape(k, d + 2)
                     new = np.where(s[:, d : d + 1] > 0, s[:, :d] / np.maximum(s[:, d : d + 1], 1), c)

@@ -7,13 +7,14 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import solve, vec
 from ..plans.stats import centered, check_finite, gram, sweep
-from .base import Estimator, put
-from .model_selection import numbered
+from .base import Estimator, by_rows, put
+from .model_selection import check_cv, numbered
 
 
 class Linear(Estimator):
@@ -79,44 +80,122 @@ class Ridge(Linear):
         return made
 
     def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:
-        if self.coef_.ndim == 1:
-            return super().predict(df, out)
-        return df.withColumn(out, F.array(*[vec.linear(self.cols, w, b) for w, b in zip(self.coef_, self.intercept_)]))
+        return _predict_all(self, df, out)
 
 
 @dataclass
 class RidgeCV(Linear):
-    """Leave-one-out choice of alpha in closed form: one Gram pass, one residual pass for all alphas."""
+    """Choice of alpha, for one target or several.
+
+    Without ``cv`` by leaving out one row, in closed form: one Gram pass and one residual pass for all alphas.
+    With ``cv`` (a number of folds or a splitter; needs ``id_col``) by one Gram pass and one scoring pass a fold,
+    again for all alphas together.  ``scoring(df, y, prediction) -> float`` judges predictions instead of the
+    squared error (leaving one out) or R2 (folds), larger being better; it runs once an alpha and target.
+    ``alpha_per_target`` (only without ``cv``) chooses for each target alone."""
 
     alphas: Sequence[float] = (0.1, 1.0, 10.0)
     fit_intercept: bool = True
-
-    def fit(self, df: DataFrame, cols: Sequence[str], y: str, weight: str | None = None) -> RidgeCV:
+    scoring: Callable | None = None
+    cv: object = None
+    alpha_per_target: bool = False
+    store_cv_results: bool = False
+
+    def fit(self, df: DataFrame, cols: Sequence[str], y: str | Sequence[str], weight: str | None = None, id_col: str | None = None) -> RidgeCV:
+        if np.min(self.alphas) <= 0:
+            raise ValueError("alphas must be positive")
+        if self.cv is not None and (self.alpha_per_target or self.store_cv_results):
+            raise ValueError("alpha_per_target and store_cv_results need cv=None")
+        if self.cv is not None and id_col is None:
+            raise ValueError("folds need id_col")
         made = self._begin(cols)
-        n, mx, my, g, r, _ = _moments(df, cols, [y], weight, self.fit_intercept)
-        value, vector = np.linalg.eigh(g)
+        targets = [y] if isinstance(y, str) else list(y)
         alphas = np.asarray(self.alphas, float)
-        inverse = 1 / (np.maximum(value, 0)[None, :] + alphas[:, None])
-        coefs = (inverse * (vector.T @ r[:, 0])) @ vector.T
-        shift = 1 / n if self.fit_intercept else 0.0
+        n, mx, my, g, r, _ = _moments(df, cols, targets, weight, self.fit_intercept)
+        inverse, vector, coefs = _ridge_path(g, r, alphas)
+        made.loo_ = {"targets": targets, "weight": weight, "mx": mx, "my": my, "vector": vector, "inverse": inverse, "coefs": coefs, "shift": 1 / n if self.fit_intercept else 0.0}
+        scores = made._left_out(df, n) if self.cv is None else made._folds(df, targets, weight, id_col)
+        if self.cv is None and self.scoring is None:
+            made.cv_errors_ = -(scores[:, 0] if isinstance(y, str) else scores)
+        own = self.alpha_per_target and len(targets) > 1
+        best = scores.argmax(0) if own else np.full(len(targets), int(scores.mean(1).argmax()))
+        w = coefs[best, :, np.arange(len(targets))]
+        c = my - w @ mx
+        made.alpha_ = alphas[best] if own else float(alphas[best[0]])
+        made.best_score_ = scores[best, np.arange(len(targets))] if own else float(scores[best[0]].mean())
+        made.coef_, made.intercept_ = (w[0], float(c[0])) if isinstance(y, str) else (w, c)
+        if not self.store_cv_results:
+            del made.loo_
+        return made
+
+    def _rest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Left-out residuals (rows x alphas x targets) of rows of features, targets and weight, and the weights."""
+        h = self.loo_
+        d, k = len(h["mx"]), len(h["my"])
+        w = x[:, d + k] if h["weight"] else np.ones(len(x))
+        z, t = x[:, :d] - h["mx"], x[:, d : d + k] - h["my"]
+        # weighted rows: leverage scales with the weight
+        leverage = w[:, None] * ((z @ h["vector"]) ** 2 @ h["inverse"].T + h["shift"])
+        return (t[:, None, :] - np.einsum("nd,adk->nak", z, h["coefs"])) / (1 - leverage)[:, :, None], w
+
+    def _inputs(self) -> list[str]:
+        return [*self.cols, *self.loo_["targets"], *([self.loo_["weight"]] if self.loo_["weight"] else [])]
+
+    def _left_out(self, df: DataFrame, n: float) -> np.ndarray:
+        shape = (len(self.alphas), len(self.loo_["targets"]))
 
         def part(x: np.ndarray) -> np.ndarray:
-            w = x[:, -1] if weight else np.ones(len(x))
-            z, t = x[:, : len(mx)] - mx, x[:, len(mx)] - my[0]
-            turned = (z @ vector) ** 2
-            out = np.empty(len(alphas))
-            for k in range(len(alphas)):
-                # weighted rows: leverage scales with the weight
-                h = w * (turned @ inverse[k] + shift)
-                out[k] = (w * ((t - z @ coefs[k]) / (1 - h)) ** 2).sum()
-            return out
-
-        made.cv_errors_ = sweep(df, [*cols, y, *([weight] if weight else [])], part, len(alphas)) / n
-        best = int(made.cv_errors_.argmin())
-        made.alpha_, made.best_score_ = float(alphas[best]), -float(made.cv_errors_[best])
-        made.coef_ = coefs[best]
-        made.intercept_ = float(my[0] - mx @ made.coef_)
-        return made
+            e, w = self._rest(x)
+            return np.einsum("n,nak->ak", w, e * e).ravel()
+
+        if self.scoring is None:
+            return -sweep(df, self._inputs(), part, shape[0] * shape[1]).reshape(shape) / n
+        out = np.empty(shape)
+        names = [f"__e{j}" for j in range(out.size)]
+        held = by_rows(df, self._inputs(), lambda x: self._rest(x)[0].reshape(len(x), -1), names)
+        for j, name in enumerate(names):
+            target = self.loo_["targets"][j % shape[1]]
+            out.flat[j] = self.scoring(held.withColumn("__p", F.col(target) - F.col(name)), target, "__p")
+        return out
+
+    def _folds(self, df: DataFrame, targets: list[str], weight: str | None, id_col: str) -> np.ndarray:
+        alphas, out = np.asarray(self.alphas, float), []
+        for train, test in check_cv(self.cv).split(df, id_col, targets[0]):
+            _, mx, my, g, r, _ = _moments(train, self.cols, targets, weight, self.fit_intercept)
+            coefs = _ridge_path(g, r, alphas)[2]
+            predicted = [[vec.linear(self.cols, w, float(m - w @ mx)) for w, m in zip(c.T, my)] for c in coefs]
+            if self.scoring is None:
+                errors = [F.sum((F.col(t) - p) * (F.col(t) - p)) for row in predicted for t, p in zip(targets, row)]
+                row = test.agg(*errors, *[F.var_pop(t) * F.count(t) for t in targets]).first()
+                out.append(1 - np.array(row[: -len(targets)], float).reshape(len(alphas), -1) / np.array(row[-len(targets) :], float))
+            else:
+                out.append([[self.scoring(test.withColumn("__p", p), t, "__p") for t, p in zip(targets, row)] for row in predicted])
+        return np.mean(out, 0)
+
+    def cv_results(self, df: DataFrame, out: str = "cv_results") -> DataFrame:
+        """The training rows with their squared left-out errors, one value an alpha (by target for several)."""
+        if not hasattr(self, "loo_"):
+            raise ValueError("store_cv_results was not set")
+        k, a = len(self.loo_["targets"]), len(self.alphas)
+        names = [f"__e{j}" for j in range(a * k)]
+        held = by_rows(df, self._inputs(), lambda x: self._rest(x)[0].reshape(len(x), -1) ** 2, names)
+        lists = [F.array(*[F.col(names[i * k + j]) for i in range(a)]) for j in range(k)]
+        return held.withColumn(out, lists[0] if k == 1 else F.array(*lists)).drop(*names)
+
+    def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:
+        return _predict_all(self, df, out)
+
+
+def _ridge_path(g: np.ndarray, r: np.ndarray, alphas: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inverse penalised eigenvalues (alphas x features), eigenvectors, and weights (alphas x features x targets)."""
+    value, vector = np.linalg.eigh(g)
+    inverse = 1 / (np.maximum(value, 0)[None, :] + alphas[:, None])
+    return inverse, vector, np.einsum("fe,ae,ek->afk", vector, inverse, vector.T @ r)
+
+
+def _predict_all(model, df: DataFrame, out: str) -> DataFrame:
+    if model.coef_.ndim == 1:
+        return df.withColumn(out, model.expression())
+    return df.withColumn(out, F.array(*[vec.linear(model.cols, w, b) for w, b in zip(model.coef_, model.intercept_)]))
 
 
 class LinearClassifier(Estimator):
@@ -163,6 +242,8 @@ class RidgeClassifier(LinearClassifier):
     alpha: float = 1.0
     fit_intercept: bool = True
     class_weight: dict | str | None = None
+    positive: bool = False
+    solver: str = "auto"
 
     def fit(self, df: DataFrame, cols: Sequence[str], label: str, weight: str | None = None) -> RidgeClassifier:
         made = self._begin(cols)
@@ -176,7 +257,7 @@ class RidgeClassifier(LinearClassifier):
             own = F.coalesce(*[F.when(F.col(label) == F.lit(c), float(v)) for c, v in table.items()], F.lit(1.0))
             held = held.withColumn("__cw", own * (F.lit(1.0) if weight is None else F.col(weight)))
             weight = "__cw"
-        fitted = Ridge(self.alpha, self.fit_intercept).fit(held, cols, ys, weight)
+        fitted = Ridge(self.alpha, self.fit_intercept, self.positive, self.solver).fit(held, cols, ys, weight)
         made.coef_, made.intercept_ = fitted.coef_, fitted.intercept_
         return made
 
@@ -376,15 +457,21 @@ class HuberRegressor(Linear):
     fit_intercept: bool = True
     max_iter: int = 300
     tol: float = 1e-5
+    warm_start: bool = False
 
     def fit(self, df: DataFrame, cols: Sequence[str], y: str, weight: str | None = None) -> HuberRegressor:
+        """With ``warm_start`` a fitted regressor starts from its own solution."""
         if self.epsilon < 1:
             raise ValueError("epsilon must be at least 1")
         made = self._begin(cols)
         check_finite(df, [*cols, y])
         d, eps = len(cols), self.epsilon
-        start = LinearRegression(self.fit_intercept).fit(df, cols, y, weight)
-        spread = sweep(df, [*cols, y], lambda x: np.array([((x[:, d] - x[:, :d] @ start.coef_ - start.intercept_) ** 2).sum(), len(x)]), 2)
+        if self.warm_start and hasattr(self, "scale_") and self.cols == list(cols):
+            first = np.concatenate([self.coef_, [self.intercept_, math.log(self.scale_)]])
+        else:
+            start = LinearRegression(self.fit_intercept).fit(df, cols, y, weight)
+            spread = sweep(df, [*cols, y], lambda x: np.array([((x[:, d] - x[:, :d] @ start.coef_ - start.intercept_) ** 2).sum(), len(x)]), 2)
+            first = np.concatenate([start.coef_, [start.intercept_, 0.5 * math.log(max(spread[0] / spread[1], 1e-12))]])
 
         def part(x: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray]:
             # the scale is positive through its logarithm
@@ -406,7 +493,6 @@ class HuberRegressor(Linear):
             g[:d] = 2 * self.alpha * w[:d]
             return self.alpha * float(w[:d] @ w[:d]), g
 
-        first = np.concatenate([start.coef_, [start.intercept_, 0.5 * math.log(max(spread[0] / spread[1], 1e-12))]])
         w, made.n_iter_ = _minimise(df, [*cols, y, *([weight] if weight else [])], part, penalty, first, self.max_iter, self.tol)
         made.coef_, made.intercept_, made.scale_ = w[:d], float(w[d] * self.fit_intercept), math.exp(w[-1])
         return made
@@ -428,64 +514,146 @@ def places_drawn(rng: np.random.RandomState, n: int, m: int) -> list[int]:
 
 @dataclass
 class RANSACRegressor(Linear):
-    """Consensus over subsets drawn on the driver; a whole batch of trials is scored in one pass."""
+    """Consensus over subsets drawn on the driver; one aggregate judges a whole batch of trials.
 
-    min_samples: int | None = None
+    ``estimator`` is any regressor with ``fit(df, cols, y)`` and ``predict(df, out)`` (least squares if None; others
+    need ``min_samples``, a count or a share of the rows); ``loss`` a name or a function of the target's and the
+    prediction's column.  ``is_data_valid(x, y)`` and ``is_model_valid(model, x, y)`` see the drawn rows; refused
+    trials count as skips, as do those with fewer inliers than the best, and more than ``max_skips`` end the search.
+    Of equal inlier counts the larger R2 over the inliers wins.  ``stop_n_inliers`` or ``stop_score`` end it early."""
+
+    estimator: object = None
+    min_samples: int | float | None = None
     residual_threshold: float | None = None
+    is_data_valid: Callable | None = None
+    is_model_valid: Callable | None = None
     max_trials: int = 100
+    max_skips: float = math.inf
+    stop_n_inliers: float = math.inf
+    stop_score: float = math.inf
     stop_probability: float = 0.99
-    loss: str = "absolute_error"
+    loss: str | Callable = "absolute_error"
     random_state: int = 0
-    batch: int = 20
+    batch: int = 10
+
+    def _error(self, y: str, prediction: Column) -> Column:
+        if callable(self.loss):
+            return self.loss(F.col(y), prediction)
+        if self.loss not in ("absolute_error", "squared_error"):
+            raise ValueError(f"unknown loss {self.loss!r}")
+        gap = F.col(y) - prediction
+        return F.abs(gap) if self.loss == "absolute_error" else gap * gap
+
+    def _sample_size(self, n: int, d: int) -> int:
+        m = self.min_samples
+        if m is None:
+            if self.estimator is not None:
+                raise ValueError("min_samples is needed with an estimator")
+            return d + 1
+        m = math.ceil(m * n) if isinstance(m, float) and 0 < m < 1 else int(m)
+        if not 1 <= m <= n:
+            raise ValueError("min_samples is outside the number of rows")
+        return m
+
+    def _trial(self, df: DataFrame, cols: Sequence[str], y: str, x: np.ndarray, t: np.ndarray):
+        if self.estimator is not None:
+            rows = pd.DataFrame(x, columns=list(cols)).assign(**{y: t})
+            return self.estimator.fit(df.sparkSession.createDataFrame(rows), cols, y)
+        made = LinearRegression()._begin(cols)
+        w = np.linalg.lstsq(np.concatenate([x, np.ones((len(x), 1))], 1), t, rcond=None)[0]
+        made.coef_, made.intercept_ = w[:-1], float(w[-1])
+        return made
+
+    def _judge(self, df: DataFrame, y: str, center: float, models: list, limit: float) -> list[tuple[int, float]]:
+        """Number of inliers and R2 over them of each model, in one aggregate."""
+        names = [f"__p{k}" for k in range(len(models))]
+        for name, model in zip(names, models):
+            df = model.predict(df, name)
+        t, parts = F.col(y) - center, []
+        for name in names:
+            within = self._error(y, F.col(name)) <= limit
+            gap = F.col(y) - F.col(name)
+            parts += [F.count_if(within), *[F.sum(F.when(within, v)) for v in (gap * gap, t, t * t)]]
+        row = df.agg(*[p.alias(f"a{k}") for k, p in enumerate(parts)]).first()
+        out = []
+        for k in range(len(models)):
+            n, rest, total, square = row[4 * k : 4 * k + 4]
+            spread = square - total * total / n if n else 0.0
+            out.append((n, -math.inf if n < 2 else 1 - rest / spread if spread > 0 else float(rest <= 1e-24)))
+        return out
+
+    def _trials_needed(self, inliers: int, n: int, m: int) -> float:
+        miss, share = 1 - self.stop_probability, (inliers / n) ** m
+        if share >= 1 or miss >= 1:
+            return 0
+        return math.inf if share <= 0 or miss <= 0 else math.ceil(math.log(miss) / math.log1p(-share))
 
     def fit(self, df: DataFrame, cols: Sequence[str], y: str, id_col: str) -> RANSACRegressor:
         made = self._begin(cols)
         n = check_finite(df, [*cols, y])
-        d, m = len(cols), self.min_samples or len(cols) + 1
-        limit = self.residual_threshold
+        m, limit = self._sample_size(n, len(cols)), self.residual_threshold
+        center = df.agg(F.avg(y)).first()[0]
         if limit is None:
             mid = df.agg(F.median(y)).first()[0]
             limit = df.agg(F.median(F.abs(F.col(y) - mid))).first()[0]
-        error = (lambda e: np.abs(e)) if self.loss == "absolute_error" else (lambda e: e * e)
         # places are drawn, so rows are numbered once in id order
         held = numbered(df.select(id_col, *cols, y), id_col).persist()
         rng = np.random.RandomState(self.random_state)
-        best, tried, needed = (-1, -math.inf, None), 0, self.max_trials
+        best, tried, needed, ended = (1, -math.inf, None), 0, self.max_trials, False
+        skips = {"no_inliers": 0, "invalid_data": 0, "invalid_model": 0}
         try:
-            while tried < min(needed, self.max_trials):
+            while tried < needed and not ended:
                 draws = [places_drawn(rng, n, m) for _ in range(min(self.batch, self.max_trials - tried))]
                 wanted = sorted({int(i) for x in draws for i in x})
-                rows = {r["__at"]: [r[c] for c in (*cols, y)] for r in held.where(F.col("__at").isin(wanted)).collect()}
-                models = []
-                for x in draws:
-                    a = np.array([rows[int(i)] for i in x], float)
-                    z = np.concatenate([a[:, :d], np.ones((m, 1))], 1)
-                    models.append(np.linalg.lstsq(z, a[:, d], rcond=None)[0])
-                w = np.array(models)
-                got = sweep(held, [*cols, y], lambda x: np.stack([(e := error(x[:, d][:, None] - x[:, :d] @ w[:, :d].T - w[:, d])) <= limit, np.where(e <= limit, e, 0)]).sum(1), 2 * len(w)).reshape(2, -1)
-                for k in range(len(w)):
-                    tried += 1
-                    found = (got[0, k], -got[1, k] / max(got[0, k], 1))
-                    if found > best[:2]:
-                        best = (*found, w[k])
-                        share = (got[0, k] / n) ** m
-                        needed = 0 if share >= 1 else math.inf if share <= 0 else math.ceil(math.log(max(1 - self.stop_probability, 1e-300)) / math.log(1 - share))
-                    if tried >= needed:
+                rows = {r["__at"]: [float(r[c]) for c in (*cols, y)] for r in held.where(F.col("__at").isin(wanted)).collect()}
+                trials = []
+                for places in draws:
+                    a = np.array([rows[int(i)] for i in places], float)
+                    x, t = a[:, :-1], a[:, -1]
+                    if self.is_data_valid is not None and not self.is_data_valid(x, t):
+                        trials.append("invalid_data")
+                        continue
+                    model = self._trial(held, cols, y, x, t)
+                    refused = self.is_model_valid is not None and not self.is_model_valid(model, x, t)
+                    trials.append("invalid_model" if refused else model)
+                models = [k for k in trials if not isinstance(k, str)]
+                judged = iter(self._judge(held, y, center, models, limit) if models else [])
+                for trial in trials:
+                    if tried >= needed or sum(skips.values()) > self.max_skips:
+                        ended = True
                         break
-            if best[2] is None or best[0] < 1:
+                    tried += 1
+                    if isinstance(trial, str):
+                        skips[trial] += 1
+                        continue
+                    found = next(judged)
+                    if found[0] < best[0]:
+                        skips["no_inliers"] += 1
+                    elif found[0] > best[0] or best[2] is None or found[1] >= best[1]:
+                        best = (*found, trial)
+                        needed = min(needed, self._trials_needed(found[0], n, m))
+                        if found[0] >= self.stop_n_inliers or found[1] >= self.stop_score:
+                            ended = True
+                            break
+            if best[2] is None:
                 raise ValueError("no consensus set was found")
-            w = best[2]
-            inlier = F.abs(F.col(y) - vec.linear(cols, w[:d], w[d])) if self.loss == "absolute_error" else F.pow(F.col(y) - vec.linear(cols, w[:d], w[d]), F.lit(2.0))
-            final = LinearRegression().fit(held.where(inlier <= limit), cols, y)
+            made.consensus_, made.threshold_ = best[2], float(limit)
+            final = (self.estimator or LinearRegression()).fit(made.inliers(held, y, "__in").where("__in").drop("__in"), cols, y)
         finally:
             held.unpersist()
-        made.coef_, made.intercept_, made.n_trials_, made.n_inliers_ = final.coef_, final.intercept_, tried, int(best[0])
-        made.consensus_, made.threshold_ = w, float(limit)
+        made.estimator_, made.n_trials_, made.n_inliers_, made.skips_ = final, tried, int(best[0]), skips
+        for name in ("coef_", "intercept_"):
+            if hasattr(final, name):
+                setattr(made, name, getattr(final, name))
         return made
 
+    def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:
+        self._fitted()
+        return self.estimator_.predict(df, out)
+
     def inliers(self, df: DataFrame, y: str, out: str = "inlier") -> DataFrame:
-        e = F.col(y) - vec.linear(self.cols, self.consensus_[:-1], self.consensus_[-1])
-        return df.withColumn(out, (F.abs(e) if self.loss == "absolute_error" else e * e) <= self.threshold_)
+        held = self.consensus_.predict(df, "__p")
+        return held.withColumn(out, self._error(y, F.col("__p")) <= self.threshold_).drop("__p")
 
 
 @dataclass

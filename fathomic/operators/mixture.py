@@ -52,6 +52,7 @@ class GaussianMixture(Estimator):
     init_params: str = "kmeans"
     means_init: np.ndarray | None = None
     random_state: int = 0
+    warm_start: bool = False
 
     def _begin_state(self, held: DataFrame, cols: Sequence[str]) -> np.ndarray:
         if self.means_init is not None:
@@ -79,11 +80,13 @@ class GaussianMixture(Estimator):
         n = check_finite(df, cols)
         held = df.select(*cols).persist()
         try:
-            centers = made._begin_state(held, cols)
+            # a warm start goes on from the responsibilities of this model, if it is a fitted one
+            again = self.warm_start and hasattr(self, "means_") and self.cols == list(cols)
+            centers = np.asarray(self.means_) if again else made._begin_state(held, cols)
             shift = centers.mean(0)
             hard = lambda x: np.where(np.arange(self.n_components) == ((x[:, None] - centers) ** 2).sum(2).argmin(1)[:, None], 0.0, -1e300)
             bound, made.converged_ = -math.inf, False
-            stats = made._sweep(held, cols, hard, shift)
+            stats = made._sweep(held, cols, self._log_joint() if again else hard, shift)
             for it in range(self.max_iter):
                 made._maximise(stats, shift, n)
                 stats = made._sweep(held, cols, made._log_joint(), shift)

@@ -9,7 +9,10 @@ from __future__ import annotations
 
 import itertools
 import math
+import time
+import warnings
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.stats import range_of
+from . import metrics
 
 MOST_SHUFFLED = 5_000_000
 
@@ -397,20 +401,130 @@ def parameter_sampler(space: dict, n_iter: int, random_state: int | None = None)
     return [{k: v.rvs(random_state=rng) if hasattr(v, "rvs") else v[rng.randint(len(v))] for k, v in sorted(space.items())} for _ in range(n_iter)]
 
 
-def cross_validate(estimator, df: DataFrame, cols: Sequence[str], y: str, id_col: str, score: Callable, cv=5, groups: str | None = None, train_score: bool = False) -> dict:
-    """``score(model, df, y) -> float`` per fold."""
-    out: dict[str, list] = {"test_score": [], "estimator": []} | ({"train_score": []} if train_score else {})
-    for train, test in check_cv(cv).split(df, id_col, y, groups):
-        model = estimator.fit(train, cols, y)
-        out["estimator"].append(model)
-        out["test_score"].append(score(model, test, y))
-        if train_score:
-            out["train_score"].append(score(model, train, y))
-    return {k: np.array(v) if k != "estimator" else v for k, v in out.items()}
+def _labels(metric: Callable, sign: float = 1.0, **options) -> Callable:
+    """A scorer of predicted values: ``metric(df, y, "prediction")`` as a number, one frame of one value or a float."""
+
+    def score(model, df: DataFrame, y: str) -> float:
+        got = metric(model.predict(df, "__p"), y, "__p", **options)
+        return sign * float(got.first()[0] if isinstance(got, DataFrame) else got)
+
+    return score
+
+
+def _ranks(metric: Callable, **options) -> Callable:
+    """A scorer of decision values, or of the second class's probability where a model has no decisions."""
+
+    def score(model, df: DataFrame, y: str) -> float:
+        if hasattr(model, "decision_function"):
+            held = model.decision_function(df, "__p")
+        else:
+            held = model.predict_proba(df, "__p")
+            held = held.withColumn("__p", F.col("__p1") if "__p1" in held.columns else F.col("__p")[1])
+        got = metric(held, y, "__p", **options)
+        return float(got.first()[0] if isinstance(got, DataFrame) else got)
+
+    return score
+
+
+def _log_loss(model, df: DataFrame, y: str) -> float:
+    held = model.predict_proba(df, "__p")
+    classes = model.classes_
+    parts = {c: F.col(f"__p{k}") if f"__p{k}" in held.columns else F.col("__p")[k] for k, c in enumerate(classes)}
+    names = {c: f"__l{k}" for k, c in enumerate(classes)}
+    return -float(metrics.log_loss(held.withColumns({names[c]: v for c, v in parts.items()}), y, names).first()[0])
+
+
+#: Scorers by name, larger being better.
+SCORERS: dict[str, Callable] = {
+    "r2": _labels(metrics.r2_score),
+    "neg_mean_squared_error": _labels(metrics.mean_squared_error, -1.0),
+    "neg_root_mean_squared_error": lambda model, df, y: -math.sqrt(-SCORERS["neg_mean_squared_error"](model, df, y)),
+    "neg_mean_absolute_error": _labels(metrics.mean_absolute_error, -1.0),
+    "accuracy": _labels(metrics.accuracy_score),
+    "roc_auc": _ranks(metrics.roc_auc_score),
+    "neg_log_loss": _log_loss,
+}
+for _name in ("precision", "recall", "f1"):
+    _metric = getattr(metrics, f"{_name}_score")
+    SCORERS[_name] = _labels(_metric)
+    for _average in ("macro", "micro", "weighted"):
+        SCORERS[f"{_name}_{_average}"] = _labels(_metric, average=_average)
+
+
+def check_scoring(score) -> dict[str, Callable]:
+    """Scorers by name from a name, a function ``(model, df, y) -> float``, a list of names or a dict of both;
+    a single one is named ``score``."""
+
+    def one(s) -> Callable:
+        if callable(s):
+            return s
+        if s not in SCORERS:
+            raise ValueError(f"unknown scorer {s!r}")
+        return SCORERS[s]
+
+    if isinstance(score, dict):
+        found = {k: one(v) for k, v in score.items()}
+    elif isinstance(score, (list, tuple, set)):
+        found = {k: one(k) for k in sorted(score)}
+    else:
+        found = {"score": one(score)}
+    if not found:
+        raise ValueError("no scorers")
+    return found
+
+
+def fit_and_score(estimator, train: DataFrame, test: DataFrame, cols: Sequence[str], y: str, scorers: dict[str, Callable], error_score=float("nan"), train_score: bool = False) -> dict:
+    """One fold: scores, seconds and the model.  A failing fit or score gives ``error_score`` and a warning, or
+    is raised where ``error_score`` is ``raise``."""
+    out: dict = {"estimator": None, "fit_time": 0.0, "score_time": 0.0}
+    sides = {"test": test} | ({"train": train} if train_score else {})
+
+    def failed(what: str, error: Exception) -> None:
+        if error_score == "raise":
+            raise error
+        warnings.warn(f"{what} failed, its score is {error_score}: {error}", stacklevel=3)
+
+    start = time.perf_counter()
+    try:
+        out["estimator"] = estimator.fit(train, cols, y)
+    except (ValueError, ArithmeticError, np.linalg.LinAlgError) as error:
+        failed("a fit", error)
+    out["fit_time"] = time.perf_counter() - start
+    start = time.perf_counter()
+    for side, rows in sides.items():
+        for name, scorer in scorers.items():
+            value = error_score
+            if out["estimator"] is not None:
+                try:
+                    value = scorer(out["estimator"], rows, y)
+                except (ValueError, ArithmeticError) as error:
+                    failed(f"scorer {name}", error)
+            out[f"{side}_{name}"] = value
+    out["score_time"] = time.perf_counter() - start
+    return out
+
+
+def _each(run: Callable, jobs: list, n_jobs: int | None) -> list:
+    """Runs on ``n_jobs`` threads (-1: eight): Spark schedules their jobs side by side."""
+    if n_jobs in (None, 1):
+        return [run(*job) for job in jobs]
+    with ThreadPoolExecutor(8 if n_jobs < 0 else n_jobs) as pool:
+        return list(pool.map(lambda job: run(*job), jobs))
+
+
+def cross_validate(estimator, df: DataFrame, cols: Sequence[str], y: str, id_col: str, score="r2", cv=5, groups: str | None = None, train_score: bool = False, error_score=float("nan"), n_jobs: int | None = None) -> dict:
+    """Per fold ``test_<name>`` of every scorer (see ``check_scoring``), ``fit_time``, ``score_time`` and ``estimator``."""
+    scorers = check_scoring(score)
+    folds = list(check_cv(cv).split(df, id_col, y, groups))
+    got = _each(lambda a, b: fit_and_score(estimator, a, b, cols, y, scorers, error_score, train_score), folds, n_jobs)
+    return {k: [g[k] for g in got] if k == "estimator" else np.array([g[k] for g in got], float) for k in got[0]}
 
 
 def cross_val_score(*args, **options) -> np.ndarray:
-    return cross_validate(*args, **options)["test_score"]
+    got = cross_validate(*args, **options)
+    if "test_score" not in got:
+        raise ValueError("one scorer is needed")
+    return got["test_score"]
 
 
 def cross_val_predict(estimator, df: DataFrame, cols: Sequence[str], y: str, id_col: str, cv=5, groups: str | None = None, method: str = "predict") -> DataFrame:
@@ -430,16 +544,33 @@ def rank_scores(scores: np.ndarray) -> np.ndarray:
 
 @dataclass
 class GridSearchCV:
+    """Every candidate on every fold.  With several scorers ``refit`` names the one that chooses (or is a function
+    of ``cv_results_`` to an index); with ``refit=False`` nothing is fitted on all rows."""
+
     estimator: object
     grid: dict | Sequence[dict] | None = None
-    score: Callable = None
+    score: object = "r2"
     cv: object = 5
-    error_score: float = float("nan")
+    error_score: float | str = float("nan")
+    refit: bool | str | Callable = True
+    return_train_score: bool = False
+    n_jobs: int | None = None
 
     def candidates(self) -> list[dict]:
         return list(ParameterGrid(self.grid))
 
+    def _chosen(self) -> str | None:
+        names = list(check_scoring(self.score))
+        if isinstance(self.refit, str):
+            if self.refit not in names:
+                raise ValueError(f"refit names no scorer: {self.refit!r}")
+            return self.refit
+        if len(names) > 1 and self.refit is True:
+            raise ValueError("with several scorers refit must name one")
+        return names[0] if len(names) == 1 else None
+
     def fit(self, df: DataFrame, cols: Sequence[str], y: str, id_col: str, groups: str | None = None):
+        self._chosen()
         folds = [(a.persist(), b.persist()) for a, b in check_cv(self.cv).split(df, id_col, y, groups)]
         try:
             self.cv_results_ = self._run(self.candidates(), folds, cols, y)
@@ -447,24 +578,40 @@ class GridSearchCV:
             for a, b in folds:
                 a.unpersist()
                 b.unpersist()
-        self.best_index_ = int(np.argmin(self.cv_results_["rank_test_score"]))
-        self.best_params_ = self.cv_results_["params"][self.best_index_]
-        self.best_score_ = float(self.cv_results_["mean_test_score"][self.best_index_])
-        self.best_estimator_ = self.estimator.set_params(**self.best_params_).fit(df, cols, y)
+        return self._finish(df, cols, y)
+
+    def _finish(self, df: DataFrame, cols: Sequence[str], y: str):
+        name, res = self._chosen(), self.cv_results_
+        if callable(self.refit):
+            self.best_index_ = int(self.refit(res))
+        elif name is None:
+            return self
+        else:
+            self.best_index_ = int(np.argmin(res[f"rank_test_{name}"]))
+        self.best_params_ = res["params"][self.best_index_]
+        if name is not None:
+            self.best_score_ = float(res[f"mean_test_{name}"][self.best_index_])
+        if self.refit:
+            self.best_estimator_ = self.estimator.set_params(**self.best_params_).fit(df, cols, y)
         return self
 
     def _run(self, candidates: list[dict], folds, cols, y) -> dict:
-        table = []
-        for params in candidates:
-            row = []
-            for train, test in folds:
-                try:
-                    row.append(self.score(self.estimator.set_params(**params).fit(train, cols, y), test, y))
-                except (ValueError, ArithmeticError):
-                    row.append(self.error_score)
-            table.append(row)
-        t = np.array(table, float)
-        return {"params": candidates, "split_scores": t, "mean_test_score": t.mean(1), "std_test_score": t.std(1), "rank_test_score": rank_scores(t.mean(1))}
+        scorers = check_scoring(self.score)
+        jobs = [(params, train, test) for params in candidates for train, test in folds]
+        run = lambda params, train, test: fit_and_score(self.estimator.set_params(**params), train, test, cols, y, scorers, self.error_score, self.return_train_score)
+        got = _each(run, jobs, self.n_jobs)
+        table = lambda key: np.array([g[key] for g in got], float).reshape(len(candidates), len(folds))
+        out: dict = {"params": candidates}
+        for key in ("fit_time", "score_time"):
+            out |= {f"mean_{key}": table(key).mean(1), f"std_{key}": table(key).std(1)}
+        for side in ("test", *(["train"] if self.return_train_score else [])):
+            for name in scorers:
+                t = table(f"{side}_{name}")
+                out |= {f"split{k}_{side}_{name}": t[:, k] for k in range(len(folds))}
+                out |= {f"mean_{side}_{name}": t.mean(1), f"std_{side}_{name}": t.std(1)}
+                if side == "test":
+                    out[f"rank_test_{name}"] = rank_scores(t.mean(1))
+        return out
 
     def predict(self, df: DataFrame, **options) -> DataFrame:
         return self.best_estimator_.predict(df, **options)
@@ -488,7 +635,9 @@ class HalvingGridSearchCV(GridSearchCV):
     random_state: int = 0
 
     def fit(self, df, cols, y, id_col, groups=None):
-        n, now = df.count(), self.candidates()
+        n, now, name = df.count(), self.candidates(), self._chosen()
+        if name is None or callable(self.refit):
+            raise ValueError("halving needs one scorer to rank by")
         rounds = 1 + min(int(math.log(len(now), self.factor)) if len(now) > 1 else 0, int(math.log(max(n / self.min_resources, 1), self.factor)))
         size = max(self.min_resources, int(n / self.factor ** (rounds - 1)))
         self.history_ = []
@@ -501,14 +650,10 @@ class HalvingGridSearchCV(GridSearchCV):
                 a.unpersist()
                 b.unpersist()
             self.history_.append((rows, result))
-            order = np.argsort(result["rank_test_score"], kind="stable")
+            order = np.argsort(result[f"rank_test_{name}"], kind="stable")
             now = [now[i] for i in order[: math.ceil(len(now) / self.factor)]]
         self.cv_results_ = self.history_[-1][1]
-        self.best_index_ = int(np.argmin(self.cv_results_["rank_test_score"]))
-        self.best_params_ = self.cv_results_["params"][self.best_index_]
-        self.best_score_ = float(self.cv_results_["mean_test_score"][self.best_index_])
-        self.best_estimator_ = self.estimator.set_params(**self.best_params_).fit(df, cols, y)
-        return self
+        return self._finish(df, cols, y)
 
 
 @dataclass
@@ -520,7 +665,7 @@ class HalvingRandomSearchCV(HalvingGridSearchCV):
 
 
 def learning_curve(estimator, df, cols, y, id_col, score, sizes=(0.1, 0.33, 0.55, 0.78, 1.0), cv=5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rows, train_scores, test_scores = None, [], []
+    rows, train_scores, test_scores, score = None, [], [], check_scoring(score)["score"]
     for train, test in check_cv(cv).split(df, id_col, y):
         held = numbered(train, id_col).persist()
         n = held.count()

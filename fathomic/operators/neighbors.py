@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vec
@@ -132,8 +132,11 @@ class NearestNeighbors:
         return edges.select(F.col("query").alias("src"), F.col("neighbor").alias("dst"), (F.lit(1.0) if mode == "connectivity" else F.col("distance")).alias("w"))
 
 
-def _weighted(edges: DataFrame, weights: str) -> DataFrame:
-    """Neighbour weights; with ``distance``, a query's zero distances share all the weight."""
+def _weighted(edges: DataFrame, weights: str | Callable[[Column], Column]) -> DataFrame:
+    """Neighbour weights; with ``distance``, a query's zero distances share all the weight; a function
+    makes the weight of the distance's column (windows over ``query`` may look at the other neighbours)."""
+    if callable(weights):
+        return edges.withColumn("w", weights(F.col("distance")).cast("double"))
     if weights == "uniform":
         return edges.withColumn("w", F.lit(1.0))
     if weights != "distance":
@@ -144,28 +147,52 @@ def _weighted(edges: DataFrame, weights: str) -> DataFrame:
 
 @dataclass
 class KNeighborsClassifier(NearestNeighbors):
-    weights: str = "uniform"
+    """Weighted votes over one label column or several; equal votes go to the smallest label."""
+
+    weights: str | Callable[[Column], Column] = "uniform"
     targets: DataFrame | None = field(default=None, repr=False)
 
-    def fit(self, df: DataFrame, id_col: str, vec_col: str, label: str) -> KNeighborsClassifier:
+    def fit(self, df: DataFrame, id_col: str, vec_col: str, label: str | list[str]) -> KNeighborsClassifier:
         made = super().fit(df, id_col, vec_col)
-        made.targets = df.select(F.col(id_col).alias("neighbor"), F.col(label).alias("label"))
+        made.names = [label] if isinstance(label, str) else list(label)
+        made.targets = df.select(F.col(id_col).alias("neighbor"), *[F.col(c).alias(f"label{k}") for k, c in enumerate(made.names)])
         return made
 
+    def _votes(self, queries: DataFrame | None, id_col: str, vec_col: str) -> DataFrame:
+        """Per query and label column the array ``votes<k>`` of (label, probability), of at most n_neighbors labels."""
+        near = _weighted(self.kneighbors(queries, id_col, vec_col), self.weights).join(self.targets, "neighbor")
+        held = near.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("rank", "w", *[f"label{k}" for k in range(len(self.names))]))).alias("near"))
+        whole = F.aggregate("near", F.lit(0.0), lambda a, x: a + x.w)
+
+        def votes(k: int) -> Column:
+            def share(value: Column) -> Column:
+                own = F.filter("near", lambda x: x[f"label{k}"].eqNullSafe(value))
+                return F.try_divide(F.aggregate(own, F.lit(0.0), lambda a, x: a + x.w), F.col("whole"))
+
+            return F.transform(F.array_distinct(F.transform("near", lambda x: x[f"label{k}"])), lambda v: F.struct(v.alias("label"), share(v).alias("probability")))
+
+        return held.withColumn("whole", whole).select("query", *[votes(k).alias(f"votes{k}") for k in range(len(self.names))])
+
     def predict_proba(self, queries: DataFrame | None, id_col: str, vec_col: str) -> DataFrame:
-        """``(query, label, probability)`` of the labels among the neighbours."""
-        votes = _weighted(self.kneighbors(queries, id_col, vec_col), self.weights).join(self.targets, "neighbor").groupBy("query", "label").agg(F.sum("w").alias("w"))
-        return votes.select("query", "label", (F.col("w") / F.sum("w").over(Window.partitionBy("query"))).alias("probability"))
+        """``(query, label, probability)`` of the labels among the neighbours; several label columns give
+        ``(query, output, label, probability)`` with labels as text."""
+        held = self._votes(queries, id_col, vec_col)
+        if len(self.names) == 1:
+            return held.select("query", F.inline("votes0"))
+        named = lambda c: lambda x: F.struct(F.lit(c).alias("output"), x.label.cast("string").alias("label"), x.probability.alias("probability"))
+        text = [F.transform(f"votes{k}", named(c)) for k, c in enumerate(self.names)]
+        return held.select("query", F.inline(F.concat(*text)))
 
     def predict(self, queries: DataFrame | None, id_col: str, vec_col: str) -> DataFrame:
-        votes = _weighted(self.kneighbors(queries, id_col, vec_col), self.weights).join(self.targets, "neighbor").groupBy("query", "label").agg(F.sum("w").alias("w"))
-        best = Window.partitionBy("query").orderBy(F.desc("w"), "label")
-        return votes.withColumn("n", F.row_number().over(best)).where("n = 1").select("query", F.col("label").alias("prediction"))
+        """``(query, prediction)``, or one ``prediction_<column>`` for each of several label columns."""
+        best = lambda k: F.array_min(F.transform(f"votes{k}", lambda x: F.struct((-x.probability).alias("a"), x.label.alias("label")))).label
+        names = ["prediction"] if len(self.names) == 1 else [f"prediction_{c}" for c in self.names]
+        return self._votes(queries, id_col, vec_col).select("query", *[best(k).alias(n) for k, n in enumerate(names)])
 
 
 @dataclass
 class KNeighborsRegressor(NearestNeighbors):
-    weights: str = "uniform"
+    weights: str | Callable[[Column], Column] = "uniform"
     targets: DataFrame | None = field(default=None, repr=False)
 
     def fit(self, df: DataFrame, id_col: str, vec_col: str, y: str | list[str]) -> KNeighborsRegressor:

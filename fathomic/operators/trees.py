@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vec
 from ..plans.graph import cut
-from ..plans.stats import check_finite
+from ..plans.stats import check_finite, sweep
 from .base import Estimator, by_rows
 
 
@@ -242,6 +242,7 @@ class RandomForestRegressor(Ensemble):
     min_samples_leaf: int = 1
     random_state: int = 0
     batch: int = 10
+    oob_score: bool = False
 
     def _features(self, d: int) -> int:
         m = self.max_features
@@ -272,11 +273,42 @@ class RandomForestRegressor(Ensemble):
                 size = min(self.batch, self.n_estimators - first)
                 stats = lambda x, o, t: (w := self._weights(np.concatenate([x, o], 1), first + t))[:, None] * np.concatenate([np.ones((len(x), 1)), targets(o)], 1)
                 made.trees_ += grow(held, cols, others, edges, stats, width + 1, gain, leaf, self.max_depth, self.min_samples_leaf, self._features(len(cols)), rng, size)
+            if self.oob_score:
+                made._score_left_out(held, others)
         finally:
             held.unpersist()
         made.feature_importances_ = importances(made.trees_, len(cols), gain_of=self._impurity)
         return made
 
+    def _left_out(self, x: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
+        """Mean prediction of each row by the trees that drew it with weight zero, for the rows that have any."""
+        total, seen = 0.0, np.zeros(len(x))
+        for t, tree in enumerate(self.trees_):
+            out = self._weights(x, t) == 0
+            p = np.asarray(tree.predict(x[:, :d]), float)
+            total = total + (p.T * out).T
+            seen += out
+        has = seen > 0
+        return (total[has].T / seen[has]).T, has
+
+    def _score_left_out(self, held: DataFrame, others: list[str]) -> None:
+        if not self.bootstrap:
+            raise ValueError("left-out scores need bootstrap")
+        self.oob_score_ = self._left_out_score(held, others)
+
+    def _left_out_score(self, held: DataFrame, others: list[str]) -> float:
+        """R2 over the rows that at least one tree left out."""
+        d = len(self.cols)
+        center = held.agg(F.avg(others[0])).first()[0]
+
+        def part(x: np.ndarray) -> np.ndarray:
+            p, has = self._left_out(x, d)
+            y = x[has, d] - center
+            return np.array([len(y), ((y + center - p) ** 2).sum(), y.sum(), (y * y).sum()])
+
+        n, rest, total, square = sweep(held, [*self.cols, *others], part, 4)
+        return float(1 - rest / (square - total**2 / n)) if n and square > total**2 / n else float("nan")
+
     @staticmethod
     def _impurity(value, cover: float) -> float:
         return cover * float(np.sum(np.square(value)))
@@ -316,6 +348,17 @@ class RandomForestClassifier(RandomForestRegressor):
         made.classes_ = classes
         return made
 
+    def _left_out_score(self, held: DataFrame, others: list[str]) -> float:
+        """Accuracy over the rows that at least one tree left out."""
+        d = len(self.cols)
+
+        def part(x: np.ndarray) -> np.ndarray:
+            p, has = self._left_out(x, d)
+            return np.array([has.sum(), (p.reshape(has.sum(), -1).argmax(1) == x[has, d]).sum() if has.any() else 0])
+
+        n, right = sweep(held, [*self.cols, *others], part, 2)
+        return float(right / n) if n else float("nan")
+
     def predict_proba(self, df: DataFrame, prefix: str = "p") -> DataFrame:
         trees = self.trees_
         return by_rows(df, self.cols, lambda x: sum(t.predict(x) for t in trees) / len(trees), [f"{prefix}{k}" for k in range(len(self.classes_))])
