@@ -520,12 +520,37 @@ def _sql_coefs(source: str, d: int, output: str = "0") -> str:
 
 _Z = [f"({c} - mx[{k + 1}])" for k, c in enumerate(_O)]
 _LEVERAGE = " + ".join(f"{a} * v[{i + 1}][{j + 1}] * {b}" for i, a in enumerate(_Z) for j, b in enumerate(_Z))
+_WGW = " + ".join(f"w[{i}] * g[{i}][{j}] * w[{j}]" for i in (1, 2, 3) for j in (1, 2, 3))
+
+
+def _inverse3() -> str:
+    """The inverse of ``n`` times (g + b I), three by three, by cofactors."""
+    m = lambda i, j: f"(g[{i}][{j}]{' + b' if i == j else ''})"
+    minor = lambda i, j: "({} * {} - {} * {})".format(*[m(p, q) for p, q in ((i % 3 + 1, j % 3 + 1), ((i + 1) % 3 + 1, (j + 1) % 3 + 1), (i % 3 + 1, (j + 1) % 3 + 1), ((i + 1) % 3 + 1, j % 3 + 1))])
+    size = " + ".join(f"{m(1, j)} * {minor(1, j)}" for j in (1, 2, 3))
+    return "[" + ", ".join("[" + ", ".join(f"{minor(j, i)} / ({size}) / n" for j in (1, 2, 3)) + "]" for i in (1, 2, 3)) + "]"
+
+
+_INVERSE3 = _inverse3()
+_WEIGHTS3 = "[" + ", ".join("n * (" + " + ".join(f"v[{i}][{j}] * r[{j}]" for j in (1, 2, 3)) + ")" for i in (1, 2, 3)) + "]"
 _FIT_SQL = {
     "ridge_cv": f"""WITH RECURSIVE {_ORDERS}, s AS (SELECT o.*, alpha FROM o, (SELECT unnest([0.1, 1.0, 10.0])::DOUBLE AS alpha)), {sql.ridge("g", "s", _O, "y", "any_value(alpha)", ["alpha"], inverse=True)},
         e AS (SELECT g.alpha, avg(pow((y - ({sql.linear(_O)})) / (1 - 1.0 / n - ({_LEVERAGE})), 2)) AS error FROM s JOIN g ON g.alpha = s.alpha GROUP BY g.alpha),
         best AS (SELECT g.* FROM g JOIN e USING (alpha) ORDER BY error, alpha LIMIT 1) {_sql_coefs("best", 3)}""",
     "ridge_classifier": f"""WITH RECURSIVE {_SMALL}, s AS (SELECT x.*, l.label AS cls, CASE WHEN x.label = l.label THEN 1.0 ELSE -1.0 END AS t FROM x, (SELECT DISTINCT label FROM x) l), {sql.ridge("g", "s", _S, "t", "1.0", ["cls"])},
         h AS (SELECT *, row_number() OVER (ORDER BY cls) - 1 AS place FROM g) {_sql_coefs("h", 8, "place")}""",
+    "elastic_net": f"""WITH RECURSIVE {_ORDERS}, {sql.centered("s", "o", _O, "y")}, {sql.descent("cd", "s", 3, 0.005, 0.005, 400)},
+        g AS (SELECT w, my - list_dot_product(w, mx) AS c FROM cd WHERE k = 1200) {_sql_coefs("g", 3)}""",
+    # without a tube the squared loss is a ridge problem that penalises the intercept, too
+    "linear_svr": f"""WITH RECURSIVE {_ORDERS}, z AS (SELECT *, 1.0 AS one FROM o),
+        zm AS (SELECT [{", ".join("[" + ", ".join(f"2 * sum({a} * {b})" + (" + 1" if a == b else "") for b in [*_O, "one", "y"]) + "]" for a in [*_O, "one"])}]::DOUBLE[][] AS m FROM z),
+        {sql.eliminated("zr", "zm", 4, 1)}, g AS (SELECT [m[i][5] FOR i IN range(1, 4)] AS w, m[4][5] AS c FROM zr WHERE k = 4) {_sql_coefs("g", 3)}""",
+    "bayesian_ridge": f"""WITH RECURSIVE {_ORDERS}, {sql.centered("s", "o", _O, "y")}, e AS (SELECT 0 AS k, NULL::DOUBLE[] AS old, 1 / (yy + 2.220446049250313e-16) AS a, 1.0::DOUBLE AS l, false AS done FROM s UNION ALL
+        SELECT k + 1, w, (n - gamma + 2e-6) / (greatest(n * (yy - 2 * list_dot_product(w, r) + {_WGW}), 0) + 2e-6), (gamma + 2e-6) / (list_dot_product(w, w) + 2e-6),
+            coalesce(list_sum([abs(w[j] - old[j]) FOR j IN range(1, 4)]) < 1e-3, false)
+        FROM (SELECT *, 3 - b * n * ({" + ".join(f"v[{i}][{i}]" for i in (1, 2, 3))}) AS gamma FROM (SELECT *, {_WEIGHTS3} AS w FROM (SELECT k, old, a, l, g, r, yy, n, b, {_INVERSE3} AS v FROM (SELECT e.*, s.*, l / a / n AS b FROM e, s WHERE NOT done AND k < 300)))))  ,
+        last AS (SELECT *, l / a / n AS b FROM e, s ORDER BY k DESC LIMIT 1), f AS (SELECT *, {_WEIGHTS3} AS w FROM (SELECT *, {_INVERSE3} AS v FROM last)),
+        h AS (SELECT w, my - list_dot_product(w, mx) AS c FROM f) {_sql_coefs("h", 3)}""",
 }
 
 
@@ -567,16 +592,25 @@ def mbsgd_classifier(spark, d):
     return _coefs(spark, linear.MBSGDClassifier("log_loss").fit(df, ["s", "w"], "y"))
 
 
-@query()
+def _axes_sql(entry: str, shift: str) -> str:
+    """Rows of _small along the three leading axes of a matrix of aggregates over pairs of columns."""
+    rows = ", ".join("[" + ", ".join(entry.format(a=a, b=b) for b in _S) + "]" for a in _S)
+    values = ", ".join(f"{c} - {shift.format(c=c)}" if shift else c for c in _S)
+    parts = ", ".join(sql_r(f"list_dot_product(z, (SELECT v FROM a WHERE i = {k}))", f"pc{k}") for k in range(3))
+    return f"""WITH RECURSIVE {_SMALL}, mm AS (SELECT [{rows}]::DOUBLE[][] AS m FROM x), {sql.axes("a", "mm", 8, 3)},
+        zs AS (SELECT id, [{values}]::DOUBLE[] AS z FROM x) SELECT id, {parts} FROM zs"""
+
+
+@query(_axes_sql("covar_pop({a}, {b})", "avg({c}) OVER ()"))
 def pca_transform(spark, d):
     df, cols = _small(spark, d)
-    return decomposition.PCA(3).fit(df, cols).transform(df).select("id", "pc0", "pc1", "pc2")
+    return rounded(decomposition.PCA(3).fit(df, cols).transform(df), ["id"], ["pc0", "pc1", "pc2"])
 
 
-@query()
+@query(_axes_sql("avg({a} * {b})", ""))
 def truncated_svd(spark, d):
     df, cols = _small(spark, d)
-    return decomposition.TruncatedSVD(3).fit(df, cols).transform(df).select("id", "pc0", "pc1", "pc2")
+    return rounded(decomposition.TruncatedSVD(3).fit(df, cols).transform(df), ["id"], ["pc0", "pc1", "pc2"])
 
 
 @query()
