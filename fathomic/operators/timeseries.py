@@ -140,7 +140,7 @@ class AutoARIMA:
 
     def select(self, df: DataFrame, series: str, t: str, y: str) -> DataFrame:
         """``(series, p, d, q, aicc)``."""
-        grid = df.sparkSession.createDataFrame([(p, q) for p in range(self.max_p + 1) for q in range(self.max_q + 1)], "p int, q int")
+        grid = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p in range(self.max_p + 1) for q in range(self.max_q + 1)])
         d = self.d
 
         def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -152,6 +152,6 @@ class AutoARIMA:
             return pd.DataFrame({"series": [rows[series].iloc[0]], "p": [p], "q": [q], "aicc": [aicc]})
 
         kind = df.schema[series].dataType.simpleString()
-        tried = df.select(series, t, y).crossJoin(F.broadcast(grid)).groupBy(series, "p", "q").applyInPandas(run, f"series {kind}, p int, q int, aicc double")
+        tried = df.select(series, t, y, F.inline(grid)).groupBy(series, "p", "q").applyInPandas(run, f"series {kind}, p int, q int, aicc double")
         best = tried.groupBy("series").agg(F.min(F.struct("aicc", "p", "q")).alias("b"))
         return best.select("series", "b.p", F.lit(d).alias("d"), "b.q", "b.aicc")
