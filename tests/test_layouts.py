@@ -74,3 +74,27 @@ def test_kernel_ridge_takes_more_rows_than_a_matrix_may_have(spark):
         want = np.linalg.solve(k + 0.5 * np.diag(1 / x.w), x.y)
         assert np.allclose(got.dual_[:, 0], want, atol=1e-7)
         assert np.allclose(got.predict(df).toPandas().sort_values("id").prediction, k @ want, atol=1e-7)
+
+
+def dense_axes(a, count):
+    """Least eigenvectors of the normalised Laplacian of a whole matrix, scaled by the roots of the degrees."""
+    a = a - np.diag(np.diag(a))
+    root = np.sqrt(a.sum(1))
+    v = np.linalg.eigh(np.eye(len(a)) - a / np.outer(root, root))[1][:, :count] / root[:, None]
+    return v * np.sign(v[np.abs(v).argmax(0), np.arange(count)])
+
+
+@pytest.fixture(scope="module")
+def three(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(400, 3)) + np.array([0, 2.5, 6])[np.arange(400) % 3, None] * [1, 0.5, -1]
+    return spark.createDataFrame(pd.DataFrame(x, columns=COLS).assign(id=np.arange(400))).repartition(3), x
+
+
+def test_spectral_clustering_has_no_bound_on_its_rows(three):
+    df, x = three
+    model = manifold.SpectralClustering(n_clusters=3, gamma=0.4, most_rows=50)
+    ids, got = model._vectors(df, COLS, "id", 3)
+    assert list(ids) == list(range(400)) and np.allclose(got, dense_axes(density.kernel_matrix(x, x, "rbf", 0.4, 3, 1), 3), atol=1e-8)
+    label = model.fit_predict(df, COLS, "id").toPandas().sort_values("id")["cluster"].to_numpy()
+    assert len({(a, b) for a, b in zip(label, np.arange(400) % 3)}) < 9 and np.bincount(label).min() > 100
