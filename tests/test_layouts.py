@@ -98,3 +98,12 @@ def test_spectral_clustering_has_no_bound_on_its_rows(three):
     assert list(ids) == list(range(400)) and np.allclose(got, dense_axes(density.kernel_matrix(x, x, "rbf", 0.4, 3, 1), 3), atol=1e-8)
     label = model.fit_predict(df, COLS, "id").toPandas().sort_values("id")["cluster"].to_numpy()
     assert len({(a, b) for a, b in zip(label, np.arange(400) % 3)}) < 9 and np.bincount(label).min() > 100
+
+
+def test_spectral_embedding_by_neighbors_has_no_bound_on_its_rows(three):
+    df, x = three
+    d = np.linalg.norm(x[:, None] - x[None], axis=2) + np.diag([np.inf] * 400)
+    a = np.zeros((400, 400))
+    a[np.arange(400)[:, None], np.argsort(d, axis=1, kind="stable")[:, :39]] = 1
+    got = manifold.SpectralEmbedding(2, most_rows=50).fit_transform(df, COLS, "id").toPandas().sort_values("id")[["e0", "e1"]].to_numpy()
+    assert np.allclose(got, dense_axes((a + a.T) / 2, 3)[:, 1:], atol=1e-8)
