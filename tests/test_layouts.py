@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from fathomic.functions import layout
 from fathomic.operators import density, manifold, mixture, timeseries
 
 COLS = ["a", "b", "c"]
@@ -107,3 +108,25 @@ def test_spectral_embedding_by_neighbors_has_no_bound_on_its_rows(three):
     a[np.arange(400)[:, None], np.argsort(d, axis=1, kind="stable")[:, :39]] = 1
     got = manifold.SpectralEmbedding(2, most_rows=50).fit_transform(df, COLS, "id").toPandas().sort_values("id")[["e0", "e1"]].to_numpy()
     assert np.allclose(got, dense_axes((a + a.T) / 2, 3)[:, 1:], atol=1e-8)
+
+
+def test_tsne_has_no_bound_on_its_rows(spark, three):
+    """Neighbour probabilities and forces are those of the definition, for any number of rows."""
+    df, x = three
+    model = manifold.TSNE(perplexity=12, max_iter=300, most_rows=50)
+    i, j, p = model.neighbor_probabilities(spark, x)
+    d = np.linalg.norm(x[:, None] - x[None], axis=2) + np.diag([np.inf] * 400)
+    near = np.argsort(d, axis=1, kind="stable")[:, :37]
+    got = np.zeros((400, 400))
+    got[i, j] = p
+    mask = np.zeros((400, 400), bool)
+    mask[np.arange(400)[:, None], near] = True
+    assert np.isclose(got.sum(), 1) and np.array_equal(got, got.T) and np.array_equal(got > 0, mask | mask.T)
+    y = np.random.default_rng(1).normal(size=(400, 2)) * 3
+    num = 1 / (1 + ((y[:, None] - y[None]) ** 2).sum(2)) - np.eye(400)
+    want = 4 * (((12 * got - num / num.sum()) * num)[:, :, None] * (y[:, None] - y[None])).sum(1)
+    grad = model._sparse_forces(i, j, p, layout.Repulsion())(y, 12.0)[0]
+    direct = model._sparse_forces(i, j, p, lambda y: manifold.exact_repulsion(spark, y))(y, 12.0)[0]
+    assert np.allclose(direct, want, atol=1e-12) and np.linalg.norm(grad - want) < 1e-3 * np.linalg.norm(want)
+    out = model.fit_transform(df, COLS, "id").toPandas()
+    assert sorted(out.id) == list(range(400)) and np.isfinite(out[["t0", "t1"]].to_numpy()).all()
