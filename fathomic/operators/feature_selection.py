@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import chi2_sf, digamma, f_sf
+from ..plans.pairs import TILE, Passes, strips
 from ..plans.stats import centered, class_sums, gram, long_form
 from ..sources.frame import restore_columns, take_columns, to_numpy
 from .base import Estimator
@@ -78,63 +79,84 @@ def mutual_info_discrete(df: DataFrame, cols: Sequence[str], label: str) -> np.n
     return np.array([max(0.0, got[k]) for k in range(len(cols))])
 
 
-def _mutual_info(df: DataFrame, cols: Sequence[str], y: str, discrete: bool, k: int, seed: int, id_col: str, most: int) -> np.ndarray:
-    """k-nearest-neighbour estimators, one feature a task, for at most ``most`` rows."""
-    import pandas as pd
+def nearest_in_line(x: np.ndarray, k: int) -> np.ndarray:
+    """Distance of each number to its k-th nearest other one: in sorted order it is at most k places away."""
+    order = np.argsort(x, kind="stable")
+    v, out = x[order], np.empty(len(x))
+    around = np.arange(-k, k + 1)
+    step = max(1, TILE // len(around))
+    for s in range(0, len(v), step):
+        at = np.arange(s, min(s + step, len(v)))[:, None] + around
+        d = np.where((at >= 0) & (at < len(v)), np.abs(v[np.clip(at, 0, len(v) - 1)] - v[s : s + len(at), None]), np.inf)
+        out[order[s : s + len(at)]] = np.partition(d, k, axis=1)[:, k]
+    return out
+
+
+def inside(x: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """How many numbers, each one itself included, lie within each one's radius.  Differences are compared with the radius,
+    as they were when it was found: ``x + radius`` may round to a number just outside."""
+    v = np.sort(x)
+
+    def first(holds) -> np.ndarray:
+        low, high = np.zeros(len(x), int), np.full(len(x), len(x))
+        while (going := low < high).any():
+            middle = (low + high) // 2
+            met = holds(v[np.minimum(middle, len(x) - 1)])
+            low, high = np.where(going & ~met, middle + 1, low), np.where(going & met, middle, high)
+        return low
+
+    return first(lambda w: w - x > radius) - first(lambda w: x - w <= radius)
+
 
-    both = to_numpy(df, [*cols, y], id_col, most)
-    target = both[:, -1]
+def _mutual_info(df: DataFrame, cols: Sequence[str], y: str, discrete: bool, k: int, seed: int, id_col: str) -> np.ndarray:
+    """k-nearest-neighbour estimators.  The driver and each worker hold the columns; with a discrete target a task sorts
+    one feature within each class, with a continuous one tasks take ranges of rows against all rows."""
+    both = to_numpy(df, [*cols, y], id_col, None)
+    n, target = len(both), both[:, -1]
     rng = np.random.RandomState(seed)
-    scaled = []
-    for c in both[:, :-1].T:
+    scaled = np.empty((len(cols), n))
+    for f, c in enumerate(both[:, :-1].T):
         s = c.std()
         c = c / s if s else c
-        scaled.append(c + 1e-10 * max(1, np.abs(c).mean()) * rng.standard_normal(len(c)))
+        scaled[f] = c + 1e-10 * max(1, np.abs(c).mean()) * rng.standard_normal(len(c))
     if not discrete:
         target = target / target.std() if target.std() else target
         target = target + 1e-10 * max(1, np.abs(target).mean()) * rng.standard_normal(len(target))
-    spark = df.sparkSession
-    frame = spark.createDataFrame(pd.DataFrame({"feature": range(len(cols)), "x": [s.tolist() for s in scaled]}), "feature int, x array<double>").repartition(len(cols), "feature")
-    shared = spark.sparkContext.broadcast(target)
 
-    def one(x: np.ndarray, t: np.ndarray) -> float:
-        n = len(x)
+    def by_class(at: int, _: int, x: np.ndarray, t: np.ndarray) -> np.ndarray:
+        x, (radius, size, near) = x[at], np.zeros((3, n))
+        for m in np.split(np.argsort(t, kind="stable"), np.flatnonzero(np.diff(np.sort(t))) + 1):
+            if len(m) > 1:
+                near[m] = kk = min(k, len(m) - 1)
+                radius[m] = np.nextafter(nearest_in_line(x[m], kk), 0)
+            size[m] = len(m)
+        use = size > 1
+        return digamma(use.sum()) + digamma(near[use]).mean() - digamma(size[use]).mean() - digamma(inside(x[use], radius[use])).mean()
+
+    def radii(i: int, j: int, x: np.ndarray, t: np.ndarray) -> np.ndarray:
+        out = np.empty((j - i, len(x)))
+        for rows in strips(i, j, n):
+            gap = np.abs(t[rows, None] - t)
+            for f in range(len(x)):
+                d = np.maximum(np.abs(x[f, rows, None] - x[f]), gap)
+                out[rows.start - i : rows.stop - i, f] = np.nextafter(np.partition(d, k, axis=1)[:, k], 0)
+        return out
+
+    with Passes(df.sparkSession, scaled, np.ascontiguousarray(target)) as passes:
         if discrete:
-            radius, size, near = np.zeros(n), np.zeros(n), np.zeros(n)
-            for v in np.unique(t):
-                m = t == v
-                count = m.sum()
-                if count > 1:
-                    kk = min(k, count - 1)
-                    for at in np.array_split(np.flatnonzero(m), max(1, count // 500)):
-                        radius[at] = np.nextafter(np.partition(np.abs(x[at, None] - x[m][None]), kk, axis=1)[:, kk], 0)
-                    near[m] = kk
-                size[m] = count
-            use = size > 1
-            x, radius, size, near, n = x[use], radius[use], size[use], near[use], use.sum()
-            order = np.sort(x)
-            inside = np.searchsorted(order, x + radius, "right") - np.searchsorted(order, x - radius, "left")
-            return max(0.0, float(digamma(n) + digamma(near).mean() - digamma(size).mean() - digamma(inside).mean()))
-        radius = np.empty(n)
-        for at in np.array_split(np.arange(n), max(1, n // 500)):
-            d = np.maximum(np.abs(x[at, None] - x[None]), np.abs(t[at, None] - t[None]))
-            radius[at] = np.nextafter(np.partition(d, k, axis=1)[:, k], 0)
-        count = lambda v: np.searchsorted(np.sort(v), v + radius, "right") - np.searchsorted(np.sort(v), v - radius, "left")
-        return max(0.0, float(digamma(n) + digamma(k) - digamma(count(x)).mean() - digamma(count(t)).mean()))
-
-    def run(pdf):
-        return pd.DataFrame({"feature": pdf["feature"], "mi": [one(np.asarray(x), shared.value) for x in pdf["x"]]})
-
-    got = frame.groupBy("feature").applyInPandas(run, "feature int, mi double").toPandas().sort_values("feature")
-    return got["mi"].to_numpy()
-
-
-def mutual_info_classif(df: DataFrame, cols: Sequence[str], label: str, id_col: str, n_neighbors: int = 3, random_state: int = 0, most_rows: int = 20_000) -> np.ndarray:
-    return _mutual_info(df, cols, label, True, n_neighbors, random_state, id_col, most_rows)
-
-
-def mutual_info_regression(df: DataFrame, cols: Sequence[str], y: str, id_col: str, n_neighbors: int = 3, random_state: int = 0, most_rows: int = 20_000) -> np.ndarray:
-    return _mutual_info(df, cols, y, False, n_neighbors, random_state, id_col, most_rows)
+            got = passes.run(by_class, 1, len(cols), most=1)[:, 0]
+        else:
+            radius = passes.run(radii, len(cols), n).T
+            got = np.array([digamma(n) + digamma(k) - digamma(inside(x, r)).mean() - digamma(inside(target, r)).mean() for x, r in zip(scaled, radius)])
+    return np.maximum(0.0, got.astype(float))
+
+
+def mutual_info_classif(df: DataFrame, cols: Sequence[str], label: str, id_col: str, n_neighbors: int = 3, random_state: int = 0) -> np.ndarray:
+    return _mutual_info(df, cols, label, True, n_neighbors, random_state, id_col)
+
+
+def mutual_info_regression(df: DataFrame, cols: Sequence[str], y: str, id_col: str, n_neighbors: int = 3, random_state: int = 0) -> np.ndarray:
+    return _mutual_info(df, cols, y, False, n_neighbors, random_state, id_col)
 
 
 class Selector(Estimator):

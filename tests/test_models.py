@@ -220,3 +220,24 @@ def test_shuffle_split_has_no_bound_on_its_rows(data, monkeypatch):
         test = -(-n // 4)
         assert sorted(r.id for r in b.collect()) == sorted(ids[order[:test]]) and sorted(r.id for r in a.collect()) == sorted(ids[order[test:]])
         assert a.columns == df.columns
+
+
+def test_mutual_info_has_no_bound_on_its_rows(spark):
+    """21,000 rows in few distinct classes; the sorted search gives the distances of all pairs, ties included."""
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=300), 1)
+    for k in (1, 3, 7):
+        assert np.array_equal(feature_selection.nearest_in_line(x, k), np.partition(np.abs(x[:, None] - x), k, axis=1)[:, k])
+    r = np.nextafter(feature_selection.nearest_in_line(x + rng.normal(size=300), 3), 0)
+    assert np.array_equal(feature_selection.inside(x, r), (np.abs(x[:, None] - x) <= r[:, None]).sum(1))
+    n = 21_000
+    y = np.arange(n) % 2
+    pdf = pd.DataFrame({"id": np.arange(n), "y": y, "a": rng.normal(size=n) + 3 * y, "b": rng.normal(size=n)})
+    got = feature_selection.mutual_info_classif(spark.createDataFrame(pdf), ["a", "b"], "y", "id")
+    t = np.linspace(-9, 12, 20_001)
+    f, g = np.exp(-(t**2) / 2), np.exp(-((t - 3) ** 2) / 2)
+    h = (f + g) / 2
+    want = ((f * np.log(f / h) + g * np.log(g / h)) / 2).sum() / f.sum()
+    assert abs(got[0] - want) < 0.02 and got[1] < 0.01
+    small = pdf.head(400).assign(c=lambda d: d.a * 2 + rng.normal(size=400))
+    assert feature_selection.mutual_info_regression(spark.createDataFrame(small), ["a", "b"], "c", "id")[0] > 1
