@@ -7,15 +7,16 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vec
 from ..plans.graph import components, cut
+from ..plans.pairs import Passes, strips, tiles
 from ..plans.stats import check_finite, moments, sweep
 from ..sources.frame import to_numpy
 from .base import Estimator, by_rows
-from .neighbors import NearestNeighbors, pair_distances
+from .neighbors import NearestNeighbors, nearest_rows, pair_distances
 
 
 @dataclass
@@ -163,22 +164,75 @@ class DBSCAN:
         return out.select("id", F.coalesce("label", "near", F.lit(-1)).cast("int").alias("label"), F.col("label").isNotNull().alias("core"))
 
 
-def minimum_tree(x: np.ndarray, metric: str, p: float = 2.0, core: np.ndarray | None = None) -> np.ndarray:
-    """Prim's tree of all rows (rows a, b, weight in the order found), distances a row at a time."""
+def minimum_tree(spark: SparkSession, x: np.ndarray, metric: str, p: float = 2.0, core: np.ndarray | None = None, near: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Minimum spanning tree of all rows (rows a, b, weight by rising weight), a weight being the distance or the largest
+    of it and both rows' ``core``.
+
+    Borůvka's rounds: each component but the largest takes its least edge to another one.  A row's 16 nearest rows
+    (``near``) settle most; rows that have none outside their component and could still be nearest are compared
+    with all rows, on the executors, and keep what they find until it joins their component."""
     n = len(x)
-    best, came = np.full(n, np.inf), np.zeros(n, int)
-    inside, at, out = np.zeros(n, bool), 0, []
-    for _ in range(n - 1):
-        inside[at] = True
-        d = pair_distances(x[at : at + 1], x, metric, p)[0]
-        if core is not None:
-            d = np.maximum(np.maximum(d, core), core[at])
-        closer = ~inside & (d < best)
-        best[closer], came[closer] = d[closer], at
-        nxt = int(np.where(inside, np.inf, best).argmin())
-        out.append((came[nxt], nxt, best[nxt]))
-        at = nxt
-    return np.array(out, float).reshape(-1, 3)
+    at, dist = nearest_rows(spark, x, 16, metric, p) if near is None else near
+    weight = dist if core is None else np.maximum(np.maximum(dist, core[at]), core[:, None])
+    bound = np.full(n, np.inf) if at.shape[1] >= n - 1 else dist[:, -1] if core is None else np.maximum(dist[:, -1], core)
+    label, out = np.arange(n), []
+    found, found_at = np.full(n, np.inf), np.full(n, -1)
+    lows = np.zeros(n) if core is None else core
+
+    def search(i: int, j: int, x: np.ndarray, lows: np.ndarray, rows: np.ndarray, label: np.ndarray) -> np.ndarray:
+        got = np.empty((j - i, 2))
+        for part in strips(i, j, n):
+            own = rows[part]
+            d = np.concatenate([pair_distances(x[own], x[s : s + 512], metric, p) for s in range(0, n, 512)], 1)
+            d = np.maximum(np.maximum(d, lows), lows[own, None])
+            d[label[own][:, None] == label] = np.inf
+            best = d.argmin(1)
+            got[part.start - i : part.stop - i] = np.stack([best, d[np.arange(len(d)), best]], 1)
+        return got
+
+    with Passes(spark, x, lows) as passes:
+        while len(out) < n - 1:
+            sizes = np.bincount(label, minlength=n)
+            small = label != sizes.argmax()
+            first = np.where(label[at] != label[:, None], weight, np.inf)
+            pick = first.argmin(1)
+            best, to = first[np.arange(n), pick], at[np.arange(n), pick]
+            held = (found_at >= 0) & (label[found_at] != label)
+            best, to = np.where(held, found, best), np.where(held, found_at, to)
+            least = np.full(n, np.inf)
+            np.minimum.at(least, label, best)
+            np.minimum.at(least, label[to], best)
+            rows = np.flatnonzero(small & ~held & (best > bound) & (bound < least[label]))
+            if len(rows):
+                got = passes.run(search, 2, len(rows), rows, label)
+                found_at[rows], found[rows] = got[:, 0].astype(int), got[:, 1]
+                best[rows], to[rows] = found[rows], found_at[rows]
+            # the least edge of each component but the largest; a merged pair's second edge falls to the union below
+            lo, hi = np.minimum(np.arange(n), to), np.maximum(np.arange(n), to)
+            edge = np.flatnonzero(np.isfinite(best))
+            ends = np.concatenate([label[edge], label[to[edge]]])
+            edge = np.concatenate([edge, edge])
+            order = np.lexsort((hi[edge], lo[edge], best[edge], ends))
+            ends, edge = ends[order], edge[order]
+            chosen = edge[np.r_[True, ends[1:] != ends[:-1]] & (ends != sizes.argmax())]
+            parent = np.arange(n)
+
+            def top(k: int) -> int:
+                while parent[k] != k:
+                    parent[k] = parent[parent[k]]
+                    k = parent[k]
+                return k
+
+            for k in chosen[np.lexsort((hi[chosen], lo[chosen], best[chosen]))]:
+                i, j = top(label[k]), top(label[to[k]])
+                if i != j:
+                    parent[max(i, j)] = min(i, j)
+                    out.append((lo[k], hi[k], best[k]))
+            while not np.array_equal(up := parent[parent], parent):
+                parent = up
+            label = parent[label]
+    tree = np.array(out, float).reshape(-1, 3)
+    return tree[np.lexsort((tree[:, 1], tree[:, 0], tree[:, 2]))]
 
 
 def single_linkage(tree: np.ndarray, n: int) -> np.ndarray:
@@ -202,20 +256,20 @@ def single_linkage(tree: np.ndarray, n: int) -> np.ndarray:
 
 @dataclass
 class AgglomerativeClustering:
-    """Single linkage on at most ``most_rows`` rows (the tree is built on the driver)."""
+    """Single linkage.  The driver holds the rows, their nearest rows and the merges; distances of all pairs are
+    compared on the executors."""
 
     n_clusters: int = 2
     metric: str = "euclidean"
     linkage: str = "single"
-    most_rows: int = 20_000
 
     def fit(self, df: DataFrame, cols: Sequence[str], id_col: str) -> AgglomerativeClustering:
         if self.linkage != "single":
             raise ValueError("only single linkage is supported")
-        made = AgglomerativeClustering(self.n_clusters, self.metric, self.linkage, self.most_rows)
-        x = to_numpy(df, cols, id_col, self.most_rows)
+        made = AgglomerativeClustering(self.n_clusters, self.metric, self.linkage)
+        x = to_numpy(df, cols, id_col, None)
         n = len(x)
-        merges = single_linkage(minimum_tree(x, self.metric), n)
+        merges = single_linkage(minimum_tree(df.sparkSession, x, self.metric), n)
         made.children_, made.distances_, made.n_leaves_ = merges[:, :2].astype(int), merges[:, 2], n
         label = np.arange(2 * n - 1)
         for k, (i, j) in reversed(list(enumerate(made.children_))):
@@ -267,7 +321,8 @@ def condense(merges: np.ndarray, n: int, least: int) -> list[tuple[int, int, flo
 class HDBSCAN:
     """Mutual-reachability tree, condensed hierarchy, excess-of-mass or leaf selection.
 
-    Core distances and the tree are computed on the driver, for at most ``most_rows`` rows."""
+    Core distances and the tree come from passes over all pairs on the executors; the driver holds the rows, their
+    nearest rows and the hierarchy."""
 
     min_cluster_size: int = 5
     min_samples: int | None = None
@@ -278,14 +333,15 @@ class HDBSCAN:
     alpha: float = 1.0
     cluster_selection_method: str = "eom"
     allow_single_cluster: bool = False
-    most_rows: int = 20_000
 
     def fit(self, df: DataFrame, cols: Sequence[str], id_col: str) -> HDBSCAN:
         made = HDBSCAN(**{k: getattr(self, k) for k in self.__dataclass_fields__})
-        x = to_numpy(df, cols, id_col, self.most_rows)
+        x, spark = to_numpy(df, cols, id_col, None), df.sparkSession
         n, k = len(x), self.min_samples or self.min_cluster_size
-        core = np.concatenate([np.partition(pair_distances(x[s : s + 512], x, self.metric, self.p), min(k, n) - 1, axis=1)[:, min(k, n) - 1] for s in range(0, n, 512)])
-        tree = minimum_tree(x / self.alpha if self.metric != "cosine" else x, self.metric, self.p, core)
+        near = nearest_rows(spark, x, max(16, k - 1), self.metric, self.p)
+        core = near[1][:, min(k, n) - 2] if min(k, n) > 1 else np.zeros(n)
+        scaled = self.alpha != 1 and self.metric != "cosine"
+        tree = minimum_tree(spark, x / self.alpha if scaled else x, self.metric, self.p, core, None if scaled else near)
         merges = single_linkage(tree, n)
         rows = condense(merges, n, self.min_cluster_size)
         made.condensed_ = rows
@@ -325,16 +381,16 @@ class HDBSCAN:
             chosen = {c for c in merged if not any(self._within(c, o, parent) for o in merged if o != c)}
         number = {c: i for i, c in enumerate(sorted(chosen))}
         label, lam_of = np.full(n, -1), np.zeros(n)
+        owner: dict[int, int] = {}
+        for c in sorted(birth):  # parents have lower numbers
+            owner[c] = number[c] if c in number else owner.get(parent.get(c), -1)
         for p, c, lam, _ in rows:
             if c < n:
-                q = p
-                while q not in number and q in parent:
-                    q = parent[q]
-                lam_of[c] = lam
-                if q in number:
-                    label[c] = number[q]
+                lam_of[c], label[c] = lam, owner[p]
         made.labels_ = label
-        top = {i: max((lam_of[q] for q in np.flatnonzero(label == i)), default=0.0) for i in number.values()}
+        most = np.zeros(len(number))
+        np.maximum.at(most, label[label >= 0], lam_of[label >= 0])
+        top = dict(enumerate(most))
         made.probabilities_ = np.array([0.0 if i < 0 else 1.0 if top[i] == 0 or not math.isfinite(lam_of[q]) else min(lam_of[q], top[i]) / top[i] for q, i in enumerate(label)])
         death = dict.fromkeys(birth, 0.0)
         for p, _, lam, _ in rows:
@@ -347,9 +403,24 @@ class HDBSCAN:
                 outlier[c] = (death[p] - lam) / death[p] if math.isfinite(death[p]) else 1.0
         made.outlier_scores_ = outlier
         made.centroids_ = np.array([np.average(x[label == i], axis=0, weights=made.probabilities_[label == i]) for i in number.values()])
-        made.medoids_ = np.array([x[label == i][pair_distances(x[label == i], x[label == i], self.metric, self.p).sum(0).argmin()] for i in number.values()])
+        made.medoids_ = np.array([self._medoid(spark, x[label == i]) for i in number.values()])
         return made
 
+    def _medoid(self, spark: SparkSession, x: np.ndarray) -> np.ndarray:
+        """The row with the least sum of distances to all others."""
+        n, metric, p = len(x), self.metric, self.p
+
+        def sums(i: int, j: int, x: np.ndarray) -> np.ndarray:
+            out = np.zeros(j - i)
+            for rows, others in tiles(i, j, n):
+                out[rows.start - i : rows.stop - i] += pair_distances(x[rows], x[others], metric, p).sum(1)
+            return out
+
+        if n <= 2048:  # too few for a job; the same sums
+            return x[sums(0, n, x).argmin()]
+        with Passes(spark, x) as passes:
+            return x[passes.run(sums, 1, n)[:, 0].argmin()]
+
     @staticmethod
     def _within(c: int, other: int, parent: dict[int, int]) -> bool:
         while c in parent:

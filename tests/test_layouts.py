@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from fathomic.functions import layout
-from fathomic.operators import density, manifold, mixture, timeseries
+from fathomic.operators import cluster, density, manifold, mixture, timeseries
 
 COLS = ["a", "b", "c"]
 
@@ -130,3 +130,36 @@ def test_tsne_has_no_bound_on_its_rows(spark, three):
     assert np.allclose(direct, want, atol=1e-12) and np.linalg.norm(grad - want) < 1e-3 * np.linalg.norm(want)
     out = model.fit_transform(df, COLS, "id").toPandas()
     assert sorted(out.id) == list(range(400)) and np.isfinite(out[["t0", "t1"]].to_numpy()).all()
+
+
+def prim(d):
+    """Sorted weights of a matrix's minimum spanning tree."""
+    inside, best, out = {0}, d[0].copy(), []
+    while len(inside) < len(d):
+        best[list(inside)] = np.inf
+        k = int(best.argmin())
+        out.append(best[k])
+        inside.add(k)
+        best = np.minimum(best, d[k])
+    return np.sort(out)
+
+
+def test_spanning_tree_of_clusters_with_copies(spark):
+    """Whole clusters of more than 16 rows, and many copies of one row, must search beyond their nearest rows."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=(120, 2)), rng.normal(size=(90, 2)) + 30, np.full((60, 2), 7.0), rng.normal(size=(3, 2)) * 200])
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    tree = cluster.minimum_tree(spark, x, "euclidean")
+    assert np.allclose(tree[:, 2], prim(d)) and np.allclose(d[tree[:, 0].astype(int), tree[:, 1].astype(int)], tree[:, 2])
+    core = np.sort(d, axis=1)[:, 4]
+    w = np.maximum(np.maximum(d, core), core[:, None])
+    assert np.allclose(cluster.minimum_tree(spark, x, "euclidean", 2, core)[:, 2], prim(w))
+
+
+def test_single_linkage_of_25000_rows(spark):
+    """Beyond the 20,000 rows of one matrix of distances: two lines of rows far apart, and one row between."""
+    n = 25_001
+    pdf = pd.DataFrame({"id": np.arange(n), "a": np.where(np.arange(n) < 12_000, 0.0, 50_000.0) + np.arange(n) * 0.7})
+    pdf.loc[n - 1, "a"] = 30_000.0
+    made = cluster.AgglomerativeClustering(3).fit(spark.createDataFrame(pdf), ["a"], "id")
+    assert sorted(np.bincount(made.labels_)) == [1, 12_000, 13_000] and len(set(made.labels_[:12_000])) == 1
