@@ -163,3 +163,13 @@ def test_single_linkage_of_25000_rows(spark):
     pdf.loc[n - 1, "a"] = 30_000.0
     made = cluster.AgglomerativeClustering(3).fit(spark.createDataFrame(pdf), ["a"], "id")
     assert sorted(np.bincount(made.labels_)) == [1, 12_000, 13_000] and len(set(made.labels_[:12_000])) == 1
+
+
+def test_hdbscan_of_21000_rows(spark):
+    """Beyond the 20,000 rows that the driver took: two dense groups and a far row."""
+    rng = np.random.default_rng(10)
+    x = np.concatenate([rng.normal(size=(10_000, 2)), rng.normal(size=(11_000, 2)) + 40, [[500.0, 500.0]]])
+    made = cluster.HDBSCAN(200).fit(spark.createDataFrame(pd.DataFrame(x, columns=["a", "b"]).assign(id=np.arange(21_001))), ["a", "b"], "id")
+    assert made.labels_[-1] == -1 and len(made.medoids_) == len(set(made.labels_) - {-1})
+    first, second = set(made.labels_[:10_000]) - {-1}, set(made.labels_[10_000:-1]) - {-1}
+    assert first and second and not first & second
