@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from ..plans.pairs import Passes, strips, tiles
 from ..plans.stats import check_finite, moments, sweep
 from ..sources.frame import to_numpy
 from .base import Estimator, by_rows
-from .neighbors import NearestNeighbors, nearest_rows, pair_distances
+from .neighbors import block_cells, nearest_rows, pair_distances
 
 
 @dataclass
@@ -138,30 +139,87 @@ class KMeans(Estimator):
 
 @dataclass
 class DBSCAN:
-    """Range join, core mask, components of core-core edges; a border row joins the cluster
-    with the smallest number among its core neighbours (clusters numbered by smallest core id)."""
+    """Core mask, components of core-core pairs within ``eps``; a border row joins the cluster with the smallest number
+    among its core neighbours (clusters numbered by smallest core id).
+
+    Pairs are compared in salted blocks three times, and none leaves its block: blocks give numbers of neighbours, then
+    the edges of a spanning forest of their core rows, then the least cluster number near their border rows."""
 
     eps: float = 0.5
     min_samples: int = 5
     metric: str = "euclidean"
+    block_rows: int = 4096
 
     def fit_predict(self, df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
         """``(id, label, core)``; label -1 is noise."""
-        edges = NearestNeighbors(radius=self.eps, metric=self.metric).fit(df, id_col, vec_col).radius_neighbors().select("query", "neighbor")
-        edges = cut(edges)  # read three times; it lives in the shared folder, not in executors
-        ids = df.select(F.col(id_col).alias("id"))
-        degree = edges.groupBy("query").agg(F.count(F.lit(1)).alias("n"))
-        core = ids.join(degree, ids.id == degree["query"], "left").where(F.coalesce("n", F.lit(0)) + 1 >= self.min_samples).select("id")
-        between = edges.join(core.withColumnRenamed("id", "query"), "query").join(core.withColumnRenamed("id", "neighbor"), "neighbor")
-        roots = components(between, "query", "neighbor")
-        labeled = core.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+        if self.metric not in vec.METRICS:
+            raise ValueError(f"unknown metric {self.metric!r}")
+        rows = cut(df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")))  # read in each pass
+        counts = self._blocks(rows, rows, _counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))  # a row's own place counts
+        marked = cut(rows.join(counts, "id", "left").select("id", "v", (F.coalesce("n", F.lit(1)) >= self.min_samples).alias("core")))
+        core, rest = marked.where("core").select("id", "v"), marked.where("not core").select("id", "v")
+        roots = components(self._blocks(core, core, _forest, "a long, b long"))
+        labeled = core.select("id", "v").join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "v", F.coalesce("root", "id").alias("root"))
         # cluster numbers: one row a cluster
-        order = labeled.select("root").distinct()
-        numbered = order.withColumn("label", F.row_number().over(Window.orderBy("root")) - 1)
-        cores = labeled.join(numbered, "root").select("id", "label")
-        border = edges.join(cores.withColumnRenamed("id", "neighbor"), "neighbor").groupBy("query").agg(F.min("label").alias("near"))
-        out = ids.join(cores, "id", "left").join(border.withColumnRenamed("query", "id"), "id", "left")
-        return out.select("id", F.coalesce("label", "near", F.lit(-1)).cast("int").alias("label"), F.col("label").isNotNull().alias("core"))
+        numbered = labeled.select("root").distinct().withColumn("label", (F.row_number().over(Window.orderBy("root")) - 1).cast("int"))
+        cores = cut(labeled.join(numbered, "root").select("id", "v", "label"))
+        border = self._blocks(cores, rest, _least_label, "id long, near int").groupBy("id").agg(F.min("near").alias("near"))
+        out = rest.select("id").join(border, "id", "left").select("id", F.coalesce("near", F.lit(-1)).alias("label"), F.lit(False).alias("core"))
+        return cores.select("id", "label", F.lit(True).alias("core")).unionAll(out)
+
+    def _blocks(self, rows: DataFrame, queries: DataFrame, scan: Callable, schema: str) -> DataFrame:
+        """``scan(row ids, row labels, query ids, near)`` for each cell of one block of rows and one of queries; ``near``
+        gives the place of the first of a few queries and their mask of rows within ``eps``."""
+        eps, metric = self.eps, self.metric
+        rb, qb = (max(1, -(-side.count() // self.block_rows)) for side in (rows, queries))
+        salt = lambda k: F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")
+        label = "label" if "label" in rows.columns else F.lit(0).alias("label")
+        left = rows.select(salt(rb).alias("r"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("q"), "id", "v", label)
+        right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(rb - 1))).alias("r"), salt(qb).alias("q"), "id", "v", F.lit(0).alias("label"))
+
+        def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            if not len(a) or not len(b):
+                return scan(np.empty(0, np.int64), np.empty(0, int), np.empty(0, np.int64), iter(()))
+            x, y = np.array(a["v"].tolist(), float), np.array(b["v"].tolist(), float)
+            near = ((s, pair_distances(y[s : s + 256], x, metric, 2) <= eps) for s in range(0, len(y), 256))
+            return scan(a["id"].to_numpy(), a["label"].to_numpy(), b["id"].to_numpy(), near)
+
+        return block_cells(left, right, cell, schema)
+
+
+def _counts(rows: np.ndarray, label: np.ndarray, queries: np.ndarray, near: Iterator) -> pd.DataFrame:
+    """Rows near each query; a query counts itself, whatever its distance to itself (NaN) may be."""
+    n = np.zeros(len(queries), np.int64)
+    for s, mask in near:
+        n[s : s + len(mask)] = (mask | (queries[s : s + len(mask), None] == rows)).sum(1)
+    return pd.DataFrame({"id": queries, "n": n})
+
+
+def _forest(rows: np.ndarray, label: np.ndarray, queries: np.ndarray, near: Iterator) -> pd.DataFrame:
+    """Ties of each query and row with the smallest id of its component of the cell's pairs."""
+    ids, place = np.unique(np.concatenate([rows, queries]), return_inverse=True)
+    of, own, root = place[: len(rows)], place[len(rows) :], np.arange(len(ids))
+    for s, mask in near:
+        i, j = np.nonzero(mask)
+        i, j = own[s + i], of[j]
+        while len(i):
+            a, b = root[i], root[j]
+            apart = a != b
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+            while not np.array_equal(up := root[root], root):
+                root = up
+    tied = np.flatnonzero(root != np.arange(len(ids)))
+    return pd.DataFrame({"a": ids[tied], "b": ids[root[tied]]})
+
+
+def _least_label(rows: np.ndarray, label: np.ndarray, queries: np.ndarray, near: Iterator) -> pd.DataFrame:
+    """The smallest label near each query that is near any row."""
+    none = np.iinfo(np.int32).max
+    best = np.full(len(queries), none, np.int32)
+    for s, mask in near:
+        best[s : s + len(mask)] = np.where(mask, label, none).min(1)
+    return pd.DataFrame({"id": queries[best < none], "near": best[best < none]})
 
 
 def minimum_tree(spark: SparkSession, x: np.ndarray, metric: str, p: float = 2.0, core: np.ndarray | None = None, near: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:

@@ -173,3 +173,20 @@ def test_hdbscan_of_21000_rows(spark):
     assert made.labels_[-1] == -1 and len(made.medoids_) == len(set(made.labels_) - {-1})
     first, second = set(made.labels_[:10_000]) - {-1}, set(made.labels_[10_000:-1]) - {-1}
     assert first and second and not first & second
+
+
+def test_dbscan_emits_no_pairs(spark, monkeypatch):
+    """2,000 rows that are all near each other have four million pairs; cells give a few numbers a row instead."""
+    rows = [(i, [0.001 * (i % 50)]) for i in range(2000)] + [(5000 + i, [10.0 + i]) for i in range(3)] + [(9000, [10.4])]
+    given, blocks = [], cluster.block_cells
+
+    def counted(left, right, scan, schema):
+        out = blocks(left, right, scan, schema)
+        given.append(out.count())
+        return out
+
+    monkeypatch.setattr(cluster, "block_cells", counted)
+    got = cluster.DBSCAN(0.7, 3, block_rows=500).fit_predict(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v").toPandas().set_index("id")
+    assert max(given) <= 12 * len(rows)
+    assert set(got.label[:2000].loc[list(range(2000))]) == {0} and got.core.loc[list(range(2000))].all()
+    assert got.label.loc[[5000, 5001, 5002, 9000]].tolist() == [1, 1, -1, 1] and got.core.loc[[5000, 5001, 5002, 9000]].tolist() == [False, False, False, True]
