@@ -17,7 +17,7 @@ from ..plans.pairs import Passes, strips, tiles
 from ..plans.stats import check_finite, moments, sweep
 from ..sources.frame import to_numpy
 from .base import Estimator, by_rows
-from .neighbors import block_cells, nearest_rows, pair_distances
+from .neighbors import BLOCK, FIRST, block_cells, bounded_squares, close_pairs, nearest_rows, pair_distances
 
 
 @dataclass
@@ -222,6 +222,32 @@ def _least_label(rows: np.ndarray, label: np.ndarray, queries: np.ndarray, near:
     return pd.DataFrame({"id": queries[best < none], "near": best[best < none]})
 
 
+def _nearest_outside(x: np.ndarray, lows: np.ndarray, label: np.ndarray, own: np.ndarray, left: np.ndarray, right: np.ndarray, metric: str, p: float) -> np.ndarray:
+    """Place and weight of the least edge, the lowest place of several, from each of the rows ``own`` to one of another
+    label.  Distances are computed where ``left @ right`` (:func:`bounded_squares`) is not beyond the least so far."""
+
+    def weights(r: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+        return np.maximum(np.maximum(d, lows[c]), lows[own[r]])
+
+    every = np.arange(len(own))
+    d = weights(every[:, None], np.arange(min(FIRST, len(x))), pair_distances(x[own], x[:FIRST], metric, p))
+    d[label[own][:, None] == label[:FIRST]] = np.inf
+    to = d.argmin(1)
+    best = d[every, to]
+    for s in range(FIRST, len(x), BLOCK):
+        limit = np.where(lows[own] < best, best if metric == "sqeuclidean" else best**2, -np.inf)
+        mask = left @ right[:, s : s + BLOCK] <= limit[:, None]
+        mask &= label[own][:, None] != label[s : s + BLOCK]
+        r, c, d = close_pairs(mask, x[own], x[s : s + BLOCK], metric, p)
+        d = weights(r, c + s, d)
+        less = d < best[r]
+        r, c, d = r[less], c[less] + s, d[less]
+        order = np.lexsort((c, d, r))
+        order = order[np.r_[True, r[order][1:] != r[order][:-1]]] if len(order) else order
+        to[r[order]], best[r[order]] = c[order], d[order]
+    return np.stack([to, best], 1)
+
+
 def minimum_tree(spark: SparkSession, x: np.ndarray, metric: str, p: float = 2.0, core: np.ndarray | None = None, near: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """Minimum spanning tree of all rows (rows a, b, weight by rising weight), a weight being the distance or the largest
     of it and both rows' ``core``.
@@ -239,6 +265,12 @@ def minimum_tree(spark: SparkSession, x: np.ndarray, metric: str, p: float = 2.0
 
     def search(i: int, j: int, x: np.ndarray, lows: np.ndarray, rows: np.ndarray, label: np.ndarray) -> np.ndarray:
         got = np.empty((j - i, 2))
+        low = bounded_squares(x, x[rows[i:j]], metric, p)
+        if low is not None:
+            for s in range(0, j - i, 128):
+                part = slice(s, min(s + 128, j - i))
+                got[part] = _nearest_outside(x, lows, label, rows[i:j][part], low[0][part], low[1], metric, p)
+            return got
         for part in strips(i, j, n):
             own = rows[part]
             d = np.concatenate([pair_distances(x[own], x[s : s + 512], metric, p) for s in range(0, n, 512)], 1)

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from fathomic.functions import layout
-from fathomic.operators import cluster, density, manifold, mixture, timeseries
+from fathomic.operators import cluster, density, manifold, mixture, neighbors, timeseries
 
 COLS = ["a", "b", "c"]
 
@@ -182,6 +182,54 @@ def test_spanning_tree_of_clusters_with_copies(spark):
     assert np.allclose(cluster.minimum_tree(spark, x, "euclidean", 2, core)[:, 2], prim(w))
 
 
+class Here:
+    """Passes in this process, so that distances can be counted."""
+
+    def __init__(self, spark, *arrays):
+        self.arrays = arrays
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        pass
+
+    def run(self, f, width, rows, *more, most=2048):
+        return np.concatenate([np.reshape(f(i, min(i + 500, rows), *self.arrays, *more), (-1, width)) for i in range(0, rows, 500)])
+
+
+@pytest.mark.parametrize("copies", [1, 25])
+def test_hdbscan_computes_few_distances(copies, monkeypatch):
+    """Nearest rows and the tree are those of all distances, of which most are left out by bounds."""
+    n, count = 6000, [0]
+    rng = np.random.default_rng(12)
+    x = rng.permutation(np.repeat(rng.normal(size=(n // copies, 3)), copies, 0))
+    x[x[:, 0] > 0.7] += 40
+    d = neighbors.pair_distances(x, x, "euclidean", 2)
+    np.fill_diagonal(d, np.inf)
+    order = np.argsort(d, axis=1, kind="stable")[:, :16]
+    core = np.take_along_axis(d, order, 1)[:, 8]
+    for name, many in (("pair_distances", lambda a, b: len(a) * len(b)), ("listed_distances", lambda a, b: len(a))):
+        plain = getattr(neighbors, name)
+
+        def counted(a, b, *more, plain=plain, many=many):
+            count[0] += many(a, b)
+            return plain(a, b, *more)
+
+        for module in (neighbors, cluster):
+            monkeypatch.setattr(module, name, counted, raising=False)
+    for module in (neighbors, cluster):
+        monkeypatch.setattr(module, "Passes", Here)
+    at, dist = neighbors.nearest_rows(None, x, 16)
+    assert np.array_equal(at, order) and np.array_equal(dist, np.take_along_axis(d, order, 1))
+    assert count[0] < n * n // 3
+    for lows in (None, core):
+        tree = cluster.minimum_tree(None, x, "euclidean", 2, lows, (at, dist))
+        w = d if lows is None else np.maximum(np.maximum(d, core), core[:, None])
+        i, j = tree[:, :2].astype(int).T
+        assert np.array_equal(tree[:, 2], w[i, j]) and np.array_equal(tree[:, 2], prim(w))
+
+
 def test_single_linkage_of_25000_rows(spark):
     """Beyond the 20,000 rows of one matrix of distances: two lines of rows far apart, and one row between."""
     n = 25_001
